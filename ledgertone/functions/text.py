@@ -40,6 +40,19 @@ def _compat_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(one.values()), many
 
 
+@lru_cache(maxsize=1)
+def _rare_class() -> str:
+    """A character class around the letters of the long table, as a few wide ranges."""
+    codes = sorted(map(ord, _compat_tables()[2]))
+    ranges = [[codes[0], codes[0]]]
+    for code in codes[1:]:
+        if code - ranges[-1][1] <= 256 and code > 0x2100 or code - ranges[-1][1] <= 32:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges) + "]"
+
+
 def ascii_fold(c) -> Column:
     """Compatibility decomposition with everything outside ASCII dropped.
 
@@ -56,7 +69,7 @@ def ascii_fold(c) -> Column:
     spelled = F.regexp_replace(F.translate(spelled, src, dst), non_ascii, "")
     return (
         F.when(~c.rlike(non_ascii), c)
-        .when(c.rlike("[" + "".join(many) + "]"), spelled)
+        .when(c.rlike(_rare_class()), spelled)
         .otherwise(simple)
         .alias("ascii_fold")
     )

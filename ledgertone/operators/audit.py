@@ -10,16 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.drivers import classify_driver, despaced, driver_parts, unknown_driver_tokens
-from ..functions.numbers import coerce_int, finite, half_up, round_to_5, tier_basis, valid_year
-from ..functions.tags import (
-    duplicated, expected_tier, fix_tier_tags, literals, tag_conflicts, tag_list, tier_tags,
-)
-from ..functions.text import build_id, normalize_component, strip, text
+from ..functions.numbers import year_max
+from ..functions.text import build_id, strip, text
 from . import duplicates, links
+from .facts import BAD_CONNECTOR, quoted, says, with_facts
 from .spelling import spelling_fixes
-from .validate import connector_allowed, joined, number
 
+FIX_TYPE = S.FIX.simpleString()
 ISSUE = ("row_id", "entry_id", "category", "code", "severity", "subject", "message", "fix", "fix_order", "key_b", "confidence")
 
 
@@ -35,13 +32,6 @@ def set_value(field: str, value) -> Column:
     )
 
 
-def set_items(field: str, items) -> Column:
-    return F.struct(
-        F.lit(field).alias("field"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("value"),
-        items.alias("items"),
-    )
-
-
 def set_element(field: str, pos, value) -> Column:
     return F.struct(
         F.lit(field).alias("field"), pos.cast("int").alias("pos"), value.cast("string").alias("value"),
@@ -53,194 +43,149 @@ def slug(category: str) -> str:
     return category.lower().replace(" ", "-")
 
 
-class _Rules:
-    """Collects the row rules as nullable structs, numbered in the order they apply."""
-
-    def __init__(self):
-        self.items: list[Column] = []
-
-    def add(self, category, code, severity, cond, message, *fixes, subject=None):
-        parts = message if isinstance(message, (list, tuple)) else [message]
-        parts = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts]
-        self.items.append(
-            F.when(
-                F.coalesce(cond, F.lit(False)),
-                F.struct(
-                    F.lit(category).alias("category"),
-                    F.lit(code or slug(category)).alias("code"),
-                    F.lit(severity).alias("severity"),
-                    (F.lit(None).cast("string") if subject is None else subject).alias("subject"),
-                    F.concat(*parts).alias("message"),
-                    (F.array(*fixes).cast(S.FIX) if fixes else no_fix()).alias("fix"),
-                    F.lit(len(self.items)).alias("fix_order"),
-                ),
-            )
+def _rules(enforce_tws: bool, last_year: int | None) -> list[tuple]:
+    """(category, code, severity, condition, message, fix) in the order fixes apply.
+
+    Conditions and fix values are SQL over the columns of ``with_facts``; a fix is a list of
+    (field, value).
+    """
+    last = last_year or year_max()
+    canon, kind = "_driver.config", "_driver.type"
+    parsed, both = "size(_parts) > 0", "_kind <> '' AND _config <> '' AND size(_parts) > 0"
+    pairing, missing = "Form/Connector Mismatch", "Missing Data"
+    tws = f"_form = '{S.TWS}'"
+    loaded = "(NOT _impedance <=> 0D OR NOT _sensitivity <=> 0D)"
+    rules = [
+        ("ID Format", None, "warning", "_want <> '' AND NOT id <=> _want", says("id should be ", "=_want"), [("id", "_want")]),
+        *[
+            ("ID Format", "id-nonlatin", "warning", f"array_contains(_nonlatin, '{f}')",
+             says(f"{f} has no Latin spelling: ", f"=_{f}"), None)
+            for f in ("brand", "model", "variant")
+        ],
+        ("Driver Config", "dc-whitespace", "warning", "_blanks", says("driver_config has blanks: ", "=driver_config"),
+         [("driver_config", f"CASE WHEN {parsed} THEN {canon} ELSE _tight END")]),
+        ("Driver Config", "dc-unknown", "warning", "size(_strange) > 0",
+         says("unknown driver tokens: ", "=array_join(_strange, ', ')"), [("driver_config", canon)]),
+        ("Driver Type", "dt-no-config", "error", "_kind <> '' AND _config = ''", says("driver_type without driver_config"),
+         [("driver_type", "''")]),
+        ("Driver Type", "dt-no-type", "error", f"_kind = '' AND _config <> '' AND {parsed}",
+         says("driver_type should be ", f"={kind}"), [("driver_type", kind)]),
+        ("Driver Type", "dt-mismatch", "warning", f"{both} AND _kind <> {kind}", says("driver_type should be ", f"={kind}"),
+         [("driver_type", kind)]),
+        ("Driver Config", "dc-order", "info", f"{both} AND _tight <> {canon}", says("driver_config should be ", f"={canon}"),
+         [("driver_config", canon)]),
+        (pairing, "ff-missing", "error", "_form = ''", says("form factor is missing"), None),
+        (pairing, "ff-invalid", "error", f"_form <> '' AND _form NOT IN ({quoted(S.FORM_FACTORS)})",
+         says("unknown form factor: ", "=_form"), None),
+        (pairing, "conn-missing", "error", "_conn = ''", says("connector is missing"), None),
+        (pairing, "conn-invalid", "error", f"_conn <> '' AND _conn NOT IN ({quoted(S.CONNECTORS)})",
+         says("unknown connector: ", "=_conn"), None),
+        (pairing, "conn-matrix", "error", BAD_CONNECTOR, says("connector ", "=_conn", " does not fit ", "=_form"), None),
+    ]
+    if enforce_tws:
+        rules.append(
+            ("TWS Specs", None, "error", f"{tws} AND {loaded}", says("wireless earbuds have no impedance or sensitivity"),
+             [("impedance", "'0'"), ("sensitivity", "'0'")])
+        )
+    electrostatic = "(_conn = 'Electrostatic' OR _kind = 'EST')"
+    for f, cap in (
+        ("impedance", f"CASE WHEN {electrostatic} THEN {S.IMPEDANCE_MAX_ELECTROSTATIC} ELSE {S.IMPEDANCE_MAX} END"),
+        ("sensitivity", str(S.SENSITIVITY_MAX)),
+    ):
+        v, sanity = f"_{f}", "Spec Sanity"
+        rules += [
+            (sanity, "spec-nan", "error", f"{v} IS NULL", says(f"{f} is not a number"), [(f, "'0'")]),
+            (sanity, "spec-negative", "error", f"{v} < 0", says(f"{f} is negative"), [(f, "'0'")]),
+            (sanity, "spec-float", "warning", f"{v} >= 0 AND {v} <> floor({v})", says(f"{f} is not whole"), [(f, f"{v}_up")]),
+            (sanity, "spec-range", "warning", f"{v} >= 0 AND {v} = floor({v}) AND {v} > {cap}",
+             says(f"{f} is above the usual range"), None),
+        ]
+    rules += [
+        ("Price Tier Tag", None, "warning", "NOT _tiers <=> array(_tier)", says("price tier should be ", "=_tier"),
+         [("tags", "_fixed_tags")]),
+        ("Price Rounding", "price-negative", "error", "_whole < 0", says("price is negative"), None),
+        ("Price Rounding", "price-rounding", "warning", "_whole >= 0 AND _whole % 5 <> 0",
+         says("price should be ", "=_rounded"), [("price_usd", "_rounded")]),
+        ("Price Rounding", "price-invalid", "error", "_whole IS NULL", says("price is not a number: ", "=price_usd"), None),
+        ("Year", None, "error", f"_year <> 0 AND _year NOT BETWEEN {S.YEAR_MIN} AND {last}", says("year out of range: ", "=year"), None),
+        ("Missing Field", "brand-missing", "error", "_brand = ''", says("brand is empty"), None),
+        ("Missing Field", "model-missing", "error", "_model = ''", says("model is empty"), None),
+        (missing, "year-unknown", "warning", "_year = 0", says("year is unknown"), None),
+        (missing, "price-unknown", "warning", "_whole = 0", says("price is unknown"), None),
+        (missing, "drivers-unknown", "warning", "_kind = '' AND _config = ''", says("drivers are unknown"), None),
+        *[
+            (missing, f"{f}-unknown", "warning",
+             f"_form NOT IN ({quoted((S.TWS, S.WIRELESS_OVER_EAR))}) AND _{f} = 0", says(f"{f} is unknown"), None)
+            for f in ("impedance", "sensitivity")
+        ],
+    ]
+    if not enforce_tws:
+        rules.append(
+            (missing, "tws-nonzero", "warning", f"{tws} AND {loaded}", says("wireless earbuds have no impedance or sensitivity"), None)
         )
+    return rules + [
+        ("Tag Count", None, "error", f"size(_tags) < {S.TAG_MIN}", says("too few tags: ", "=size(_tags)"), None),
+        ("Tag Count", None, "error", f"size(_tags) > {S.TAG_MAX}", says("too many tags: ", "=size(_tags)"), None),
+        ("Duplicate Tag", None, "error", "size(_dup_tags) > 0", says("duplicate tags: ", "=array_join(_dup_tags, ', ')"), None),
+        ("Unapproved Tag", None, "error", "size(_odd_tags) > 0", says("unapproved tags: ", "=array_join(_odd_tags, ', ')"), None),
+        ("Duplicate File", None, "error", "size(array_distinct(_files)) < size(_files)", says("a file is listed twice"), None),
+    ]
 
 
-def _row_rules(df: DataFrame, enforce_tws: bool, last_year: int | None) -> Column:
-    """Rules over the columns ``_facts`` prepares."""
-    r = _Rules()
-    c = F.col
+def _struct(category, code, severity, message, fix, order) -> str:
+    return (
+        f"named_struct('category', '{category}', 'code', '{code or slug(category)}', 'severity', '{severity}', "
+        f"'message', {message}, 'fix', {fix}, 'fix_order', {order})"
+    )
 
-    has_id = (c("want_id") != "") & (text("id") != c("want_id"))
-    r.add("ID Format", None, "warning", has_id, ["id should be ", c("want_id")], set_value("id", c("want_id")))
-    for f in ("brand", "model", "variant"):
-        r.add(
-            "ID Format", "id-nonlatin", "warning", (strip(f) != "") & (normalize_component(f) == ""),
-            [f"{f} has no Latin spelling: ", c(f)],
+
+def _fix_sql(fix) -> str:
+    if not fix:
+        return f"cast(NULL AS {FIX_TYPE})"
+    writes = []
+    for field, value in fix:
+        scalar, items = ("NULL", value) if field in S.LIST_FIELDS else (value, "NULL")
+        writes.append(
+            f"named_struct('field', '{field}', 'pos', cast(NULL AS int), 'value', cast({scalar} AS string), "
+            f"'items', cast({items} AS array<string>))"
         )
+    return f"array({', '.join(writes)})"
 
-    blank_config = c("config") == ""
-    blanks = (text("driver_config") != "") & text("driver_config").rlike(r"\s")
-    parsed = F.size("parts") > 0
-    canon = c("driver")["config"]
-    r.add(
-        "Driver Config", "dc-whitespace", "warning", blanks, ["driver_config has blanks: ", c("driver_config")],
-        set_value("driver_config", F.when(parsed, canon).otherwise(despaced("driver_config"))),
-    )
-    r.add(
-        "Driver Config", "dc-unknown", "warning", F.size("strange") > 0, ["unknown driver tokens: ", joined("strange")],
-        set_value("driver_config", canon),
-    )
-    r.add(
-        "Driver Type", "dt-no-config", "error", (c("kind") != "") & blank_config, "driver_type without driver_config",
-        set_value("driver_type", ""),
-    )
-    r.add(
-        "Driver Type", "dt-no-type", "error", (c("kind") == "") & ~blank_config & parsed,
-        ["driver_type should be ", c("driver")["type"]], set_value("driver_type", c("driver")["type"]),
-    )
-    both = (c("kind") != "") & ~blank_config & parsed
-    r.add(
-        "Driver Type", "dt-mismatch", "warning", both & (c("kind") != c("driver")["type"]),
-        ["driver_type should be ", c("driver")["type"]], set_value("driver_type", c("driver")["type"]),
-    )
-    r.add(
-        "Driver Config", "dc-order", "info", both & (despaced("config") != canon),
-        ["driver_config should be ", canon], set_value("driver_config", canon),
-    )
 
-    form, conn = c("form"), c("conn")
-    pairing = "Form/Connector Mismatch"
-    r.add(pairing, "ff-missing", "error", form == "", "form factor is missing")
-    r.add(pairing, "ff-invalid", "error", (form != "") & ~form.isin(*S.FORM_FACTORS), ["unknown form factor: ", form])
-    r.add(pairing, "conn-missing", "error", conn == "", "connector is missing")
-    r.add(pairing, "conn-invalid", "error", (conn != "") & ~conn.isin(*S.CONNECTORS), ["unknown connector: ", conn])
-    r.add(
-        pairing, "conn-matrix", "error", conn.isin(*S.CONNECTORS) & ~connector_allowed(form, conn),
-        ["connector ", conn, " does not fit ", form],
+def _element_fix(value: str) -> str:
+    return (
+        "array(named_struct('field', 'files', 'pos', i, 'value', cast(" + value + " AS string), "
+        "'items', cast(NULL AS array<string>)))"
     )
 
-    tws = form == S.TWS
-    loaded = (coerce_int("impedance", -1) != 0) | (coerce_int("sensitivity", -1) != 0)
-    if enforce_tws:
-        r.add(
-            "TWS Specs", None, "error", tws & loaded, "wireless earbuds have no impedance or sensitivity",
-            set_value("impedance", "0"), set_value("sensitivity", "0"),
-        )
-    electrostatic = (conn == "Electrostatic") | (c("kind") == "EST")
-    for f, cap in (
-        ("impedance", F.when(electrostatic, S.IMPEDANCE_MAX_ELECTROSTATIC).otherwise(S.IMPEDANCE_MAX)),
-        ("sensitivity", F.lit(S.SENSITIVITY_MAX)),
-    ):
-        v = finite(number(df, f))
-        part = v != F.floor(v)
-        r.add("Spec Sanity", "spec-nan", "error", v.isNull(), f"{f} is not a number", set_value(f, "0"))
-        r.add("Spec Sanity", "spec-negative", "error", v < 0, f"{f} is negative", set_value(f, "0"))
-        r.add(
-            "Spec Sanity", "spec-float", "warning", (v >= 0) & part, f"{f} is not whole", set_value(f, half_up(v)),
-        )
-        r.add("Spec Sanity", "spec-range", "warning", (v >= 0) & ~part & (v > cap), f"{f} is above the usual range")
 
-    price = number(df, "price_usd")
-    r.add(
-        "Price Tier Tag", None, "warning",
-        ~tier_tags("tags").eqNullSafe(F.array(expected_tier(price))),
-        ["price tier should be ", expected_tier(price)], set_items("tags", fix_tier_tags("tags", price)),
+def _row_issues(enforce_tws: bool, last_year: int | None) -> Column:
+    """Every rule of a row as one array expression."""
+    rules = _rules(enforce_tws, last_year)
+    found = [
+        f"CASE WHEN {cond} THEN {_struct(category, code, severity, message, _fix_sql(fix), i)} END"
+        for i, (category, code, severity, cond, message, fix) in enumerate(rules)
+    ]
+    n = len(rules)
+    conflict = _struct("Tag Conflict", None, "error", says("conflicting tags: ", "=c.pair", "; ", "=c.guidance"), _fix_sql(None), n)
+    blank, back = "btrim(f) = ''", "chr(92)"
+    path_rules = (
+        ("file-empty", "error", f"f IS NULL OR {blank}", says("empty path"), _element_fix("NULL")),
+        ("file-ws", "error", f"NOT {blank} AND f <> btrim(f)", says("blanks around path: ", "=f"), _element_fix("btrim(f)")),
+        ("file-backslash", "warning", f"NOT {blank} AND contains(f, {back})", says("backslashes in path: ", "=f"),
+         _element_fix(f"replace(f, {back}, '/')")),
+        ("file-traversal", "error", f"NOT {blank} AND array_contains(split(f, '/'), '..')", says("path leaves the folder: ", "=f"),
+         _fix_sql(None)),
     )
-    whole = coerce_int("price_usd", None)
-    r.add("Price Rounding", "price-negative", "error", whole < 0, "price is negative")
-    r.add(
-        "Price Rounding", "price-rounding", "warning", (whole >= 0) & (whole % 5 != 0),
-        ["price should be ", round_to_5(whole)], set_value("price_usd", round_to_5(whole)),
+    paths = ", ".join(
+        f"CASE WHEN {cond} THEN {_struct('File Path', code, severity, message, fix, n + 1)} END"
+        for code, severity, cond, message, fix in path_rules
     )
-    r.add("Price Rounding", "price-invalid", "error", whole.isNull(), ["price is not a number: ", c("price_usd")])
-    r.add("Year", None, "error", ~valid_year("year", last_year), ["year out of range: ", c("year")])
-
-    r.add("Missing Field", "brand-missing", "error", strip("brand") == "", "brand is empty")
-    r.add("Missing Field", "model-missing", "error", strip("model") == "", "model is empty")
-    r.add("Missing Data", "year-unknown", "warning", coerce_int("year") == 0, "year is unknown")
-    r.add("Missing Data", "price-unknown", "warning", coerce_int("price_usd") == 0, "price is unknown")
-    r.add("Missing Data", "drivers-unknown", "warning", (c("kind") == "") & blank_config, "drivers are unknown")
-    for f in ("impedance", "sensitivity"):
-        r.add(
-            "Missing Data", f"{f}-unknown", "warning",
-            ~form.isin(S.TWS, S.WIRELESS_OVER_EAR) & (coerce_int(f) == 0), f"{f} is unknown",
-        )
-    if not enforce_tws:
-        r.add("Missing Data", "tws-nonzero", "warning", tws & loaded, "wireless earbuds have no impedance or sensitivity")
-
-    tags = tag_list("tags")
-    r.add("Tag Count", None, "error", F.size(tags) < S.TAG_MIN, ["too few tags: ", F.size(tags)])
-    r.add("Tag Count", None, "error", F.size(tags) > S.TAG_MAX, ["too many tags: ", F.size(tags)])
-    r.add("Duplicate Tag", None, "error", F.size(duplicated(tags)) > 0, ["duplicate tags: ", joined(duplicated(tags))])
-    strange = F.array_except(tags, literals(S.APPROVED_TAGS))
-    r.add("Unapproved Tag", None, "error", F.size(strange) > 0, ["unapproved tags: ", joined(strange)])
-    files = tag_list("files")
-    r.add("Duplicate File", None, "error", F.size(F.array_distinct(files)) < F.size(files), "a file is listed twice")
-
-    n = len(r.items)
-    conflicts = F.transform(
-        tag_conflicts("tags"),
-        lambda p: F.struct(
-            F.lit("Tag Conflict").alias("category"), F.lit("tag-conflict").alias("code"),
-            F.lit("error").alias("severity"), F.lit(None).cast("string").alias("subject"),
-            F.concat(F.lit("conflicting tags: "), p["pair"], F.lit("; "), p["guidance"]).alias("message"),
-            no_fix().alias("fix"), F.lit(n).alias("fix_order"),
-        ),
+    return F.expr(
+        f"array_compact(concat(array({', '.join(found)}), transform(_clashes, c -> {conflict}), "
+        f"flatten(transform(_files, (f, i) -> array({paths})))))"
     )
 
-    def path_rules(f, i):
-        def issue(cond, code, severity, message, *fix):
-            return F.when(
-                cond,
-                F.struct(
-                    F.lit("File Path").alias("category"), F.lit(code).alias("code"), F.lit(severity).alias("severity"),
-                    F.lit(None).cast("string").alias("subject"),
-                    F.concat(F.lit(message), F.coalesce(f, F.lit(""))).alias("message"),
-                    (F.array(*fix).cast(S.FIX) if fix else no_fix()).alias("fix"), F.lit(n + 1).alias("fix_order"),
-                ),
-            )
-
-        blank = strip(f) == ""
-        return F.array(
-            issue(blank, "file-empty", "error", "empty path", set_element("files", i, F.lit(None).cast("string"))),
-            issue(~blank & (f != strip(f)), "file-ws", "error", "blanks around path: ", set_element("files", i, strip(f))),
-            issue(
-                ~blank & f.contains("\\"), "file-backslash", "warning", "backslashes in path: ",
-                set_element("files", i, F.replace(f, F.lit("\\"), F.lit("/"))),
-            ),
-            issue(~blank & F.array_contains(F.split(f, "/"), ".."), "file-traversal", "error", "path leaves the folder: "),
-        )
-
-    paths = F.flatten(F.transform(files, path_rules))
-    return F.array_compact(F.concat(F.array(*r.items), conflicts, paths))
-
-
-def _facts(catalog: DataFrame) -> DataFrame:
-    """Derived values several rules share, computed once per row."""
-    return catalog.select(
-        *catalog.columns,
-        build_id("brand", "model", "variant").alias("want_id"),
-        strip("driver_type").alias("kind"),
-        strip("driver_config").alias("config"),
-        driver_parts("driver_config").alias("parts"),
-        unknown_driver_tokens(strip("driver_config")).alias("strange"),
-        strip("form_factor").alias("form"),
-        strip("connector").alias("conn"),
-    ).withColumn("driver", classify_driver(F.col("parts")))
-
 
 def shown_id() -> Column:
     return F.when(text("id") != "", F.col("id")).otherwise(
@@ -250,13 +195,12 @@ def shown_id() -> Column:
 
 def audit_rows(catalog: DataFrame, enforce_tws: bool = False, last_year: int | None = None) -> DataFrame:
     """Issues that concern one row alone: one scan, one projection, no shuffle."""
-    facts = _facts(catalog)
-    found = facts.select(
-        "row_id", shown_id().alias("entry_id"), F.explode(_row_rules(catalog, enforce_tws, last_year)).alias("i")
+    found = with_facts(catalog).select(
+        F.col("row_id").cast("bigint").alias("row_id"), shown_id().alias("entry_id"),
+        F.explode(_row_issues(enforce_tws, last_year)).alias("i"),
     )
     return found.select(
-        "row_id", "entry_id", "i.category", "i.code", "i.severity",
-        F.coalesce("i.subject", "entry_id").alias("subject"),
+        "row_id", "entry_id", "i.category", "i.code", "i.severity", F.col("entry_id").alias("subject"),
         "i.message", "i.fix", "i.fix_order",
     )
 

@@ -16,7 +16,8 @@ from . import links
 from .claims import settle_ids
 from .history import CHANGES, diff_op
 from .spelling import canonical_spelling
-from .validate import row_errors
+from ..session import cut_lineage
+from .validate import with_row_errors
 
 
 def _identity(get) -> Column:
@@ -211,7 +212,7 @@ def stage(proposals: DataFrame, catalog: DataFrame, files: DataFrame | None = No
             "files", F.when(gone > 0, F.col("kept")).otherwise(F.col("files"))
         ).drop("kept", "dropped")
 
-    judged = flat.withColumn("_errors", row_errors(flat))
+    judged = cut_lineage(with_row_errors(flat, None, "_errors"))
     valid = judged.where("size(_errors) = 0")
     settled = settle_ids(
         valid.select(F.col("change_id").alias("seq"), F.when(F.col("action") == "changed", F.col("old_id")).alias("old_id"), F.col("id").alias("new_id")),

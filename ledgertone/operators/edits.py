@@ -9,7 +9,8 @@ from .. import schema as S
 from ..functions.text import build_id
 from .claims import settle_ids
 from .history import diff_op
-from .validate import row_errors
+from ..session import cut_lineage
+from .validate import with_row_errors
 
 
 def _literal(replacement: str) -> str:
@@ -73,7 +74,7 @@ def apply_edits(catalog: DataFrame, field: str, edits: DataFrame, op_id: int = 1
     if field in ("brand", "model", "variant"):
         rebuilt = build_id("brand", "model", "variant")
         after = after.withColumn("id", F.when(rebuilt != "", rebuilt).otherwise(F.col("id")))
-    judged = after.withColumn("_errors", row_errors(after, last_year))
+    judged = cut_lineage(with_row_errors(after, last_year, "_errors"))
     valid = judged.where("size(_errors) = 0")
     settled = settle_ids(
         valid.select(F.col("row_id").alias("seq"), F.col("_old_id").alias("old_id"), F.col("id").alias("new_id")),

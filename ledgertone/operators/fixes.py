@@ -7,7 +7,8 @@ from .. import schema as S
 from .claims import settle_ids
 from .history import diff_op, from_text
 from .issues import waive
-from .validate import row_errors
+from ..session import cut_lineage
+from .validate import with_row_errors
 
 
 def apply_fixes(catalog: DataFrame, issues: DataFrame, waivers: DataFrame | None = None, op_id: int = 1,
@@ -64,7 +65,8 @@ def apply_fixes(catalog: DataFrame, issues: DataFrame, waivers: DataFrame | None
         return out.alias(f)
 
     fields = [c for c in catalog.columns if c != "row_id"]
-    after = touched.select("row_id", *[written(f) for f in fields])
+    # read by the id check, both validations and the log
+    after = cut_lineage(touched.select("row_id", *[written(f) for f in fields]))
 
     # a row that keeps its id needs no claim; the others queue up in row order
     ids = catalog.select("row_id", F.col("id").alias("old_id"))
@@ -78,8 +80,9 @@ def apply_fixes(catalog: DataFrame, issues: DataFrame, waivers: DataFrame | None
     )
     held_back = after.join(refused.select("row_id"), "row_id", "left_anti")
 
-    before_errors = catalog.withColumn("_was", F.size(row_errors(catalog, last_year))).select("row_id", "_was")
-    judged = held_back.withColumn("_now", row_errors(held_back, last_year)).join(before_errors, "row_id")
+    was = with_row_errors(catalog.join(held_back.select("row_id"), "row_id", "left_semi"), last_year, "_was")
+    now = with_row_errors(held_back, last_year, "_now")
+    judged = cut_lineage(now.join(was.select("row_id", F.size("_was").alias("_was")), "row_id"))
     worse = (F.col("_was") == 0) & (F.size("_now") > 0)
     broken = judged.where(worse).select(
         "row_id", F.concat(F.lit("would become invalid: "), F.get("_now", F.lit(0))).alias("reason")

@@ -8,7 +8,8 @@ from ..functions.numbers import coerce_int
 from ..functions.tags import expected_tier, tag_list
 from ..functions.text import build_id, strip
 from .history import diff_op
-from .validate import row_errors
+from ..session import cut_lineage
+from .validate import with_row_errors
 
 PICKED = tuple(f for f in S.FIELDS if f not in ("id", "files"))
 
@@ -66,7 +67,7 @@ def merge_pair(catalog: DataFrame, pairs: DataFrame, overrides: dict[str, str] |
     fields = [c for c in catalog.columns if c != "row_id"]
     now, later = first_pairs(pairs.where("key_a <> key_b").select("key_a", "key_b").distinct())
     merged = merged_entries(catalog, now, overrides)
-    judged = merged.withColumn("_errors", row_errors(merged, last_year))
+    judged = cut_lineage(with_row_errors(merged, last_year, "_errors"))
 
     # the new id may belong to A or B only, and to one merge of this pass
     owners = catalog.where("id <> ''").select("id", F.col("row_id").alias("_owner"))

@@ -1,120 +1,72 @@
 """The gate every written entry must pass: an ordered list of errors per row."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.drivers import classify_driver, driver_parts, unknown_driver_tokens
-from ..functions.numbers import coerce_int, finite, py_float, valid_year
-from ..functions.tags import duplicated, expected_tier, literals, tag_conflicts, tag_list, tier_tags
-from ..functions.text import build_id, strip
+from ..functions.numbers import year_max
+from .facts import BAD_CONNECTOR, quoted, says, with_facts
 
 
-def number(df: DataFrame, name: str) -> Column:
-    """A numeric reading of a column whether it is typed or still raw text."""
-    return py_float(name) if dict(df.dtypes)[name] == "string" else F.col(name).cast("double")
-
-
-def joined(items) -> Column:
-    return F.array_join(items, ", ")
-
-
-def says(cond, *parts) -> Column:
-    parts = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
-    return F.when(F.coalesce(cond, F.lit(False)), F.concat(*[F.coalesce(p, F.lit("")) for p in parts]))
-
-
-def connector_allowed(form, conn) -> Column:
-    ok = F
-    for f, allowed in S.FORM_CONNECTORS.items():
-        ok = ok.when(form == f, conn.isin(*allowed))
-    return ok.otherwise(F.lit(True))
-
-
-def row_errors(df: DataFrame, last_year: int | None = None) -> Column:
-    """Errors that need no other row, in the order callers report them."""
-    raw_text = {n for n, t in df.dtypes if t == "string"}
-    brand, model, variant = strip("brand"), strip("model"), strip("variant")
-    want = build_id(brand, model, variant)
-    out = [
-        says(brand == "", "brand is required"),
-        says(model == "", "model is required"),
-        says(want == "", "no id can be built"),
-        says((want != "") & (F.coalesce(F.col("id"), F.lit("")) != want), "id should be ", want),
-        says(~valid_year("year", last_year), "year out of range: ", F.col("year")),
-    ]
-
-    price = number(df, "price_usd")
+def _checks(raw_text: set[str], last: int) -> list[tuple[str, str]]:
+    """(condition, message) in the order callers report them; only the row itself is needed."""
+    whole = "_price"
+    price = [("_price IS NULL", says("price is not a finite number"))]
     if "price_usd" in raw_text:
-        shown = strip("price_usd")
-        whole = shown.rlike(r"^[+-]?\d+$")
-        out.append(says(~whole, "price is not a whole number: ", shown))
-        price = F.when(whole, price)
-    else:
-        out.append(says(finite(price).isNull(), "price is not a finite number"))
-        price = coerce_int("price_usd", -1).cast("double")
-    out += [
-        says(price < 0, "price is negative"),
-        says(price > S.PRICE_MAX, "price is above the maximum"),
-        says(price.between(0, S.PRICE_MAX) & (price % 5 != 0), "price is not a multiple of 5: ", price.cast("bigint")),
-    ]
-
-    form, conn = strip("form_factor"), strip("connector")
-    out += [
-        says(form == "", "form factor is required"),
-        says((form != "") & ~form.isin(*S.FORM_FACTORS), "unknown form factor: ", form),
-        says(conn == "", "connector is required"),
-        says((conn != "") & ~conn.isin(*S.CONNECTORS), "unknown connector: ", conn),
-        says(conn.isin(*S.CONNECTORS) & ~connector_allowed(form, conn), "connector ", conn, " does not fit ", form),
-    ]
-
-    kind, config = strip("driver_type"), strip("driver_config")
-    parts = driver_parts(config)
-    strange = unknown_driver_tokens(config)
-    expected = classify_driver(parts)["type"]
-    out += [
-        says(~kind.isin(*S.DRIVER_TYPES), "unknown driver type: ", kind),
-        says(config.rlike(r"\s"), "driver config has blanks"),
-        says((kind != "") & (config == ""), "driver type without config"),
-        says((config != "") & (kind == "") & (F.size(parts) > 0), "driver config without type"),
-        says(F.size(strange) > 0, "unknown driver tokens: ", joined(strange)),
-        says((F.size(parts) > 0) & (expected != kind), "driver type should be ", expected),
-    ]
-
+        is_whole = "trim(price_usd) RLIKE '^[+-]?[0-9]+$'"
+        price = [(f"NOT coalesce({is_whole}, false)", says("price is not a whole number: ", "=price_usd"))]
+        whole = f"CASE WHEN {is_whole} THEN _price END"
+    specs = []
     for f in ("impedance", "sensitivity"):
-        v = number(df, f)
         if f in raw_text:
-            out.append(says(F.col(f).contains("."), f"{f} is not a whole number"))
-        out += [
-            says(finite(v).isNull(), f"{f} is not a finite number"),
-            says(finite(v) < 0, f"{f} is negative"),
-        ]
+            specs.append((f"contains({f}, '.')", says(f"{f} is not a whole number")))
+        specs += [(f"_{f} IS NULL", says(f"{f} is not a finite number")), (f"_{f} < 0", says(f"{f} is negative"))]
+    return [
+        ("_brand = ''", says("brand is required")),
+        ("_model = ''", says("model is required")),
+        ("_want = ''", says("no id can be built")),
+        ("_want <> '' AND NOT id <=> _want", says("id should be ", "=_want")),
+        (f"_year <> 0 AND _year NOT BETWEEN {S.YEAR_MIN} AND {last}", says("year out of range: ", "=year")),
+        *price,
+        (f"{whole} < 0", says("price is negative")),
+        (f"{whole} > {S.PRICE_MAX}", says("price is above the maximum")),
+        (f"{whole} BETWEEN 0 AND {S.PRICE_MAX} AND {whole} % 5 <> 0", says("price is not a multiple of 5: ", "=_whole")),
+        ("_form = ''", says("form factor is required")),
+        (f"_form <> '' AND _form NOT IN ({quoted(S.FORM_FACTORS)})", says("unknown form factor: ", "=_form")),
+        ("_conn = ''", says("connector is required")),
+        (f"_conn <> '' AND _conn NOT IN ({quoted(S.CONNECTORS)})", says("unknown connector: ", "=_conn")),
+        (BAD_CONNECTOR, says("connector ", "=_conn", " does not fit ", "=_form")),
+        (f"_kind NOT IN ({quoted(S.DRIVER_TYPES)})", says("unknown driver type: ", "=_kind")),
+        ("_blanks", says("driver config has blanks")),
+        ("_kind <> '' AND _config = ''", says("driver type without config")),
+        ("_config <> '' AND _kind = '' AND size(_parts) > 0", says("driver config without type")),
+        ("size(_strange) > 0", says("unknown driver tokens: ", "=array_join(_strange, ', ')")),
+        ("size(_parts) > 0 AND _driver.type <> _kind", says("driver type should be ", "=_driver.type")),
+        *specs,
+        ("size(_dup_tags) > 0", says("duplicate tags: ", "=array_join(_dup_tags, ', ')")),
+        ("size(_odd_tags) > 0", says("unapproved tags: ", "=array_join(_odd_tags, ', ')")),
+        (f"size(_tags) < {S.TAG_MIN}", says(f"fewer than {S.TAG_MIN} tags")),
+        (f"size(_tags) > {S.TAG_MAX}", says(f"more than {S.TAG_MAX} tags")),
+    ]
 
-    tags = tag_list("tags")
-    tiers = tier_tags("tags")
-    priced = py_float("price_usd") if "price_usd" in raw_text else F.col("price_usd")
-    strange_tags = F.array_except(tags, literals(S.APPROVED_TAGS))
-    clashes = F.transform(
-        tag_conflicts("tags"), lambda c: F.concat(F.lit("conflicting tags: "), c["pair"])
+
+def with_row_errors(df: DataFrame, last_year: int | None = None, name: str = "errors") -> DataFrame:
+    """The input with the errors that need no other row."""
+    raw_text = {n for n, t in df.dtypes if t == "string"}
+    listed = ", ".join(f"CASE WHEN {c} THEN {m} END" for c, m in _checks(raw_text, last_year or year_max()))
+    clashes = f"transform(_clashes, c -> {says('conflicting tags: ', '=c.pair')})"
+    tier = (
+        f"CASE WHEN size(_tiers) <> 1 THEN {says('exactly one price tier tag is required')} "
+        f"WHEN _tiers[0] <> _tier THEN {says('price tier should be ', '=_tier')} END"
     )
-    out += [
-        says(F.size(duplicated("tags")) > 0, "duplicate tags: ", joined(duplicated("tags"))),
-        says(F.size(strange_tags) > 0, "unapproved tags: ", joined(strange_tags)),
-        says(F.size(tags) < S.TAG_MIN, f"fewer than {S.TAG_MIN} tags"),
-        says(F.size(tags) > S.TAG_MAX, f"more than {S.TAG_MAX} tags"),
-    ]
-    tier = [
-        says(F.size(tiers) != 1, "exactly one price tier tag is required"),
-        says((F.size(tiers) == 1) & (F.get(tiers, F.lit(0)) != expected_tier(priced)), "price tier should be ", expected_tier(priced)),
-    ]
-    return F.concat(F.array_compact(F.array(*out)), clashes, F.array_compact(F.array(*tier)))
+    errors = F.expr(f"array_compact(concat(array({listed}), {clashes}, array({tier})))")
+    return with_facts(df).select(*df.columns, errors.alias(name))
 
 
 def validate(df: DataFrame, key: str = "row_id", last_year: int | None = None) -> DataFrame:
     """The input with ``errors``; ids must also be unique across rows."""
     shared = df.where("id <> ''").groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1")
-    marked = df.withColumn("_errors", row_errors(df, last_year)).join(shared, "id", "left")
-    taken = says(F.col("_n").isNotNull(), "id is used by another entry: ", F.col("id"))
-    return marked.withColumn("errors", F.concat("_errors", F.array_compact(F.array(taken)))).select(
-        *df.columns, "errors"
-    )
+    checked = with_row_errors(df, last_year, "_errors").join(shared, "id", "left")
+    taken = F.when(F.col("_n").isNotNull(), F.array(F.concat(F.lit("id is used by another entry: "), F.col("id"))))
+    errors = F.concat("_errors", F.coalesce(taken, F.array().cast("array<string>")))
+    return checked.withColumn("errors", errors).select(*df.columns, "errors")

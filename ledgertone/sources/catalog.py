@@ -46,58 +46,64 @@ def read_catalog(spark: SparkSession, path: str, format: str = "json") -> DataFr
     )
 
 
-def _note(cond, *parts) -> Column:
-    parts = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts]
-    return F.when(F.coalesce(cond, F.lit(False)), F.concat(*parts))
-
-
-def _int_field(f: str):
+def _readings(f: str) -> list[Column]:
+    """The text of a field and its typed reading: ``t_`` and ``v_`` columns."""
     raw = F.col("raw")[f]
-    present = F.map_contains_key("raw", F.lit(f))
-    t = strip(raw)
-    decimal = finite(py_float(F.replace(t, F.lit(","), F.lit("."))))
-    plain = t.rlike(r"^[+-]?\d+$")
-    dotted = ~plain & t.contains(".")
-    value = (
-        F.when((t == "") | t.contains("_"), F.lit(0))
-        .when(dotted, F.coalesce(F.when(F.abs(decimal) < 2.1e9, half_up(decimal)), F.lit(0)))
-        .otherwise(coerce_int(t))
-        .cast("bigint")
-    )
-    value = F.when(value.between(-(2**31), 2**31 - 1), value).otherwise(0).cast("int")
-    message = (
-        F.when(present & raw.isNull(), F.lit("no value; set to 0"))
-        .when(t == "", F.lit(None))
-        .when(t.contains("_"), F.lit("underscores; set to 0"))
-        .when(dotted & decimal.isNull(), F.lit("not a number; set to 0"))
-        .when(dotted | (value.cast("string") != t), F.concat(F.lit("changed to "), value.cast("string")))
-    )
-    return value.alias(f), F.when(
-        message.isNotNull(), F.concat(F.lit("'"), F.coalesce(raw, F.lit("null")), F.lit("' "), message)
-    )
-
-
-def _string_field(f: str):
-    raw = F.col("raw")[f]
-    nested = raw.rlike(r"^\s*[\[{]") & F.try_parse_json(raw).isNotNull()
-    return strip(raw).alias(f), _note(nested, "structured value kept as text")
-
-
-def _list_field(f: str):
-    raw = F.col("raw")[f]
-    items = F.from_json(raw, "array<string>")
-    is_list = F.coalesce(F.ltrim(raw).startswith("["), F.lit(False)) & items.isNotNull()
-
-    def nested(x):
-        return x.rlike(r"^\s*[\[{]") & F.try_parse_json(x).isNotNull()
-
-    kept = F.filter(F.transform(items, lambda x: F.when(~nested(x), strip(x))), lambda x: x.isNotNull() & (x != ""))
-    empty = F.array().cast("array<string>")
-    dropped = F.size(F.filter(items, lambda x: F.coalesce(nested(x), F.lit(False))))
-    return F.when(is_list, kept).otherwise(empty).alias(f), F.coalesce(
-        _note(~is_list & raw.isNotNull() & ~strip(raw).isin("", "{}"), "not a list; emptied"),
-        _note(is_list & (dropped > 0), dropped, " structured items dropped"),
-    )
+    if f in S.INT_FIELDS:
+        return [strip(raw).alias(f"t_{f}")]
+    if f in S.LIST_FIELDS:
+        return [F.from_json(raw, "array<string>").alias(f"t_{f}")]
+    return [strip(raw).alias(f"t_{f}")]
+
+
+# JSON objects and lists among texts
+NESTED = r"{0} RLIKE '^\\s*[\\[{{]' AND try_parse_json({0}) IS NOT NULL"
+
+
+def _typed(f: str) -> list[Column]:
+    t = F.col(f"t_{f}")
+    if f in S.INT_FIELDS:
+        # a decimal comma counts here, in text that also has a point
+        dotted = t.contains(".") & ~t.rlike(r"^[+-]?\d+$")
+        decimal = finite(py_float(F.replace(t, F.lit(","), F.lit("."))))
+        return [F.when(dotted, half_up(decimal)).otherwise(coerce_int(t)).alias(f"v_{f}")]
+    if f in S.LIST_FIELDS:
+        return [F.expr(f"filter(t_{f}, x -> {NESTED.format('x')})").alias(f"n_{f}")]
+    return []
+
+
+def _final(f: str) -> Column:
+    if f in S.INT_FIELDS:
+        return F.expr(
+            f"CASE WHEN contains(t_{f}, '_') OR NOT v_{f} BETWEEN -2147483648 AND 2147483647 THEN 0 "
+            f"ELSE coalesce(cast(v_{f} AS int), 0) END"
+        ).alias(f)
+    if f in S.LIST_FIELDS:
+        kept = F.filter(
+            F.transform(F.array_except(F.array_compact(f"t_{f}"), f"n_{f}"), lambda x: strip(x)), lambda x: x != ""
+        )
+        full = F.filter(F.transform(f"t_{f}", lambda x: strip(x)), lambda x: x != "")
+        return F.coalesce(F.when(F.size(f"n_{f}") > 0, kept).otherwise(full), F.array().cast("array<string>")).alias(f)
+    return F.col(f"t_{f}").alias(f)
+
+
+def _message(f: str) -> str:
+    """SQL for the note a field earns, null when its value was taken as it is."""
+    raw = f"raw['{f}']"
+    if f in S.INT_FIELDS:
+        reason = (
+            f"CASE WHEN map_contains_key(raw, '{f}') AND {raw} IS NULL THEN 'no value; set to 0' "
+            f"WHEN t_{f} = '' THEN NULL WHEN contains(t_{f}, '_') THEN 'underscores; set to 0' "
+            f"WHEN v_{f} IS NULL THEN 'not a number; set to 0' "
+            f"WHEN t_{f} <> cast(f_{f} AS string) THEN concat('changed to ', cast(f_{f} AS string)) END"
+        )
+        return f"concat('\\'', coalesce({raw}, 'null'), '\\' ', {reason})"
+    if f in S.LIST_FIELDS:
+        return (
+            f"CASE WHEN t_{f} IS NULL AND trim({raw}) NOT IN ('', '{{}}') THEN 'not a list; emptied' "
+            f"WHEN size(n_{f}) > 0 THEN concat(cast(size(n_{f}) AS string), ' structured items dropped') END"
+        )
+    return f"CASE WHEN {NESTED.format(raw)} THEN 'structured value kept as text' END"
 
 
 def clean_catalog(raw: DataFrame, hints: bool = True):
@@ -107,17 +113,16 @@ def clean_catalog(raw: DataFrame, hints: bool = True):
     the field they resemble; that comparison runs on the distinct keys only.
     """
     raw = raw.withColumn("raw", F.col("raw").cast(RAW))
-    build = {}
-    for f in S.FIELDS:
-        build[f] = _int_field(f) if f in S.INT_FIELDS else _list_field(f) if f in S.LIST_FIELDS else _string_field(f)
     entries = raw.where("raw IS NOT NULL")
-    catalog = entries.select("row_id", *[build[f][0] for f in S.FIELDS])
-
-    def record(f, message):
-        return F.when(message.isNotNull(), F.struct(F.lit(f).alias("field"), message.alias("message")))
-
-    found = entries.select(
-        "row_id", F.explode(F.array_compact(F.array(*[record(f, build[f][1]) for f in S.FIELDS]))).alias("n")
+    read = entries.select("row_id", "raw", *[c for f in S.FIELDS for c in _readings(f)])
+    typed = read.select("*", *[c for f in S.FIELDS for c in _typed(f)])
+    final = typed.select("*", *[_final(f).alias(f"f_{f}") for f in S.FIELDS])
+    catalog = final.select("row_id", *[F.col(f"f_{f}").alias(f) for f in S.FIELDS])
+
+    # concat with a null reason is null, so quiet fields drop out of the array
+    records = ", ".join(f"named_struct('field', '{f}', 'message', {_message(f)})" for f in S.FIELDS)
+    found = final.select(
+        "row_id", F.explode(F.expr(f"filter(array({records}), n -> n.message IS NOT NULL)")).alias("n")
     ).select("row_id", "n.field", "n.message")
 
     unknown = entries.select(

@@ -1,6 +1,6 @@
 """The two batch jobs in their streaming form."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -94,7 +94,8 @@ def stream_apply_changes(docs: DataFrame, table: SnapshotTable, checkpoint: str,
         catalog = table.read(before=version)
         found, errors = ingest_change_docs(batch, text_col, doc_id)
         # documents in order, then their changes in order
-        ordered = found.withColumn("change_id", F.col("doc_id").cast("bigint") * 1_000_000 + F.col("seq") % 1_000_000)
+        turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
+        ordered = found.withColumn("change_id", F.col("doc_id").cast("bigint") * 1_000_000 + turn)
         ready = C.normalize_prices(C.normalize_brands(ordered, catalog))
         proposals = C.classify_changes(catalog, ready)
         staged, problems, _ = C.stage(C.merge_fields(proposals), catalog, files)

@@ -68,7 +68,7 @@ def _typed(f: str) -> list[Column]:
         decimal = finite(py_float(F.replace(t, F.lit(","), F.lit("."))))
         return [F.when(dotted, half_up(decimal)).otherwise(coerce_int(t)).alias(f"v_{f}")]
     if f in S.LIST_FIELDS:
-        return [F.expr(f"filter(t_{f}, x -> {NESTED.format('x')})").alias(f"n_{f}")]
+        return [F.expr(f"filter(t_{f}, x -> coalesce({NESTED.format('x')}, false))").alias(f"n_{f}")]
     return []
 
 
@@ -79,11 +79,9 @@ def _final(f: str) -> Column:
             f"ELSE coalesce(cast(v_{f} AS int), 0) END"
         ).alias(f)
     if f in S.LIST_FIELDS:
-        kept = F.filter(
-            F.transform(F.array_except(F.array_compact(f"t_{f}"), f"n_{f}"), lambda x: strip(x)), lambda x: x != ""
-        )
-        full = F.filter(F.transform(f"t_{f}", lambda x: strip(x)), lambda x: x != "")
-        return F.coalesce(F.when(F.size(f"n_{f}") > 0, kept).otherwise(full), F.array().cast("array<string>")).alias(f)
+        flat = F.filter(f"t_{f}", lambda x: x.isNotNull() & ~F.array_contains(f"n_{f}", x))
+        kept = F.filter(F.transform(flat, lambda x: strip(x)), lambda x: x != "")
+        return F.coalesce(kept, F.array().cast("array<string>")).alias(f)
     return F.col(f"t_{f}").alias(f)
 
 

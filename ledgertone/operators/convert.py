@@ -60,7 +60,7 @@ def plan_groups(paths: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-def convert(paths: DataFrame, points: DataFrame, inventory: DataFrame | None = None, slice_of: Column | None = None):
+def convert(paths: DataFrame, points: DataFrame, inventory: DataFrame | None = None, slice_of: str | None = None):
     """(points, outcomes): one standard curve per output name and what became of each file.
 
     A pair that covers a common band and differs by at most 10 dB on average becomes one

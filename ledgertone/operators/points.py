@@ -19,20 +19,17 @@ def octave_slice(freq: str = "freq", per_octave: int = SLICES_PER_OCTAVE) -> Col
     return F.floor(F.log2(f) * per_octave)
 
 
-def linear_slice(width: float, freq: str = "freq") -> Column:
-    return F.floor(F.col(freq) / F.lit(float(width)))
-
-
-def interpolate(points: DataFrame, grid: DataFrame, keys=("curve_id",), slice_of: Column | None = None,
+def interpolate(points: DataFrame, grid: DataFrame, keys=("curve_id",), slice_of: str | None = None,
                 keep: tuple[str, ...] = ()) -> DataFrame:
     """Linear values of each curve at the grid's frequencies, clamped at the curve's ends.
 
-    ``grid`` has the keys, ``freq`` and the columns named in ``keep``. Samples and grid are
+    ``grid`` has the keys, ``freq`` and the columns named in ``keep``. ``slice_of`` is the SQL
+    that cuts the axis, quarter octaves by default. Samples and grid are
     united and sorted once per (curve, slice); the nearest samples beyond a slice come from
     an aggregate with one row per slice.
     """
     keys = list(keys)
-    slice_of = octave_slice() if slice_of is None else slice_of
+    slice_of = octave_slice() if slice_of is None else F.expr(slice_of)
     samples = points.select(
         *keys, "freq", "spl", F.lit(True).alias("_s"), *[F.lit(None).cast(grid.schema[k].dataType).alias(k) for k in keep]
     )
@@ -79,21 +76,21 @@ def _pair_bounds(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _b_on_a(a: DataFrame, b: DataFrame, key: str, slice_of: Column | None) -> DataFrame:
+def _b_on_a(a: DataFrame, b: DataFrame, key: str, slice_of: str | None) -> DataFrame:
     """key, freq, spl_a, spl_b on A's points inside the common band."""
     band = _pair_bounds(a, b, key)
     grid = a.join(band, key).where("freq >= lo AND freq <= hi").select(key, "freq", F.col("spl").alias("spl_a"))
     return interpolate(b, grid, (key,), slice_of, keep=("spl_a",)).withColumnRenamed("spl", "spl_b")
 
 
-def average_pair(a: DataFrame, b: DataFrame, key: str = "curve_id", slice_of: Column | None = None) -> DataFrame:
+def average_pair(a: DataFrame, b: DataFrame, key: str = "curve_id", slice_of: str | None = None) -> DataFrame:
     """Mean of two curves per key on A's grid over the common band."""
     return _b_on_a(a, b, key, slice_of).select(
         key, "freq", ((F.col("spl_a").cast("double") + F.col("spl_b")) / 2).alias("spl")
     )
 
 
-def curve_diff(a: DataFrame, b: DataFrame, key: str = "curve_id", slice_of: Column | None = None) -> DataFrame:
+def curve_diff(a: DataFrame, b: DataFrame, key: str = "curve_id", slice_of: str | None = None) -> DataFrame:
     """A minus B on A's grid over the common band, levels as they are."""
     return _b_on_a(a, b, key, slice_of).select(key, "freq", (F.col("spl_a").cast("double") - F.col("spl_b")).alias("diff"))
 
@@ -102,7 +99,7 @@ def diff_summary(diff: DataFrame, key: str = "curve_id") -> DataFrame:
     return diff.groupBy(key).agg(F.max("diff").alias("max_diff"), exact_mean("diff").alias("mean_diff"), F.count("*").alias("n"))
 
 
-def pair_mismatch(a: DataFrame, b: DataFrame, key: str = "curve_id", slice_of: Column | None = None) -> DataFrame:
+def pair_mismatch(a: DataFrame, b: DataFrame, key: str = "curve_id", slice_of: str | None = None) -> DataFrame:
     """Mean absolute difference per key: infinite when disjoint, 0 without a common point."""
     band = _pair_bounds(a, b, key)
     gap = _b_on_a(a, b, key, slice_of).groupBy(key).agg(

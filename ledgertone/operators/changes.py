@@ -87,6 +87,8 @@ def classify_changes(catalog: DataFrame, changes: DataFrame) -> DataFrame:
     row wins. Pairs claim before entries, in order, and a row takes one proposal. Pairs of
     equal content are dropped.
     """
+    # the incoming batch as it is after normalizing: three lookups and the comparison read it
+    changes = cut_lineage(changes)
     by_id = catalog.where("id <> ''").groupBy("id").agg(F.min("row_id").alias("row_id"))
     by_ident = catalog.groupBy(_identity(lambda f: F.col(f)).alias("ident")).agg(F.min("row_id").alias("row_id"))
     is_pair = F.col("kind") == "pair"
@@ -119,7 +121,7 @@ def classify_changes(catalog: DataFrame, changes: DataFrame) -> DataFrame:
         .otherwise("changed")
     )
     error = F.when(unmatched & empty, F.lit("no entry matches")).when(late, F.lit("targeted more than once"))
-    out = held.withColumn("action", action).withColumn(
+    out = cut_lineage(held.withColumn("action", action)).withColumn(
         "changes", F.when(F.col("action") == "changed", _differences(F.col("old"), F.col("replace")))
     )
     return out.where("action <> 'changed' OR size(changes) > 0").select(
@@ -172,47 +174,49 @@ def stage(proposals: DataFrame, catalog: DataFrame, files: DataFrame | None = No
     normalized, links to missing files removed, the result validated, and ids settled in
     order against the ids in use.
     """
-    writes = proposals.where("action <> 'delete'")
-    raw = writes.withColumn(
-        "replace", F.map_from_arrays(F.array(*[F.lit(f) for f in S.FIELDS]), F.array(*[_candidate(f) for f in S.FIELDS]))
+    # one column per field, written out: every later step reads them several times
+    writes = proposals.where("action <> 'delete'").select(
+        "change_id", "action", "row_id", "fields", F.col("old")["id"].alias("old_id"),
+        F.coalesce(F.col("old")["files"], F.array().cast("array<string>")).alias("old_files"),
+        *[(_list(_candidate(f)) if f in S.LIST_FIELDS else _candidate(f)).alias(f) for f in S.FIELDS],
     )
+    flat = cut_lineage(writes)
+
+    def may(f):
+        return F.col("fields").isNull() | F.array_contains("fields", f)
+
     # a missing or empty list of links never unlinks
-    none_listed = F.size(_list(F.col("replace")["files"])) == 0
-    old_files = F.coalesce(F.col("old")["files"], F.array().cast("array<string>"))
-    kept = (F.col("action") == "changed") & none_listed
-    raw = raw.withColumn("n_links_kept", F.when(kept, F.size(old_files)).otherwise(0))
-    raw = raw.withColumn(
-        "replace", F.when(kept, _put(F.col("replace"), "files", F.to_json(old_files))).otherwise(F.col("replace"))
+    kept = (F.col("action") == "changed") & (F.size("files") == 0)
+    want = build_id("brand", "model", "variant")
+    fixed_price = import_price("price_usd")
+    flat = (
+        flat.withColumn("n_links_kept", F.when(kept, F.size("old_files")).otherwise(0))
+        .withColumn("files", F.when(kept, F.col("old_files")).otherwise(F.col("files")))
+        .withColumn("_want", want)
+        .withColumn("id", F.when(F.col("_want") != "", F.col("_want")).otherwise(F.col("id")))
+        .withColumn("_price", F.when(may("price_usd") & F.col("price_usd").isNotNull(), fixed_price).otherwise(F.col("price_usd")))
     )
-    want = build_id(F.col("replace")["brand"], F.col("replace")["model"], F.col("replace")["variant"])
-    raw = raw.withColumn("replace", F.when(want != "", _put(F.col("replace"), "id", want)).otherwise(F.col("replace")))
-    before = F.col("replace")
-    raw = raw.withColumn("_before", before)
-    priced = normalize_prices(raw.where("fields IS NULL"))
-    some = raw.where("fields IS NOT NULL")
-    some_price = normalize_prices(some.where(F.array_contains("fields", "price_usd")), {"price_usd"}).unionByName(
-        some.where(~F.array_contains("fields", "price_usd"))
+    flat = flat.withColumn(
+        "_tags", F.when(may("tags"), fix_tier_tags("tags", F.coalesce(py_float("_price"), F.lit(0.0)))).otherwise(F.col("tags"))
     )
-    some_tags = normalize_prices(some_price.where(F.array_contains("fields", "tags")), {"tags"}).unionByName(
-        some_price.where(~F.array_contains("fields", "tags"))
+    changed = ~F.col("_price").eqNullSafe(F.col("price_usd")) | (F.col("_tags") != F.col("tags"))
+    flat = (
+        flat.withColumn("was_fixed", changed)
+        .withColumn("price_usd", F.col("_price"))
+        .withColumn("tags", F.col("_tags"))
+        .withColumn("n_phantoms", F.lit(0))
+        .drop("_want", "_price", "_tags", "old_files")
     )
-    raw = priced.unionByName(some_tags)
-    raw = raw.withColumn("was_fixed", ~F.to_json("_before").eqNullSafe(F.to_json("replace")))
-
-    flat = raw.select(
-        "change_id", "action", "row_id", "fields", "n_links_kept", "was_fixed", F.col("old")["id"].alias("old_id"),
-        *[(_list(F.col("replace")[f]) if f in S.LIST_FIELDS else F.col("replace")[f]).alias(f) for f in S.FIELDS],
-    ).withColumn("n_phantoms", F.lit(0))
     if files is not None:
-        linked = flat.where(F.col("fields").isNull() | F.array_contains("fields", "files"))
+        linked = flat.where(may("files"))
         real = links.strip_phantom_files(linked, files, key="change_id")
         flat = flat.join(real, "change_id", "left")
         gone = F.coalesce(F.size("dropped"), F.lit(0))
         flat = flat.withColumn("n_phantoms", gone).withColumn(
-            "files", F.when(gone > 0, F.col("kept")).otherwise(F.col("files"))
+            "files", F.when(F.col("n_phantoms") > 0, F.col("kept")).otherwise(F.col("files"))
         ).drop("kept", "dropped")
 
-    judged = cut_lineage(with_row_errors(flat, None, "_errors"))
+    judged = cut_lineage(with_row_errors(cut_lineage(flat), None, "_errors"))
     valid = judged.where("size(_errors) = 0")
     settled = settle_ids(
         valid.select(F.col("change_id").alias("seq"), F.when(F.col("action") == "changed", F.col("old_id")).alias("old_id"), F.col("id").alias("new_id")),
@@ -228,7 +232,7 @@ def stage(proposals: DataFrame, catalog: DataFrame, files: DataFrame | None = No
     problems = judged.where("size(_errors) > 0").select("change_id", F.get("_errors", F.lit(0)).alias("error")).unionByName(
         taken.select("change_id", F.concat(F.lit("id is used by another entry: "), F.col("new_id")).alias("error"))
     )
-    stats = flat.agg(
+    stats = judged.agg(
         F.count("*").alias("n_candidates"),
         F.count_if("was_fixed").alias("n_fixed"),
         F.sum("n_phantoms").alias("n_phantom_links"),

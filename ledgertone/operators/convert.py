@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_path, sanitize_filename
+from ..session import cut_lineage
 from .history import diff_op
-from .points import average_pair, pair_mismatch
+from .points import b_on_a, mean_of, mismatch_of, pair_bounds
 
 # Pair endings of a file name, and how far apart a pair may be.
 NUMBERED = r"(?s)^(.*?)[_\-(\[]+([12])[\s_\-)\]]*$"
@@ -80,10 +81,12 @@ def convert(paths: DataFrame, points: DataFrame, inventory: DataFrame | None = N
     pairs = plans.where("averaged AND n_good = 2").select("key", "first_path", "second_path", "out_name")
     a = pairs.select("key", F.col("first_path").alias("curve_id")).join(points, "curve_id").select("key", "freq", "spl")
     b = pairs.select("key", F.col("second_path").alias("curve_id")).join(points, "curve_id").select("key", "freq", "spl")
-    apart = pair_mismatch(a, b, "key", slice_of)
-    mean = average_pair(a, b, "key", slice_of)
-    has_mean = mean.select("key").distinct().withColumn("_mean", F.lit(True))
-    judged = pairs.join(apart, "key").join(has_mean, "key", "left")
+    # interpolated once, read for the mismatch and for the average
+    onto = cut_lineage(b_on_a(a, b, "key", slice_of))
+    apart = mismatch_of(pair_bounds(a, b, "key"), onto, "key")
+    mean = mean_of(onto, "key")
+    has_mean = onto.select("key").distinct().withColumn("_mean", F.lit(True))
+    judged = cut_lineage(pairs.join(apart, "key").join(has_mean, "key", "left"))
     ok = (F.col("mismatch") <= MAX_MISMATCH_DB) & F.coalesce("_mean", F.lit(False))
     fine = judged.where(ok).select("key", "out_name", "first_path", "second_path")
     averaged = mean.join(fine.select("key", "out_name"), "key").select(F.col("out_name").alias("curve_id"), "freq", "spl")
@@ -102,6 +105,7 @@ def convert(paths: DataFrame, points: DataFrame, inventory: DataFrame | None = N
     alone = alone.withColumn("lead_file", is_lead).withColumn(
         "target", F.when(is_lead, F.col("out_name")).otherwise(own)
     )
+    alone = cut_lineage(alone)
     taken = plans.select(F.col("out_name").alias("target"))
     if inventory is not None:
         taken = taken.unionByName(inventory.select(F.regexp_extract("path", r"([^/\\]*)$", 1).alias("target")))

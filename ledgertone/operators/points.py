@@ -68,7 +68,7 @@ def overlap_bounds(points: DataFrame, group: str, curve: str = "curve_id") -> Da
     )
 
 
-def _pair_bounds(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+def pair_bounds(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     ends_a = a.groupBy(key).agg(F.min("freq").alias("a0"), F.max("freq").alias("a1"))
     ends_b = b.groupBy(key).agg(F.min("freq").alias("b0"), F.max("freq").alias("b1"))
     return ends_a.join(ends_b, key).select(
@@ -76,23 +76,32 @@ def _pair_bounds(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _b_on_a(a: DataFrame, b: DataFrame, key: str, slice_of: str | None) -> DataFrame:
+def b_on_a(a: DataFrame, b: DataFrame, key: str, slice_of: str | None) -> DataFrame:
     """key, freq, spl_a, spl_b on A's points inside the common band."""
-    band = _pair_bounds(a, b, key)
+    band = pair_bounds(a, b, key)
     grid = a.join(band, key).where("freq >= lo AND freq <= hi").select(key, "freq", F.col("spl").alias("spl_a"))
     return interpolate(b, grid, (key,), slice_of, keep=("spl_a",)).withColumnRenamed("spl", "spl_b")
 
 
+def mean_of(onto: DataFrame, key: str) -> DataFrame:
+    return onto.select(key, "freq", ((F.col("spl_a").cast("double") + F.col("spl_b")) / 2).alias("spl"))
+
+
+def mismatch_of(band: DataFrame, onto: DataFrame, key: str) -> DataFrame:
+    gap = onto.groupBy(key).agg(exact_mean(F.abs(F.col("spl_a").cast("double") - F.col("spl_b"))).alias("m"))
+    return band.join(gap, key, "left").select(
+        key, F.when(F.col("lo") > F.col("hi"), float("inf")).otherwise(F.coalesce("m", F.lit(0.0))).alias("mismatch")
+    )
+
+
 def average_pair(a: DataFrame, b: DataFrame, key: str = "curve_id", slice_of: str | None = None) -> DataFrame:
     """Mean of two curves per key on A's grid over the common band."""
-    return _b_on_a(a, b, key, slice_of).select(
-        key, "freq", ((F.col("spl_a").cast("double") + F.col("spl_b")) / 2).alias("spl")
-    )
+    return mean_of(b_on_a(a, b, key, slice_of), key)
 
 
 def curve_diff(a: DataFrame, b: DataFrame, key: str = "curve_id", slice_of: str | None = None) -> DataFrame:
     """A minus B on A's grid over the common band, levels as they are."""
-    return _b_on_a(a, b, key, slice_of).select(key, "freq", (F.col("spl_a").cast("double") - F.col("spl_b")).alias("diff"))
+    return b_on_a(a, b, key, slice_of).select(key, "freq", (F.col("spl_a").cast("double") - F.col("spl_b")).alias("diff"))
 
 
 def diff_summary(diff: DataFrame, key: str = "curve_id") -> DataFrame:
@@ -101,13 +110,7 @@ def diff_summary(diff: DataFrame, key: str = "curve_id") -> DataFrame:
 
 def pair_mismatch(a: DataFrame, b: DataFrame, key: str = "curve_id", slice_of: str | None = None) -> DataFrame:
     """Mean absolute difference per key: infinite when disjoint, 0 without a common point."""
-    band = _pair_bounds(a, b, key)
-    gap = _b_on_a(a, b, key, slice_of).groupBy(key).agg(
-        exact_mean(F.abs(F.col("spl_a").cast("double") - F.col("spl_b"))).alias("m")
-    )
-    return band.join(gap, key, "left").select(
-        key, F.when(F.col("lo") > F.col("hi"), float("inf")).otherwise(F.coalesce("m", F.lit(0.0))).alias("mismatch")
-    )
+    return mismatch_of(pair_bounds(a, b, key), b_on_a(a, b, key, slice_of), key)
 
 
 def consensus_curve(points: DataFrame, entry: str, curve: str = "curve_id", salts: int = 16) -> DataFrame:

@@ -51,13 +51,13 @@ METRICS = f"""base AS (SELECT curve_id, label, count(*) AS n, max(freq) AS fmax,
   {mean('freq BETWEEN 500 AND 1500')} AS m, {mean('freq BETWEEN 2500 AND 3500')} AS p, CAST(max(spl) FILTER (freq BETWEEN 2500 AND 3500) AS DOUBLE) AS pp,
   {mean('freq BETWEEN 6000 AND 15000')} AS t, CAST(max(spl) FILTER (freq BETWEEN 6000 AND 15000) AS DOUBLE) AS tp FROM pts WHERE {CUT} GROUP BY 1, 2),
 mm AS (SELECT *, CASE WHEN n < 20 THEN 'too few points' WHEN ref IS NULL THEN 'no level near 1 kHz' END AS error, (least(15000.0, fmax) - 6000) / 9000.0 AS cover FROM base),
-met AS (SELECT curve_id, label, error, cover, CASE WHEN error IS NULL THEN round_even(b - ref, 1)::DOUBLE END AS bass_shelf,
-  CASE WHEN error IS NULL THEN round_even(m - ref, 1)::DOUBLE END AS mid_level, CASE WHEN error IS NULL THEN round_even(p - ref, 1)::DOUBLE END AS pinna_gain,
-  CASE WHEN error IS NULL THEN round_even(pp - ref, 1)::DOUBLE END AS pinna_peak,
-  CASE WHEN error IS NULL AND cover >= 0.25 THEN round_even(t - ref, 1)::DOUBLE END AS treble_avg,
-  CASE WHEN error IS NULL AND cover >= 0.25 THEN round_even(tp - ref, 1)::DOUBLE END AS treble_peak,
-  CASE WHEN error IS NULL AND cover < 0.25 THEN round_even(t - ref, 1)::DOUBLE END AS treble_avg_partial,
-  CASE WHEN error IS NULL AND cover < 0.25 THEN round_even(tp - ref, 1)::DOUBLE END AS treble_peak_partial FROM mm)"""
+met AS (SELECT curve_id, label, error, cover, CASE WHEN error IS NULL THEN round_even(b - ref, 1)::DOUBLE + 0.0 END AS bass_shelf,
+  CASE WHEN error IS NULL THEN round_even(m - ref, 1)::DOUBLE + 0.0 END AS mid_level, CASE WHEN error IS NULL THEN round_even(p - ref, 1)::DOUBLE + 0.0 END AS pinna_gain,
+  CASE WHEN error IS NULL THEN round_even(pp - ref, 1)::DOUBLE + 0.0 END AS pinna_peak,
+  CASE WHEN error IS NULL AND cover >= 0.25 THEN round_even(t - ref, 1)::DOUBLE + 0.0 END AS treble_avg,
+  CASE WHEN error IS NULL AND cover >= 0.25 THEN round_even(tp - ref, 1)::DOUBLE + 0.0 END AS treble_peak,
+  CASE WHEN error IS NULL AND cover < 0.25 THEN round_even(t - ref, 1)::DOUBLE + 0.0 END AS treble_avg_partial,
+  CASE WHEN error IS NULL AND cover < 0.25 THEN round_even(tp - ref, 1)::DOUBLE + 0.0 END AS treble_peak_partial FROM mm)"""
 
 
 def metrics(spark, sf):
@@ -113,8 +113,8 @@ def vote_tags(spark, sf):
 
 
 @query("mean_metrics", f"""WITH {POINTS}, {METRICS} SELECT label, count(*) AS n_files,
-  round_even({mean('bass_shelf IS NOT NULL', 'CAST(bass_shelf AS DECIMAL(18,6))')}, 1)::DOUBLE AS bass_shelf,
-  round_even({mean('treble_avg IS NOT NULL', 'CAST(treble_avg AS DECIMAL(18,6))')}, 1)::DOUBLE AS treble_avg FROM met WHERE error IS NULL GROUP BY 1""")
+  round_even({mean('bass_shelf IS NOT NULL', 'CAST(bass_shelf AS DECIMAL(18,6))')}, 1)::DOUBLE + 0.0 AS bass_shelf,
+  round_even({mean('treble_avg IS NOT NULL', 'CAST(treble_avg AS DECIMAL(18,6))')}, 1)::DOUBLE + 0.0 AS treble_avg FROM met WHERE error IS NULL GROUP BY 1""")
 def mean_metrics(spark, sf):
     return M.mean_metrics(M.curve_tags(metrics(spark, sf)), "label").select("label", "n_files", "bass_shelf", "treble_avg")
 
@@ -244,7 +244,7 @@ def event_lines(spark, sf):
     return e.select(F.concat(F.lit("u"), "user_id").alias("path"), F.col("event_id").alias("line_order"), head.alias("line"))
 
 
-LINES = f"""n AS (SELECT 'u' || user_id AS path, event_id, {LINE_FREQ} AS freq, value FROM events WHERE event_id % 5 <> 4 AND event_id % 97 <> 0),
+LINES = f"""n AS (SELECT 'u' || user_id AS path, event_id, {LINE_FREQ} AS freq, value FROM events WHERE event_id % 5 <> 4 AND event_id % 97 <> 0 AND value BETWEEN -200 AND 200),
 f AS (SELECT path, CAST(freq AS DOUBLE) AS freq, arg_min(value, event_id) AS spl FROM n GROUP BY 1, 2),
 c AS (SELECT path, count(*) AS k, max(freq < 1900 OR freq > 2100) AS sweep FROM f GROUP BY 1)"""
 

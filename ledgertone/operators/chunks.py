@@ -47,6 +47,11 @@ def _jumps(s: np.ndarray, end: np.ndarray, budget: int) -> np.ndarray:
     return np.maximum(nxt, np.arange(len(s)) + 1)
 
 
+def _frame(group: str, size: int, **columns) -> pd.DataFrame:
+    names = np.repeat(np.array([group], dtype=object), size)
+    return pd.DataFrame({"g": pd.Series(names, dtype=object), **{k: np.asarray(v, dtype=np.int64) for k, v in columns.items()}})
+
+
 def chunk_numbers(rows: DataFrame, budget: int, budgets_per_block: int = 256) -> DataFrame:
     """rows(g, o, t) with ``chunk``: exactly the greedy fill, one chunk after the other.
 
@@ -70,7 +75,7 @@ def chunk_numbers(rows: DataFrame, budget: int, budgets_per_block: int = 256) ->
         s, t, halo = pdf["s"].to_numpy(), pdf["t"].to_numpy(), pdf["halo"].to_numpy()
         own = int((~halo).sum())
         if own == 0:
-            return pd.DataFrame({"g": [], "b": [], "entry": [], "exit": [], "n": []})
+            return _frame(pdf["g"].iloc[0], 0, b=[], entry=[], exit=[], n=[])
         block = int(pdf["b"].iloc[0])
         end = s + t
         nxt = _jumps(s, end, budget)
@@ -83,8 +88,8 @@ def chunk_numbers(rows: DataFrame, budget: int, budgets_per_block: int = 256) ->
         entry = np.nonzero(s[:own] - block * span <= budget)[0]
         if len(entry) == 0 or entry[0] != 0:
             entry = np.concatenate([[0], entry])
-        return pd.DataFrame(
-            {"g": pdf["g"].iloc[0], "b": block, "entry": s[entry], "exit": follows[entry], "n": count[entry]}
+        return _frame(
+            pdf["g"].iloc[0], len(entry), b=np.full(len(entry), block), entry=s[entry], exit=follows[entry], n=count[entry]
         )
 
     key = rows.schema["g"].dataType.simpleString()
@@ -127,7 +132,7 @@ def chunk_numbers(rows: DataFrame, budget: int, budgets_per_block: int = 256) ->
                 before += 1
                 chunk[i : nxt[i]] = before
                 i = nxt[i]
-        return pd.DataFrame({"g": pdf["g"], "s": s, "chunk": chunk})
+        return _frame(pdf["g"].iloc[0], len(s), s=s, chunk=chunk)
 
     numbered = blocks.select("g", "b", "s", "t", "entry", "before", "all").groupBy("g", "b").applyInPandas(
         number, f"g {key}, s bigint, chunk bigint"

@@ -8,7 +8,13 @@ from ..functions.text import brand_fold, strip
 
 def _counts(df: DataFrame, column: str, fold: Column | None) -> DataFrame:
     value = strip(column)
-    folded = brand_fold(value) if fold is None else fold
+    if fold is None:
+        # the fold depends on the spelling alone, so only distinct spellings are folded
+        counted = df.select(value.alias("spelling")).groupBy("spelling").agg(F.count("*").alias("n"))
+        return counted.select(brand_fold("spelling").alias("fold"), "spelling", "n").where(
+            (F.col("fold") != "") & (F.col("spelling") != "")
+        )
+    folded = fold
     return (
         df.select(folded.alias("fold"), value.alias("spelling"))
         .where((F.col("fold") != "") & (F.col("spelling") != ""))

@@ -1,5 +1,6 @@
 """Session defaults and lineage cutting."""
 
+import functools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,19 +29,28 @@ def get_session(app: str = "ledgertone", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, seen by the driver and all executors.
 
-    Survives executor loss, unlike a local checkpoint. Only a local master may fall back to
-    a folder of this machine.
+    Only a local master, as in tests, may go without the setting; it then uses a folder of this machine.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = sc.getCheckpointDir() or _local_folder()
+    return folder.rstrip("/")
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="ledgertone-ckpt-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; survives executor loss, unlike a local checkpoint."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="ledgertone-ckpt-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

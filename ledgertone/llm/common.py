@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgertone.session import shared_folder
 
@@ -80,3 +82,33 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str =
     return nodes.select(node).distinct().join(roots, node, "left").select(
         node, F.coalesce("component", node).alias("component")
     )
+
+
+#: Characters of text handed to a function at once, beyond which a new call begins.
+CHUNK_CHARS = 8 << 20
+
+
+def per_text(docs: DataFrame, text_col: str, fn, fields: str) -> DataFrame:
+    """The rows with the columns ``fields`` (DDL) that ``fn(texts) -> [arrow array, ...]`` makes of their whole texts.
+
+    Input columns of the same names are replaced. Rows travel as one struct, so no other name can clash.
+    """
+    made = T._parse_datatype_string(fields)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            at, texts = 0, batch.column(1)
+            while at < batch.num_rows:
+                first, size, group = at, 0, []
+                while at < batch.num_rows and size < CHUNK_CHARS:
+                    group.append(texts[at].as_py())
+                    size += len(group[-1] or "")
+                    at += 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, at - first), *fn(group)], names=["row", *made.fieldNames()]
+                )
+
+    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], *made.fields]))
+    names = {n.lower() for n in made.fieldNames()}
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in names], *made.fieldNames())

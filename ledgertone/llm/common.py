@@ -22,15 +22,30 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     A lost executor costs the tasks that read it again, never the work before it. ``drop_saved`` removes the files.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = remember(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _SAVED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _SAVED: list[str] = []
 
 
+def remember(path: str) -> str:
+    """Have ``drop_saved`` remove this path too."""
+    _SAVED.append(path)
+    return path
+
+
+#: Rows of a saved table up to which it is broadcast; rows of the tables concerned are under a kilobyte.
+BROADCAST_ROWS = 20_000
+
+
+def joined_small(rows: DataFrame, saved_table: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
+    """Join with a saved table that is mostly small: broadcast once counted as small, a shuffled join beyond that."""
+    few = saved_table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(saved_table) if few else saved_table, on, how)
+
+
 def drop_saved(spark: SparkSession) -> None:
     """Remove what ``saved`` wrote so far in this process; call it when the results are written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -112,3 +127,27 @@ def per_text(docs: DataFrame, text_col: str, fn, fields: str) -> DataFrame:
     out = rows.mapInArrow(run, T.StructType([rows.schema["row"], *made.fields]))
     names = {n.lower() for n in made.fieldNames()}
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in names], *made.fieldNames())
+
+
+def sample_labelled(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, chars: int
+) -> list[tuple[str, int]]:
+    """(text, label) of at most ``rows`` documents of each label and ``chars`` characters in all, by a hash of the id.
+
+    Null ids, texts and labels teach nothing; an id labelled both ways is left out. Only the sample reaches the driver.
+    """
+    marked = (
+        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+        .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
+        .select("id", "y", F.xxhash64(F.col("id").cast("string")).alias("k"))
+    )
+    chosen = marked.where("y = 1").orderBy("k", "id").limit(rows).union(marked.where("y = 0").orderBy("k", "id").limit(rows))
+    # the sample has at most 2 * rows ids, so this side may be broadcast
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    small = texts.join(F.broadcast(chosen), "id").where(F.length("text") <= chars // 100)
+    got = []
+    for r in sorted(small.collect(), key=lambda r: (r["k"], str(r["id"]), r["text"])):
+        if len(r["text"]) <= chars:
+            got.append((r["text"], r["y"]))
+            chars -= len(r["text"])
+    return got

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgertone.plans.base import table
 
-from . import bpe, packing
+from . import bpe, packing, quality_model, rules, toxicity, warc
+from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +25,7 @@ def query(fn):
 @query
 def op1_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     vocab = public_tokenizers.path("word_bpe_49k.json")
-    done = bpe.decode(bpe.encode(table(spark, sf, "documents"), vocab), vocab)
+    done = bpe.decode(bpe.encode(table(spark, sf, "documents"), vocab, stable=True), vocab)
     return done.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
@@ -37,3 +38,43 @@ def op1_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 def op2_pack_documents(spark: SparkSession, sf: str) -> DataFrame:
     vocab = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(table(spark, sf, "documents"), vocab, most=2048, end_id=1).drop("ids")
+
+
+@query
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    out = held_out("doc_id", 4, 2)
+    model = quality_model.fit_on(docs.where(~out), labels.where(~out))
+    return quality_model.score(docs, model, threshold=0.7).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.judge(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
+
+
+@query
+def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, 'urn:page:(.*)>', 1) AS BIGINT)")
+    return warc.round_trip(table(spark, sf, "pages")).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
+    )
+
+
+ORACLES["op8_warc"] = """
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to
+FROM (SELECT *, payload_bytes >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again
+      FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+                   min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first FROM pages))
+"""
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    out = held_out("doc_id", 5, 0)
+    model = toxicity.fit_on(docs.where(~out), labels.where(~out))
+    return toxicity.score(docs, model, threshold=0.5).select("doc_id", out.alias("held_out"), "score", "predicted")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import per_text, sample_labelled
 
 BAG = 16
 SIZES = (3, 4, 5)
@@ -195,24 +195,9 @@ def score_texts(texts: list[str | None], lean: np.ndarray, bias: float) -> np.nd
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
            rows: int = FIT_ROWS) -> Model:
-    """Fit on a bounded sample of labelled documents: at most ``rows`` of each label by a hash of the id.
-
-    Null ids, texts and labels teach nothing; an id labelled both ways is left out. Only the sample reaches the driver.
-    """
-    key = F.xxhash64(F.col("id").cast("string"))
-    marked = (
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-        .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y", key.alias("k"))
-    )
-    chosen = marked.where("y = 1").orderBy("k", "id").limit(rows).union(marked.where("y = 0").orderBy("k", "id").limit(rows))
-    # the sample has at most 2 * rows ids, so this side may be broadcast
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    got, left = [], FIT_CHARS
-    for r in sorted(texts.join(F.broadcast(chosen), "id").collect(), key=lambda r: (r["k"], r["id"], r["text"])):
-        if len(r["text"]) <= left:
-            got.append(r)
-            left -= len(r["text"])
-    return fit([r["text"] for r in got], [r["y"] for r in got])
+    """Fit on a bounded sample of labelled documents, at most ``rows`` of each label by a hash of the id."""
+    got = sample_labelled(docs, labels, id_col, text_col, label_col, rows, FIT_CHARS)
+    return fit([t for t, _ in got], [y for _, y in got])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -79,20 +79,22 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str =
     edges = saved(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links"
     )
+    state = None
     while True:
+        # rounds end when the set of links stays the same, which its size and hashes tell
+        now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(xxhash64(v, u) % 1000003)")).first()
+        if now == state:
+            break
+        state = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: neighbours above the node move to its smallest neighbour
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = saved(large.where("u <> v").distinct(), "links")
         # small star: neighbours at or below the node, and the node, move to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        step = saved(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        moved = step.exceptAll(edges).limit(1).count() or edges.exceptAll(step).limit(1).count()
-        edges = step
-        if not moved:
-            break
+        edges = saved(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
     roots = edges.groupBy(F.col("u").alias(node)).agg(F.min("v").alias("component"))
     return nodes.select(node).distinct().join(roots, node, "left").select(
         node, F.coalesce("component", node).alias("component")

@@ -34,6 +34,8 @@ def test_encode_as_library(spark):
     got = bpe.decode(bpe.encode(odd(spark), WORDS), WORDS)
     assert got.columns == ["doc_id", "ids", "decoded"]
     assert sorted((str(r[0]), tuple(r[1]), r[2]) for r in got.collect()) == sorted(want)
+    once = bpe.encode(odd(spark).coalesce(1), WORDS, stable=True)
+    assert sorted((str(r[0]), tuple(r[1])) for r in once.collect()) == sorted(w[:2] for w in want)
     empty = bpe.decode(bpe.encode(odd(spark).limit(0), WORDS), WORDS)
     assert empty.count() == 0
 

@@ -40,9 +40,11 @@ def remember(path: str) -> str:
 BROADCAST_ROWS = 20_000
 
 
-def joined_small(rows: DataFrame, saved_table: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
+def joined_small(
+    rows: DataFrame, saved_table: DataFrame, on: str | list[str], how: str = "left", most: int = BROADCAST_ROWS
+) -> DataFrame:
     """Join with a saved table that is mostly small: broadcast once counted as small, a shuffled join beyond that."""
-    few = saved_table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = saved_table.count() <= most
     return rows.join(F.broadcast(saved_table) if few else saved_table, on, how)
 
 

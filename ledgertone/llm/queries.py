@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgertone.plans.base import table
 
-from . import bpe, lattice, packing, quality_model, rules, toxicity, warc
+from . import bpe, jaccard, lattice, packing, quality_model, rules, toxicity, warc
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.score(docs, model, threshold=0.7).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.linked_components(table(spark, sf, "documents"), words=4, percent=85)
+
+
 @query
 def op5_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf, "embeddings"), threshold=0.93).select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgertone.plans.base import table
 
-from . import bpe, jaccard, lattice, packing, quality_model, rules, toxicity, warc
+from . import bpe, jaccard, lattice, packing, passages, quality_model, rules, toxicity, warc
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     out = held_out("doc_id", 5, 0)
     model = toxicity.fit_on(docs.where(~out), labels.where(~out))
     return toxicity.score(docs, model, threshold=0.5).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf, "documents"), min_words=50)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgertone.plans.base import table
 
-from . import bpe, jaccard, lattice, packing, passages, quality_model, rules, toxicity, warc
+from . import bpe, jaccard, lattice, licenses, packing, passages, quality_model, rules, toxicity, warc
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op5_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op6_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.find_notices(table(spark, sf, "documents"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.judge(table(spark, sf, "documents")).select(

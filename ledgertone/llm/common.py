@@ -6,6 +6,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,12 +49,22 @@ def joined_small(
     return rows.join(F.broadcast(saved_table) if few else saved_table, on, how)
 
 
-def drop_saved(spark: SparkSession) -> None:
-    """Remove what ``saved`` wrote so far in this process; call it when the results are written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _SAVED:
-        path = jvm.org.apache.hadoop.fs.Path(_SAVED.pop())
-        path.getFileSystem(conf).delete(path, True)
+def saved_paths() -> list[str]:
+    """What ``saved`` and ``remember`` hold so far in this process."""
+    return list(_SAVED)
+
+
+def drop_saved(spark: SparkSession, paths: list[str] | None = None, still_read: DataFrame | None = None) -> None:
+    """Remove what ``saved`` wrote so far in this process, or the given part of it; call it when results are written.
+
+    What the table ``still_read`` reads stays.
+    """
+    used = still_read.inputFiles() if still_read is not None else []
+    for path in saved_paths() if paths is None else paths:
+        if path in _SAVED and not any(f"/{path.rpartition('/')[2]}/" in f for f in used):
+            _SAVED.remove(path)
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -113,11 +124,15 @@ def per_text(docs: DataFrame, text_col: str, fn, fields: str) -> DataFrame:
     Input columns of the same names are replaced. Rows travel as one struct, so no other name can clash.
     """
     made = T._parse_datatype_string(fields)
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    row = F.struct("*").alias("row")
+    if dict(docs.dtypes).get(text_col) == "string":
+        rows, place = docs.select(row), docs.columns.index(text_col)
+    else:
+        rows, place = docs.select(row, F.col(text_col).cast("string").alias("text")), -1
 
     def run(batches):
         for batch in batches:
-            at, texts = 0, batch.column(1)
+            at, texts = 0, batch.column(1) if place < 0 else pa.compute.struct_field(batch.column(0), [place])
             while at < batch.num_rows:
                 first, size, group = at, 0, []
                 while at < batch.num_rows and size < CHUNK_CHARS:
@@ -133,6 +148,15 @@ def per_text(docs: DataFrame, text_col: str, fn, fields: str) -> DataFrame:
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in names], *made.fieldNames())
 
 
+def rows_where(docs: DataFrame, text_col: str, judge, condition: str) -> DataFrame:
+    """The rows, as they are, whose judgement fulfils the condition; ``judge(docs, text_col)`` adds columns to its input.
+
+    It gets the rows as one struct beside the text, so its columns cannot clash with theirs.
+    """
+    judged = judge(docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_text")), "_text")
+    return judged.where(condition).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
 def sample_labelled(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, chars: int
 ) -> list[tuple[str, int]]:

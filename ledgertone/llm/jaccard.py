@@ -192,16 +192,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return one.join(other, "a").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a bigint, b bigint")
 
 
-def linked_components(
-    docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per document: its id, n_shingles (size of its set) and component_id (smallest id reachable by links).
-
-    Documents link when 100 * intersection >= percent * union of their sets of ``words``-word shingles, A-Z folded to
-    lower case. With fewer words the whole sequence is the one shingle; null, empty and blank texts have an empty set
-    and link with nothing. Repeated rows and repeated ids are documents of their own; a null id names a component
-    only if all ids in it are null. An empty table gives an empty one; other columns are ignored.
-    """
+def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Saved table (id, k, n_shingles, component) of all documents; k is a hash of the text, component null without a set."""
     sc = docs.sparkSession.sparkContext
     text = F.col(text_col).cast("string").cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("k"))
@@ -264,8 +256,21 @@ def linked_components(
         if last:
             roots = saved(components(small, edges), "roots")
             break
-    named = base.select("id", "n", "fp").join(nodes.select("fp", F.col("rid").alias("node")), "fp", "left").join(roots, "node", "left")
-    named = saved(named.select("id", F.col("n").alias("n_shingles"), "component"), "named")
+    named = base.select("id", "k", "n", "fp").join(nodes.select("fp", F.col("rid").alias("node")), "fp", "left")
+    return saved(named.join(roots, "node", "left").select("id", "k", F.col("n").alias("n_shingles"), "component"), "members")
+
+
+def linked_components(
+    docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document: its id, n_shingles (size of its set) and component_id (smallest id reachable by links).
+
+    Documents link when 100 * intersection >= percent * union of their sets of ``words``-word shingles, A-Z folded to
+    lower case. With fewer words the whole sequence is the one shingle; null, empty and blank texts have an empty set
+    and link with nothing. Repeated rows and repeated ids are documents of their own; a null id names a component
+    only if all ids in it are null. An empty table gives an empty one; other columns are ignored.
+    """
+    named = _members(docs, words, percent, id_col, text_col)
     lows = named.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
     return named.join(lows, "component", "left").select(
         F.col("id").alias(id_col), "n_shingles",
@@ -273,6 +278,33 @@ def linked_components(
     )
 
 
+def one_per_component(
+    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents, one of each linked component: that with the smallest id (a null id is last, ties by the text).
+
+    Of rows equal in id and text one stays. Documents without a word link with nothing and all stay.
+    """
+    named = _members(docs, words, percent, id_col, text_col).where("component is not null")
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "k")
+    first = named.groupBy("component").agg(F.min(key).alias("first"))
+    marked = named.join(first, "component").select("id", "k", F.col("first").eqNullSafe(key).alias("stays"))
+    marked = saved(marked.groupBy("id", "k").agg(F.max("stays").alias("stays"), F.count("*").alias("c")), "marked")
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
+        F.unhex(F.md5(F.col(text_col).cast("string").cast("binary"))).alias("k"),
+    )
+    key = [F.col("id").isNull().alias("none"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "k"]
+    lost = saved(marked.where("not stays").select(*key), "lost")
+    again = saved(marked.where("stays and c > 1").select(*key), "again")
+    on = ["none", "id", "k"]
+    out = joined_small(rows, lost, on, "left_anti", SMALL)
+    if again.limit(1).count():
+        repeated = joined_small(out, again, on, "left_semi", SMALL).dropDuplicates(on)
+        out = joined_small(out, again, on, "left_anti", SMALL).unionByName(repeated)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def _sets_of(rows: DataFrame, involved: DataFrame, words: int) -> DataFrame:
     """(rid, set) of the nodes that meet any other, made again from the texts, each text once."""
     keys = saved(involved.select("k").distinct(), "keys")

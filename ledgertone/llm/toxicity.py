@@ -58,8 +58,10 @@ class Model:
     """Vectors of n-gram buckets, softmax weights and biases."""
 
     def __init__(self, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.vectors = rng.uniform(-0.5 / DIM, 0.5 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
+        self.rng = rng = np.random.default_rng(seed)
+        # from zero, so that n-grams that were never learned say nothing; the random softmax weights break the symmetry
+        self.vectors = np.zeros((1 << BUCKET_BITS, DIM), np.float32)
+        self.seen = np.zeros(1 << BUCKET_BITS)
         self.slope, self.shift = 1.0, 0.0  # of the calibrated odds
         self.weights, self.bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
 
@@ -94,7 +96,7 @@ def bag_odds(odds: np.ndarray, codes: np.ndarray, bias: float) -> np.ndarray:
     return bags / BAG + bias
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 16, rate: float = 4.0) -> Model:
+def fit(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 16, rate: float = 3.0) -> Model:
     """Train on texts with 0/1 labels; without both labels the model leans to the only one (or to 0).
 
     The first rounds learn from random bags of every text under its text's label; later ones from each text's most
@@ -167,7 +169,8 @@ def _step(model: Model, bags, y, share, buckets, weights, first, rate: float) ->
     ends = np.cumsum(count)
     at = np.arange(int(count.sum())) - np.repeat(ends - count - first[words], count)
     bag_of, idx = np.repeat(bag, count), buckets[at]
-    w = (weights[at] / BAG).astype(np.float32)
+    # every step leaves out half of the n-grams, so that each part of a word learns to tell it, also misspelled
+    w = (weights[at] / BAG * 2 * (model.rng.random(len(at)) < 0.5)).astype(np.float32)
     rows = model.vectors[idx]
     mean = np.stack([np.bincount(bag_of, rows[:, d] * w, minlength=len(bags)) for d in range(DIM)], 1)
     logits = mean @ model.weights + model.bias
@@ -176,9 +179,13 @@ def _step(model: Model, bags, y, share, buckets, weights, first, rate: float) ->
     p[np.arange(len(y)), y] -= 1
     p *= share[:, None]
     back = (p @ model.weights.T).astype(np.float32)
-    model.weights -= (rate * 0.05 * mean.T @ p / len(y)).astype(np.float32)
-    model.bias -= (rate * 0.05 * p.mean(0)).astype(np.float32)
-    np.add.at(model.vectors, idx, -rate * back[bag_of] * w[:, None])
+    model.weights -= (0.2 * mean.T @ p / len(y)).astype(np.float32)
+    model.bias -= (0.2 * p.mean(0)).astype(np.float32)
+    # Adagrad: a bucket's steps shrink with the gradients it has seen, so rare n-grams learn as fast as common ones
+    own, place = np.unique(idx, return_inverse=True)
+    sums = np.stack([np.bincount(place, back[bag_of, d] * w, minlength=len(own)) for d in range(DIM)], 1)
+    model.seen[own] += (sums * sums).sum(1)
+    model.vectors[own] -= (rate * sums / np.sqrt(model.seen[own] + 1e-8)[:, None]).astype(np.float32)
 
 
 def score_texts(texts: list[str | None], lean: np.ndarray, bias: float) -> np.ndarray:

@@ -23,16 +23,17 @@ def tag_conflicts(tags) -> Column:
     def finding(pair, guidance):
         return F.struct(pair.alias("pair"), F.lit(guidance).alias("guidance"))
 
+    def settled(drop):
+        return f"drop {drop}" if drop else "drop the one that the curves support less"
+
     listed = [
-        F.when(
-            F.array_contains(tags, a) & F.array_contains(tags, b), finding(F.lit(f"{a} + {b}"), g)
-        )
-        for a, b, g in S.TAG_CONFLICTS
+        F.when(F.array_contains(tags, a) & F.array_contains(tags, b), finding(F.lit(f"{a} + {b}"), settled(drop)))
+        for a, b, drop in (S.TAG_CONFLICTS[i] for i in S.CONFLICT_ORDER)
     ]
     primary = F.array_intersect(literals(S.PRIMARY_TONALITY), tags)
     joined = F.array_join(primary, " + ")
     fresh = (F.size(primary) > 1) & ~joined.isin([f"{a} + {b}" for a, b, _ in S.TAG_CONFLICTS])
-    return F.array_compact(F.array(*listed, F.when(fresh, finding(joined, S.PRIMARY_GUIDANCE))))
+    return F.array_compact(F.array(*listed, F.when(fresh, finding(joined, "keep one primary profile"))))
 
 
 def expected_tier(price) -> Column:

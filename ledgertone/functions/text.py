@@ -165,7 +165,3 @@ def entry_label(brand, model, variant, fallback=None) -> Column:
 
 def is_curve_file(c) -> Column:
     return F.lower(text(c)).rlike(r"\.(txt|csv)$")
-
-
-def json_text(c) -> Column:
-    return F.to_json(c)

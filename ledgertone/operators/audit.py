@@ -178,8 +178,8 @@ def _row_issues(enforce_tws: bool, last_year: int | None) -> Column:
          _fix_sql(None)),
     )
     paths = ", ".join(
-        f"CASE WHEN {cond} THEN {_struct('File Path', code, severity, message, fix, n + 1)} END"
-        for code, severity, cond, message, fix in path_rules
+        f"CASE WHEN {cond} THEN {_struct('File Path', code, severity, message, fix, n + 1 + k)} END"
+        for k, (code, severity, cond, message, fix) in enumerate(path_rules)
     )
     return F.expr(
         f"array_compact(concat(array({', '.join(found)}), transform(_clashes, c -> {conflict}), "
@@ -257,17 +257,14 @@ def audit_links(catalog: DataFrame, files: DataFrame | None) -> list[DataFrame]:
     linked = links.links(ids.where("files IS NOT NULL")).where("path <> ''")
     out = []
 
-    bare = catalog.where("files IS NULL OR size(files) = 0")
-    n_bare, n_all = bare.agg(F.count("*")).scalar(), catalog.agg(F.count("*")).scalar()
-    first = bare.orderBy("row_id").limit(5).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "id"))), lambda x: x["id"]), ", ")
-    ).scalar()
-    one = bare.agg(F.count("*").alias("n")).where("n > 0")
+    bare = ids.where("files IS NULL OR size(files) = 0")
+    out.append(
+        _issues(bare, "No Measurement Files", None, "warning", _words("the entry has no files"), c("row_id"), c("entry_id"), c("entry_id"))
+    )
+    counted = ids.agg(F.count("*").alias("n_all"), F.count_if(F.expr("files IS NULL OR size(files) = 0")).alias("n")).where("n > 0")
     out.append(
         _issues(
-            one, "No Measurement Files", None,
-            F.when(c("n") <= S.FILELESS_WARN_UP_TO, "warning").otherwise("info"),
-            _words(n_bare, " of ", n_all, " entries have no files: ", first),
+            counted, "No Measurement Files", "no-measurement-files-total", "info", _words(c("n"), " of ", c("n_all"), " entries have no files")
         )
     )
 
@@ -319,7 +316,7 @@ def audit_links(catalog: DataFrame, files: DataFrame | None) -> list[DataFrame]:
         _issues(
             unused, "Unlinked File", None, "info",
             F.when(c("path").isNotNull(), _words("file is not linked: ", c("path"))).otherwise(
-                _words(c("n"), " files are not linked: ", F.array_join("preview", ", "))
+                _words(c("n"), " files are not linked, the first: ", c("first"))
             ),
             entry=F.lit("(none)"), subject=F.coalesce(c("path"), F.lit("(none)")),
         )
@@ -327,51 +324,63 @@ def audit_links(catalog: DataFrame, files: DataFrame | None) -> list[DataFrame]:
     return out
 
 
-def audit_duplicates(catalog: DataFrame, method: str = "gestalt", pair_cap: int | None = S.SHARED_PAIR_CAP) -> list[DataFrame]:
-    """Pairs that share a file or look alike; large groups as summary rows with counts."""
+def audit_duplicates(catalog: DataFrame, method: str = "levenshtein") -> list[DataFrame]:
+    """Rows that share a file or look alike, as groups with exact counts and their members, never as all pairs.
+
+    ``dup-link``: one issue per shared file; ``dup-link-row``: one per entry that links it, next to the first one.
+    ``dup-name``: one issue per pair of alike names (or name that several rows bear), between the first rows of each;
+    ``dup-name-row``: one per further row of such a name, next to the first.
+    """
     c = F.col
     specs = ["year", "price_usd", "driver_config"]
     linked = links.links(catalog.where("files IS NOT NULL")).where("path <> ''")
-    shared, mass = links.shared_file_pairs(linked)
+    shared, sharing = links.shared_files(linked)
     block, name = F.lower(strip("brand")), duplicates.dup_name("model", "variant")
     found = duplicates.brand_fuzzy_pairs(catalog, block, name, specs, method=method)
-    alike, groups = duplicates.expand_pairs(found, catalog, block, name, specs, cap=pair_cap)
-    alike = alike.join(shared.select("key_a", "key_b"), ["key_a", "key_b"], "left_anti")
-    pairs = shared.select(
-        "key_a", "key_b", F.lit("high").alias("confidence"), _words("both link ", c("path")).alias("why")
-    ).unionByName(
-        alike.select("key_a", "key_b", "confidence", _words(c("kind"), " names").alias("why"))
-    )
+    pairs, bearers = duplicates.name_groups(found, catalog, block, name)
     ids = catalog.select("row_id", shown_id().alias("entry_id"))
-    a = ids.select(c("row_id").alias("key_a"), c("entry_id").alias("id_a"))
-    b = ids.select(c("row_id").alias("key_b"), c("entry_id").alias("id_b"))
-    rows = pairs.join(a, "key_a").join(b, "key_b")
+    first = ids.select(c("row_id").alias("first_key"), c("entry_id").alias("first_id"))
     what = "Possible Duplicate"
+    other = ids.select(c("row_id").alias("key_b"), c("entry_id").alias("id_b"))
+    alike = pairs.join(first, c("key_a") == c("first_key")).join(other, "key_b", "left")
+    level = F.when(c("n_high") > 0, "high").when(c("kind") == "extends", "low").otherwise("medium")
+    rows = sharing.where("key <> first_key").join(ids, c("key") == c("row_id")).join(first, "first_key")
+    more = bearers.where("key <> first_key").join(ids, c("key") == c("row_id")).join(first, "first_key")
     return [
         _issues(
-            rows, what, "dup-pair", "warning", _words(c("why"), ": ", c("id_a"), ", ", c("id_b")), c("key_a"), c("id_a"),
-            F.concat_ws("|", F.lit("dup"), F.least("id_a", "id_b"), F.greatest("id_a", "id_b")),
-            key_b=c("key_b"), confidence=c("confidence"),
+            shared, what, "dup-link", "warning", _words(c("n"), " entries link ", c("path"), ", ", c("n_pairs"), " pairs"),
+            c("first_key"), subject=F.concat(F.lit("dup|link|"), c("path")), confidence=F.lit("high"),
         ),
         _issues(
-            mass, what, "dup-masslink", "warning", _words(c("n"), " entries link ", c("path")),
-            subject=F.concat(F.lit("dup|mass|"), c("path")), confidence=F.lit("high"),
+            rows, what, "dup-link-row", "warning", _words("links ", c("path"), " as ", c("first_id"), " does"), c("row_id"), c("entry_id"),
+            F.concat_ws("|", F.lit("dup"), F.least("entry_id", "first_id"), F.greatest("entry_id", "first_id")),
+            key_b=c("first_key"), confidence=F.lit("high"),
         ),
         _issues(
-            groups, what, "dup-massname", "warning",
-            _words(c("n_pairs"), " row pairs named ", c("name_a"), " and ", c("name_b")),
-            subject=F.concat_ws("|", F.lit("dup|name"), "block", "name_a", "name_b"),
-            confidence=F.when(c("n_high") > 0, "high").when(c("kind") == "extends", "low").otherwise("medium"),
+            alike, what, "dup-name", "warning",
+            _words(c("n_pairs"), " row pairs named ", c("name_a"), " and ", c("name_b"), " (", c("kind"), ")"), c("key_a"), c("first_id"),
+            F.concat_ws("|", F.lit("dup|name"), "block", "name_a", "name_b"), key_b=c("key_b"), confidence=level,
+        ),
+        _issues(
+            more, what, "dup-name-row", "warning", _words("named ", c("name"), " as ", c("first_id"), " is"), c("row_id"), c("entry_id"),
+            F.concat_ws("|", F.lit("dup"), F.least("entry_id", "first_id"), F.greatest("entry_id", "first_id")), key_b=c("first_key"),
+            confidence=F.lit("medium"),
         ),
     ]
 
 
+def best_first(issues: DataFrame) -> DataFrame:
+    """Duplicate issues by confidence, then by the rows concerned: the order in which pairs are looked at."""
+    rank = F.array_position(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), F.col("confidence"))
+    return issues.orderBy(rank, F.least("row_id", "key_b"), F.greatest("row_id", "key_b"), "subject")
+
+
 def audit(
     catalog: DataFrame,
     files: DataFrame | None = None,
     enforce_tws: bool = False,
     last_year: int | None = None,
-    method: str = "gestalt",
+    method: str = "levenshtein",
     pairs: bool = True,
 ) -> DataFrame:
     """Every issue of a catalog; file rules need the inventory, pair rules can be left out."""

@@ -1,46 +1,47 @@
 """Who may take an id when many rows of one batch change theirs in order."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 
-def settle_ids(claims: DataFrame, owners: DataFrame) -> DataFrame:
+def settle_ids(claims: DataFrame, owners: DataFrame, by: str = "set") -> DataFrame:
     """claims(seq, old_id, new_id) against owners(id): adds ``accepted``.
 
-    In order of ``seq`` a claim gets its id when nobody holds it at that moment: it was
-    never held, or an earlier accepted claim gave it up, and no earlier claim took it.
-    Each id has one possible winner, found by a minimum; what is left is a chain from the
-    winner to the claim that must vacate the id first, followed by pointer doubling.
+    In order of ``seq`` a claim gets its id when it is free at that moment. ``by="set"``: an id in use is free once an
+    accepted claim gave it up, as when a batch is staged against the set of ids in use. ``by="holders"``: an id is
+    free when no row holds it, so every row that held it must have left.
+
+    Whether a claim is accepted depends on earlier claims only. All are taken as accepted first and judged again, with
+    windows over the events of one id, until nothing changes: as many rounds as the longest chain of claims that wait
+    for each other.
     """
-    held = owners.select(F.col("id").alias("new_id"), F.lit(True).alias("held")).distinct()
-    leaving = (
-        claims.where("old_id IS NOT NULL AND old_id <> new_id")
-        .groupBy(F.col("old_id").alias("new_id"))
-        .agg(F.min("seq").alias("freed_by"))
-    )
+    held = owners.groupBy(F.col("id").alias("at")).agg(F.count("*").alias("held"))
     stay = F.col("old_id").eqNullSafe(F.col("new_id"))
-    looked = claims.join(held, "new_id", "left").join(leaving, "new_id", "left")
-    eligible = looked.where(~stay & (F.col("held").isNull() | (F.col("freed_by") < F.col("seq"))))
-    winners = eligible.groupBy("new_id").agg(
-        F.min("seq").alias("seq"), F.first("freed_by").alias("freed_by"), F.first("held").alias("held")
-    )
-    # waits_for is the claim that has to be accepted before this one; null when none
-    nodes = winners.select("seq", F.when(F.col("held"), F.col("freed_by")).alias("waits_for"))
-    free = nodes.where("waits_for IS NULL").select("seq")
-    waiting = nodes.where("waits_for IS NOT NULL")
-    if not waiting.isEmpty():
-        state = cut_lineage(nodes)
-        while True:
-            ahead = state.select(F.col("seq").alias("waits_for"), F.col("waits_for").alias("next"), F.lit(True).alias("_won"))
-            step = state.join(ahead, "waits_for", "left")
-            # a claim waiting for one that cannot win is out; one waiting for a free claim is free
-            state = cut_lineage(
-                step.where("waits_for IS NULL OR _won").select("seq", F.col("next").alias("waits_for"))
-            )
-            if state.where("waits_for IS NOT NULL").isEmpty():
-                break
-        free = state.select("seq")
-    won = free.withColumn("_won", F.lit(True))
-    return claims.join(won, "seq", "left").withColumn("accepted", stay | F.col("_won").isNotNull()).drop("_won")
+    moves = claims.where(~stay & F.col("new_id").isNotNull()).select("seq", "old_id", "new_id")
+    state, before = cut_lineage(moves.withColumn("ok", F.lit(True))), None
+    while True:
+        tally = state.agg(F.count_if("ok"), F.expr("bit_xor(CASE WHEN ok THEN xxhash64(seq) ELSE 0 END)")).first()
+        if tally == before:
+            break
+        before = tally
+        events = state.select("seq", F.col("new_id").alias("at"), F.lit(1).alias("claim"), F.lit(0).alias("left")).unionByName(
+            state.where("ok AND old_id IS NOT NULL").select("seq", F.col("old_id").alias("at"), F.lit(0).alias("claim"), F.lit(1).alias("left"))
+        )
+        upto = Window.partitionBy("at").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        seen = events.join(held, "at", "left").select(
+            "seq", "at", "claim", F.coalesce("held", F.lit(0)).alias("held"),
+            F.coalesce(F.sum("left").over(upto), F.lit(0)).alias("left"),
+            F.max(F.when(F.col("left") == 1, F.col("seq"))).over(upto).alias("freed"),
+            F.max(F.when(F.col("claim") == 1, F.col("seq"))).over(upto).alias("asked"),
+        )
+        if by == "set":
+            free = (F.col("held") == 0) | F.col("freed").isNotNull()
+        else:
+            free = F.col("left") >= F.col("held")
+        # the first to ask since the id came free
+        first = F.col("asked").isNull() | (F.col("asked") < F.col("freed")) | ((F.col("asked") == F.col("freed")))
+        judged = seen.where("claim = 1").select("seq", (free & F.coalesce(first, F.lit(False))).alias("ok"))
+        state = cut_lineage(state.drop("ok").join(judged, "seq"))
+    return claims.join(state.select("seq", "ok"), "seq", "left").withColumn("accepted", stay | F.coalesce("ok", F.lit(False))).drop("ok")

@@ -8,9 +8,9 @@ from ..session import cut_lineage
 from .history import diff_op
 from .points import b_on_a, mean_of, mismatch_of, pair_bounds
 
-# Pair endings of a file name, and how far apart a pair may be.
-NUMBERED = r"(?s)^(.*?)[_\-(\[]+([12])[\s_\-)\]]*$"
-SIDED = r"(?s)^(.*)[\s_\-]([LRlr])$"
+# What may stand before and after a pair number, before a side, and how far apart a pair may be.
+BLANKS = " \t\n\x0b\f\r"
+BEFORE_NUMBER, AFTER_NUMBER, BEFORE_SIDE = "_-([", "_-)]" + BLANKS, "_-" + BLANKS
 MAX_MISMATCH_DB = 10.0
 
 
@@ -19,20 +19,34 @@ def stem(path) -> Column:
     return F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", "")
 
 
+def _ending(s: Column) -> tuple[Column, Column]:
+    """(key, role) of a name by its last characters; both null without an ending.
+
+    A number 1 or 2 counts behind one or more of its opening marks, whatever closes after it; a side L or R stands
+    last, behind one mark or blank.
+    """
+
+    def last(c, n=0):
+        return F.substr(c, F.length(c) - n, F.lit(1))
+
+    def without(c, n):
+        return F.substr(c, F.lit(1), F.greatest(F.length(c) - n, F.lit(0)))
+
+    def one_of(c, marks):
+        return (c != "") & F.lit(marks).contains(c)
+
+    closed = F.rtrim(s, F.lit(AFTER_NUMBER))
+    numbered = one_of(last(closed), "12") & one_of(last(closed, 1), BEFORE_NUMBER) & (F.length(closed) > 1)
+    sided = one_of(last(s), "LRlr") & one_of(last(s, 1), BEFORE_SIDE) & (F.length(s) > 1)
+    key = F.when(numbered, F.trim(F.rtrim(without(closed, 1), F.lit(BEFORE_NUMBER)))).when(sided, F.trim(without(s, 2)))
+    return key, F.when(numbered, last(closed)).when(sided, F.upper(last(s)))
+
+
 def pair_members(paths: DataFrame, path: str = "path") -> DataFrame:
     """path, key, role: the group a file name belongs to and its part in it."""
-    s = stem(path)
-    numbered, sided = s.rlike(NUMBERED), s.rlike(SIDED)
-    return paths.select(
-        F.col(path).alias("path"),
-        F.when(numbered, F.trim(F.regexp_extract(s, NUMBERED, 1)))
-        .when(sided, F.trim(F.regexp_extract(s, SIDED, 1)))
-        .otherwise(s)
-        .alias("key"),
-        F.when(numbered, F.regexp_extract(s, NUMBERED, 2))
-        .when(sided, F.upper(F.regexp_extract(s, SIDED, 2)))
-        .alias("role"),
-    )
+    name = stem(path)
+    key, role = _ending(name)
+    return paths.select(F.col(path).alias("path"), F.coalesce(key, name).alias("key"), role.alias("role"))
 
 
 def plan_groups(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -133,13 +147,19 @@ def convert(paths: DataFrame, points: DataFrame, inventory: DataFrame | None = N
 
 
 def link_files(catalog: DataFrame, links: DataFrame, inventory: DataFrame | None = None, op_id: int = 1):
-    """(catalog, change_log): links(id, path) appended to their entries, each file once."""
-    wanted = links.select("id", normalize_path("path").alias("path")).where("path <> ''")
+    """(catalog, change_log): links(id, path, seq) appended to their entries in order of ``seq``, each file once.
+
+    Without ``seq`` paths are in their own order.
+    """
+    seq = F.col("seq") if "seq" in links.columns else F.lit(0)
+    wanted = links.select("id", normalize_path("path").alias("path"), seq.alias("seq")).where("path <> ''")
     if inventory is not None:
         wanted = wanted.join(inventory.select("path").distinct(), "path", "left_semi")
-    wanted = wanted.withColumn("fold", F.lower("path")).groupBy("id", "fold").agg(F.min("path").alias("path"))
+    wanted = wanted.withColumn("fold", F.lower("path")).groupBy("id", "fold").agg(F.min(F.struct("seq", "path")).alias("first"))
     target = catalog.where("id <> ''").groupBy("id").agg(F.min("row_id").alias("row_id"))
-    fresh = wanted.join(target, "id").groupBy("row_id").agg(F.array_sort(F.collect_list("path")).alias("_more"))
+    fresh = wanted.join(target, "id").groupBy("row_id").agg(
+        F.transform(F.array_sort(F.collect_list("first")), lambda x: x["path"]).alias("_more")
+    )
     files = F.coalesce("files", F.array().cast("array<string>"))
     folds = F.transform(files, lambda x: F.lower(x))
     more = F.filter("_more", lambda p: ~F.array_contains(folds, F.lower(p)))

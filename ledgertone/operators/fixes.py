@@ -15,15 +15,30 @@ def apply_fixes(catalog: DataFrame, issues: DataFrame, waivers: DataFrame | None
                 last_year: int | None = None):
     """(catalog, change_log, rejected): fixes of live issues, in issue order, last writer wins.
 
-    A row whose new id another row holds stays as it was, and so does a row that was valid
-    and would no longer be. ``rejected`` names those rows with the reason.
+    A fix that would give a row an id another row holds is refused, and the row's other fixes stand. A row that was
+    valid and would no longer be stays as it was. ``rejected`` names row, fix (null: all of them) and reason.
     """
     live = issues if waivers is None else waive(issues, waivers)
-    writes = (
+    writes = cut_lineage(
         live.where("fix IS NOT NULL AND row_id IS NOT NULL")
         .select("row_id", "fix_order", F.explode("fix").alias("f"))
         .select("row_id", "fix_order", "f.field", "f.pos", "f.value", "f.items")
     )
+    # fixes that change ids, one rule after the other, each in row order
+    ids = catalog.select("row_id", "id")
+    refused = writes.select("row_id", "fix_order", F.col("value").alias("new_id")).where(F.lit(False))
+    naming = writes.where("field = 'id'").select("row_id", "fix_order", F.col("value").alias("new_id"))
+    for order in sorted(r[0] for r in naming.select("fix_order").distinct().collect()):  # one row per rule
+        asked = naming.where(F.col("fix_order") == order).groupBy("row_id").agg(F.max("new_id").alias("new_id")).join(ids, "row_id")
+        settled = settle_ids(
+            asked.select(F.col("row_id").alias("seq"), F.col("id").alias("old_id"), "new_id"), ids.where("id <> ''"), by="holders"
+        ).select(F.col("seq").alias("row_id"), "new_id", "accepted")
+        settled = cut_lineage(settled)
+        refused = refused.unionByName(settled.where("NOT accepted").select("row_id", F.lit(order).alias("fix_order"), "new_id"))
+        given = settled.where("accepted").select("row_id", "new_id")
+        ids = cut_lineage(ids.join(given, "row_id", "left").select("row_id", F.coalesce("new_id", "id").alias("id")))
+    refused = cut_lineage(refused)
+    writes = writes.join(refused.select("row_id", "fix_order"), ["row_id", "fix_order"], "left_anti")
     # scalars and whole lists: the last write of a field; list elements: the first per place
     per_field = (
         writes.where("pos IS NULL")
@@ -65,30 +80,22 @@ def apply_fixes(catalog: DataFrame, issues: DataFrame, waivers: DataFrame | None
         return out.alias(f)
 
     fields = [c for c in catalog.columns if c != "row_id"]
-    # read by the id check, both validations and the log
+    # read by both validations and the log
     after = cut_lineage(touched.select("row_id", *[written(f) for f in fields]))
 
-    # a row that keeps its id needs no claim; the others queue up in row order
-    ids = catalog.select("row_id", F.col("id").alias("old_id"))
-    moved = after.select("row_id", F.col("id").alias("new_id")).join(ids, "row_id").where("old_id <> new_id")
-    settled = settle_ids(
-        moved.select(F.col("row_id").alias("seq"), "old_id", "new_id"),
-        catalog.where("id <> ''").select("id"),
-    )
-    refused = settled.where(~F.col("accepted")).select(
-        F.col("seq").alias("row_id"), F.concat(F.lit("id is taken: "), F.col("new_id")).alias("reason")
-    )
-    held_back = after.join(refused.select("row_id"), "row_id", "left_anti")
-
-    was = with_row_errors(catalog.join(held_back.select("row_id"), "row_id", "left_semi"), last_year, "_was")
-    now = with_row_errors(held_back, last_year, "_now")
+    was = with_row_errors(catalog.join(after.select("row_id"), "row_id", "left_semi"), last_year, "_was")
+    now = with_row_errors(after, last_year, "_now")
     judged = cut_lineage(now.join(was.select("row_id", F.size("_was").alias("_was")), "row_id"))
     worse = (F.col("_was") == 0) & (F.size("_now") > 0)
     broken = judged.where(worse).select(
-        "row_id", F.concat(F.lit("would become invalid: "), F.get("_now", F.lit(0))).alias("reason")
+        "row_id", F.lit(None).cast("int").alias("fix_order"),
+        F.concat(F.lit("would become invalid: "), F.get("_now", F.lit(0))).alias("reason"),
+    )
+    taken = refused.select(
+        "row_id", F.col("fix_order").cast("int").alias("fix_order"), F.concat(F.lit("id is taken: "), F.col("new_id")).alias("reason")
     )
     kept = judged.where(~worse).select("row_id", *fields)
 
     rest = catalog.join(kept.select("row_id"), "row_id", "left_anti")
     log = diff_op(catalog.join(kept.select("row_id"), "row_id", "left_semi"), kept, "row_id", op_id)
-    return rest.unionByName(kept), log, refused.unionByName(broken)
+    return rest.unionByName(kept), log, taken.unionByName(broken)

@@ -11,12 +11,6 @@ from pyspark.sql import types as T
 CHANGES = "array<struct<field:string,old:string,new:string>>"
 
 
-def as_text(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    c = F.col(name)
-    return F.to_json(c) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
-
-
 def from_text(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.from_json(c, kind)
@@ -114,10 +108,10 @@ def redo(catalog: DataFrame, log: DataFrame, op_ids, key: str = "row_id") -> Dat
     return _replay(catalog, log, op_ids, key, undo=False)
 
 
-def history_view(log: DataFrame, undone: DataFrame | None = None, keep: int = 200) -> DataFrame:
+def history_view(log: DataFrame, undone: DataFrame | None = None) -> DataFrame:
     """The listing, newest first: changes per operation, and whether it can be undone or redone.
 
-    ``undone(op_id)`` names operations on the redo side. The log keeps the last ``keep``.
+    ``undone(op_id)`` names operations on the redo side.
     """
     ops = log.groupBy("op_id").agg(
         F.count("*").alias("n_changes"),
@@ -130,7 +124,7 @@ def history_view(log: DataFrame, undone: DataFrame | None = None, keep: int = 20
         ops = ops.join(mark, "op_id", "left").withColumn("state", F.coalesce("state", F.lit("undo")))
     else:
         ops = ops.withColumn("state", F.lit("undo"))
-    return ops.orderBy(F.desc("op_id")).limit(keep)
+    return ops.orderBy(F.desc("op_id"))
 
 
 def from_full_copies(v1: DataFrame, key: str = "row_id") -> DataFrame:

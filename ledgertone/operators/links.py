@@ -33,14 +33,13 @@ def unlinked_files(catalog: DataFrame, files: DataFrame, key: str = "row_id") ->
     return files.select("path").distinct().join(used, "path", "left_anti")
 
 
-def unlinked_report(catalog: DataFrame, files: DataFrame, limit: int = S.UNLINKED_ROWS_UP_TO) -> DataFrame:
-    """path, n, preview: a row per file, or one summary row beyond ``limit`` files."""
+def unlinked_report(catalog: DataFrame, files: DataFrame) -> DataFrame:
+    """path, n, first: a row per file that no entry links, and one with their number and first path."""
     rest = unlinked_files(catalog, files)
-    n = rest.agg(F.count("*")).scalar()
-    each = rest.where(n <= limit).select("path", F.lit(1).cast("bigint").alias("n"), F.lit(None).cast("array<string>").alias("preview"))
-    first = rest.orderBy("path").limit(5).agg(F.array_sort(F.collect_list("path"))).scalar()
-    total = rest.agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    return each.unionByName(total.select(F.lit(None).cast("string").alias("path"), "n", first.alias("preview")))
+    none = F.lit(None).cast("string")
+    return rest.select("path", F.lit(1).cast("bigint").alias("n"), none.alias("first")).unionByName(
+        rest.agg(F.count("*").alias("n"), F.min("path").alias("first")).where("n > 0").select(none.alias("path"), "n", "first")
+    )
 
 
 def repair_path_case(catalog: DataFrame, files: DataFrame, key: str = "row_id") -> DataFrame:
@@ -96,12 +95,12 @@ def link_counts(df: DataFrame, key: str, array_col: str = "files", fold: bool =
     )
 
 
-def available_files(files: DataFrame, catalog: DataFrame, text: str = "", limit: int = 400) -> DataFrame:
-    """The listing of files not linked yet that contain ``text``; the limit is the feature."""
+def available_files(files: DataFrame, catalog: DataFrame, text: str = "") -> DataFrame:
+    """The files not linked yet that contain ``text``, in path order."""
     rest = unlinked_files(catalog, files)
     if text:
         rest = rest.where(F.lower("path").contains(text.lower()))
-    return rest.orderBy("path").limit(limit)
+    return rest.orderBy("path")
 
 
 def duplicate_ids(df: DataFrame, keys, order: str) -> DataFrame:
@@ -115,24 +114,13 @@ def duplicate_ids(df: DataFrame, keys, order: str) -> DataFrame:
     return df.join(first.drop("_n"), keys).where(F.col(order) > F.col("first_row"))
 
 
-def shared_file_pairs(linked: DataFrame, key: str = "row_id", path: str = "path", cap: int = S.SHARED_PAIR_CAP):
-    """(pairs, mass): key pairs linking one path, and the paths with too many pairs.
+def shared_files(linked: DataFrame, key: str = "row_id", path: str = "path"):
+    """(groups, members): the paths that several keys link, and their keys.
 
-    Sizes are counted before any pairing. A path beyond the cap becomes one summary row with
-    its exact number of linked keys and pairs, so nothing is left out.
+    groups: path, n (keys), n_pairs, first_key. members: path, key, first_key. Every path has this one form whatever
+    its size, so the result grows with the links and not with the pairs they make.
     """
-    linked = linked.select(F.col(key).alias("_k"), F.col(path).alias("_p")).distinct()
-    sizes = linked.groupBy("_p").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = sizes.withColumn("n_pairs", F.expr("n * (n - 1) div 2"))
-    small = sizes.where(F.col("n_pairs") <= cap).select("_p")
-    members = (
-        linked.join(small, "_p").groupBy("_p").agg(F.array_sort(F.collect_list("_k")).alias("m"))
-    )
-    pairs = (
-        members.select("_p", F.posexplode("m").alias("i", "key_a"), "m")
-        .select("_p", "key_a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("key_b"))
-        .groupBy("key_a", "key_b")
-        .agg(F.min("_p").alias("path"), F.count("*").alias("n_shared"))
-    )
-    mass = sizes.where(F.col("n_pairs") > cap).select(F.col("_p").alias("path"), "n", "n_pairs")
-    return pairs, mass
+    rows = linked.select(F.col(path).alias("path"), F.col(key).alias("key")).distinct()
+    groups = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("key").alias("first_key")).where("n > 1")
+    groups = groups.select("path", "n", F.expr("n * (n - 1) div 2").alias("n_pairs"), "first_key")
+    return groups, rows.join(groups.select("path", "first_key"), "path")

@@ -7,6 +7,7 @@ from .. import schema as S
 from ..functions.numbers import coerce_int
 from ..functions.search import search
 from ..functions.text import strip
+from ..session import cut_lineage
 
 
 def catalog_order() -> list[Column]:
@@ -42,12 +43,12 @@ def brand_counts(df: DataFrame, query: str = "", brand: str = "brand", columns:
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
     """``unique_name``: later rows of a name (without case) become ``NAME (2)``, ``(3)``...
 
-    Every row of a group needs its own number, so rows are numbered within slices of the
-    order column first and the slice totals are added up: no task sorts a whole group.
+    Rows are dealt by (name, order) ranges and numbered within each range; the ranges' totals are added up. A name
+    that very many rows bear spans several ranges, so no task sorts a whole group, whatever the order column holds.
     """
     fold = F.lower(F.col(name))
-    spread = cut_slices(df, order)
-    rows = df.withColumn("_fold", fold).withColumn("_slice", spread)
+    dealt = df.withColumn("_fold", fold).repartitionByRange("_fold", order).withColumn("_slice", F.spark_partition_id())
+    rows = cut_lineage(dealt)
     sizes = rows.groupBy("_fold", "_slice").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(
         Window.partitionBy("_fold").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,11 +64,6 @@ def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
     return numbered.withColumn("unique_name", fresh).select(*df.columns, "unique_name")
 
 
-def cut_slices(df: DataFrame, order: str, size: int = 1_000_000) -> Column:
-    """Slice number of a whole-number order column: equal spans of its values."""
-    return F.floor(F.col(order) / F.lit(size))
-
-
 def missing_spec_gate(df: DataFrame) -> DataFrame:
     """``needs_confirm`` for wired entries without impedance or sensitivity."""
     wired = ~strip("form_factor").isin(S.TWS, S.WIRELESS_OVER_EAR)

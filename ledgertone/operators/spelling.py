@@ -6,45 +6,43 @@ from pyspark.sql import functions as F
 from ..functions.text import brand_fold, strip
 
 
-def _counts(df: DataFrame, column: str, fold: Column | None) -> DataFrame:
-    value = strip(column)
+def _counts(df: DataFrame, column: str, fold: Column | None, clean=None) -> DataFrame:
+    """fold, spelling, n. Raw values are counted first, so cleaning and folding see each of them once."""
+    if fold is not None:
+        counted = df.select(fold.alias("fold"), F.col(column).alias("raw")).groupBy("fold", "raw").agg(F.count("*").alias("n"))
+    else:
+        counted = df.groupBy(F.col(column).alias("raw")).agg(F.count("*").alias("n"))
+    spelled = strip(clean(F.col("raw")) if clean else "raw").alias("spelling")
+    counted = counted.select(*(["fold"] if fold is not None else []), spelled, "n")
     if fold is None:
-        # the fold depends on the spelling alone, so only distinct spellings are folded
-        counted = df.select(value.alias("spelling")).groupBy("spelling").agg(F.count("*").alias("n"))
-        return counted.select(brand_fold("spelling").alias("fold"), "spelling", "n").where(
-            (F.col("fold") != "") & (F.col("spelling") != "")
-        )
-    folded = fold
-    return (
-        df.select(folded.alias("fold"), value.alias("spelling"))
-        .where((F.col("fold") != "") & (F.col("spelling") != ""))
-        .groupBy("fold", "spelling")
-        .agg(F.count("*").alias("n"))
-    )
+        counted = counted.groupBy("spelling").agg(F.sum("n").alias("n")).select(brand_fold("spelling").alias("fold"), "spelling", "n")
+    else:
+        counted = counted.groupBy("fold", "spelling").agg(F.sum("n").alias("n"))
+    return counted.where((F.col("fold") != "") & (F.col("spelling") != ""))
 
 
 def _rank_key() -> Column:
     return F.struct((-F.col("n")).alias("neg"), F.col("spelling").alias("spelling"))
 
 
-def canonical_spelling(df: DataFrame, column: str, fold: Column | None = None) -> DataFrame:
+def canonical_spelling(df: DataFrame, column: str, fold: Column | None = None, clean=None) -> DataFrame:
     """fold, canonical, n, n_spellings: the most frequent spelling, ties alphabetical.
 
-    Occurrences are counted per spelling first, so a frequent fold reaches the second
+    ``clean`` is applied to distinct values. Occurrences are counted per spelling first, so a frequent fold reaches the second
     aggregation as a handful of rows.
     """
     return (
-        _counts(df, column, fold)
+        _counts(df, column, fold, clean)
         .groupBy("fold")
         .agg(F.min(_rank_key()).alias("best"), F.count("*").alias("n_spellings"))
         .select("fold", F.col("best.spelling").alias("canonical"), (-F.col("best.neg")).alias("n"), "n_spellings")
     )
 
 
-def spelling_fixes(df: DataFrame, column: str, fold: Column | None = None) -> DataFrame:
+def spelling_fixes(df: DataFrame, column: str, fold: Column | None = None, clean=None) -> DataFrame:
     """spelling, canonical, summary, has_majority for every spelling that should change."""
     ranked = (
-        _counts(df, column, fold)
+        _counts(df, column, fold, clean)
         .groupBy("fold")
         .agg(F.array_sort(F.collect_list(_rank_key())).alias("ranked"))
         .where(F.size("ranked") > 1)
@@ -58,7 +56,7 @@ def spelling_fixes(df: DataFrame, column: str, fold: Column | None = None) -> Da
         first["spelling"].alias("canonical"),
         F.array_join(shown, ", ").alias("summary"),
         (first["neg"] < second["neg"]).alias("has_majority"),
-        F.explode(F.slice("ranked", 2, 1_000_000)).alias("other"),
+        F.explode(F.expr("slice(ranked, 2, size(ranked))")).alias("other"),
     ).select("fold", F.col("other.spelling").alias("spelling"), "canonical", "summary", "has_majority")
 
 

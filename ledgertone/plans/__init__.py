@@ -1,14 +1,6 @@
 """The query registry; importing the package registers every query."""
 
-import importlib
-
+from . import catalog_queries, change_queries, curve_queries, link_queries, text_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
-for _part in ("catalog_queries", "link_queries", "change_queries", "curve_queries", "text_queries"):
-    try:
-        importlib.import_module(f"{__name__}.{_part}")
-    except ModuleNotFoundError as _e:
-        if _part not in str(_e):
-            raise
-
 __all__ = ["ORACLES", "QUERIES"]

@@ -58,7 +58,7 @@ PART = {
 
 # the files that exist: one per brand and name, and one for most parts
 DISK = """SELECT 'data/' || p_brand || '/' || p_name || '.txt' AS path FROM part
-UNION SELECT 'data/' || p_brand || '/' || CAST(p_partkey AS STRING) || '.txt' FROM part WHERE p_size > 4"""
+UNION SELECT CASE WHEN p_size > 4 THEN 'data/' ELSE 'spare/' END || p_brand || '/' || CAST(p_partkey AS STRING) || '.txt' FROM part"""
 
 CAT = f"""cat AS (SELECT {', '.join(columns(PART, duck_sql))} FROM part)"""
 TIERS = "('Budget', 'Mid-Tier', 'Premium', 'Flagship')"
@@ -176,7 +176,7 @@ def part_catalog(spark, sf):
 def disk_files(spark, sf):
     part = table(spark, sf, "part")
     by_name = part.selectExpr("'data/' || p_brand || '/' || p_name || '.txt' AS path")
-    by_key = part.where("p_size > 4").selectExpr("'data/' || p_brand || '/' || CAST(p_partkey AS STRING) || '.txt' AS path")
+    by_key = part.selectExpr("CASE WHEN p_size > 4 THEN 'data/' ELSE 'spare/' END || p_brand || '/' || CAST(p_partkey AS STRING) || '.txt' AS path")
     return by_name.union(by_key).distinct()
 
 
@@ -229,8 +229,8 @@ UNION ALL SELECT DISTINCT row_id, eid, 'duplicate-file-ci', 'warning', fold || '
 UNION ALL SELECT row_id, eid, 'path-casing', 'warning', eid, string_agg('files[' || pos || ']=' || disk, ';' ORDER BY pos)
   FROM raw JOIN disk2 ON lower(f) = fold WHERE f <> disk GROUP BY row_id, eid
 UNION ALL SELECT DISTINCT row_id, eid, 'missing-file', 'error', eid, path FROM link WHERE fold NOT IN (SELECT fold FROM disk2)
-UNION ALL SELECT NULL, '(none)', 'unlinked-file', 'info', CASE WHEN n <= 200 THEN path ELSE '(none)' END, ''
-  FROM unused, (SELECT count(*) AS n FROM unused) WHERE n <= 200 OR path = (SELECT min(path) FROM unused))"""
+UNION ALL SELECT NULL, '(none)', 'unlinked-file', 'info', path, '' FROM unused
+UNION ALL SELECT NULL, '(none)', 'unlinked-file', 'info', '(none)', '' FROM unused HAVING count(*) > 0)"""
 
 
 @query("audit_tables", f"WITH {TABLE_ISSUES} SELECT row_id, entry_id, code, severity, subject, fix FROM issues")
@@ -242,7 +242,7 @@ def audit_tables(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     gone = F.col("code") == "missing-file"
-    return out.where("code <> 'no-measurement-files'").select(
+    return out.select(
         "row_id", "entry_id", "code", "severity", "subject",
         F.when(gone, F.substring_index("message", "not found: ", -1)).otherwise(F.coalesce(fix_text(), F.lit(""))).alias("fix"),
     )
@@ -301,26 +301,29 @@ def validate(spark, sf):
     return checked.select("row_id", F.size("errors").alias("n_errors"))
 
 
-# last write per field; ids settle by row order; the result of all row-level fixes
-@query("apply_fixes", f"""WITH {FACTS},
+# last write per field; ids settle by row order and are free only when every row that held them has left; a refused id
+# leaves the row's other fixes as they are
+@query("apply_fixes", f"""WITH RECURSIVE {FACTS},
 moved AS (SELECT row_id, id AS old_id, want FROM facts WHERE want <> '' AND id <> want),
-held AS (SELECT id, min(row_id) AS any_row FROM cat WHERE id <> '' GROUP BY 1),
-free AS (SELECT old_id AS id, min(row_id) AS freed_by FROM moved GROUP BY 1),
-win AS (SELECT m.want, min(m.row_id) AS row_id FROM moved m LEFT JOIN held h ON h.id = m.want
-  LEFT JOIN free f ON f.id = m.want WHERE h.id IS NULL OR f.freed_by < m.row_id GROUP BY 1),
-gain AS (SELECT row_id FROM win),
-keep AS (SELECT f.*, (f.want = '' OR f.id = f.want OR f.row_id IN (SELECT row_id FROM gain)) AS ok FROM facts f)
+held AS (SELECT id, count(*) AS holders FROM cat WHERE id <> '' GROUP BY 1),
+free AS (SELECT old_id AS id, count(*) AS leavers, max(row_id) AS freed_by FROM moved GROUP BY 1),
+win AS (SELECT m.want, min(m.row_id) AS row_id, bool_or(h.id IS NOT NULL) AS waits FROM moved m LEFT JOIN held h ON h.id = m.want
+  LEFT JOIN free f ON f.id = m.want WHERE h.id IS NULL OR (f.leavers = h.holders AND f.freed_by < m.row_id) GROUP BY 1),
+needs AS (SELECT w.row_id, m.row_id AS other FROM win w JOIN moved m ON m.old_id = w.want WHERE w.waits),
+lost AS (SELECT row_id FROM needs WHERE other NOT IN (SELECT row_id FROM win)
+  UNION SELECT n.row_id FROM needs n JOIN lost l ON l.row_id = n.other),
+gain AS (SELECT row_id FROM win WHERE row_id NOT IN (SELECT row_id FROM lost))
 SELECT row_id,
-  CASE WHEN ok AND want <> '' THEN want ELSE id END AS id,
-  CASE WHEN NOT ok THEN driver_type WHEN driver_config = '' THEN '' WHEN np > 0 THEN kind2 ELSE driver_type END AS driver_type,
-  CASE WHEN NOT ok THEN driver_config WHEN np > 0 AND (driver_type <> '' OR driver_config LIKE '% %' OR len(strange) > 0) THEN canon
+  CASE WHEN want <> '' AND row_id IN (SELECT row_id FROM gain) THEN want ELSE id END AS id,
+  CASE WHEN driver_config = '' THEN '' WHEN np > 0 THEN kind2 ELSE driver_type END AS driver_type,
+  CASE WHEN np > 0 AND (driver_type <> '' OR driver_config LIKE '% %' OR len(strange) > 0) THEN canon
        WHEN len(strange) > 0 THEN canon ELSE driver_config END AS driver_config,
-  CASE WHEN ok AND impedance < 0 THEN 0 ELSE impedance END AS impedance,
-  CASE WHEN ok AND price_usd > 0 AND price_usd % 5 <> 0 THEN CAST(floor((price_usd + 2.5) / 5) * 5 AS INT) ELSE price_usd END AS price_usd,
-  array_to_string(CASE WHEN ok AND tiers <> [tier] THEN tags2 ELSE tags END, ',') AS tags,
-  array_to_string(CASE WHEN NOT ok THEN files ELSE list_transform(list_filter(files, lambda f: trim(f) <> ''), lambda f:
-    CASE WHEN f <> trim(f) THEN trim(f) ELSE replace(f, chr(92), '/') END) END, ',') AS files
-FROM keep""")
+  CASE WHEN impedance < 0 THEN 0 ELSE impedance END AS impedance,
+  CASE WHEN price_usd > 0 AND price_usd % 5 <> 0 THEN CAST(floor((price_usd + 2.5) / 5) * 5 AS INT) ELSE price_usd END AS price_usd,
+  array_to_string(CASE WHEN tiers <> [tier] THEN tags2 ELSE tags END, ',') AS tags,
+  array_to_string(list_transform(list_filter(files, lambda f: trim(f) <> ''), lambda f:
+    CASE WHEN f <> trim(f) THEN trim(f) ELSE replace(f, chr(92), '/') END), ',') AS files
+FROM facts""")
 def fixes(spark, sf):
     catalog = part_catalog(spark, sf)
     after, _, _ = apply_fixes(catalog, part_issues(spark, sf), last_year=LAST_YEAR)
@@ -334,16 +337,15 @@ NORM = r"""trim(regexp_replace(replace(lower(regexp_replace(strip_accents({0}),
   '[^a-z0-9]+', '_', 'g'), '_')"""
 
 
-@query("build_id", f"""WITH w AS (SELECT doc_id, split_part(text, ' ', 1) AS a, split_part(text, ' ', 2) AS b, lang FROM documents)
-SELECT doc_id, array_to_string(list_filter([
+@query("build_id", f"""WITH w AS (SELECT doc_id, split_part(text, ' ', 1) AS a, text AS b, lang FROM documents)
+SELECT doc_id, md5(array_to_string(list_filter([
   CASE WHEN {NORM.format('a')} <> '' THEN {NORM.format('a')} WHEN trim(a) <> '' THEN 'x' || substr(sha1(a), 1, 6) ELSE '' END,
   CASE WHEN {NORM.format('b')} <> '' THEN {NORM.format('b')} WHEN trim(b) <> '' THEN 'x' || substr(sha1(b), 1, 6) ELSE '' END,
-  lang], lambda c: c <> ''), '_') AS id FROM w""")
+  lang], lambda c: c <> ''), '_')) AS id_md5 FROM w""")
 def build_id(spark, sf):
+    """Ids out of first word, whole text and language."""
     d = table(spark, sf, "documents")
-    return d.select(
-        "doc_id", fn.build_id(F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)), "lang").alias("id")
-    )
+    return d.select("doc_id", F.md5(fn.build_id(F.split_part("text", F.lit(" "), F.lit(1)), "text", "lang")).alias("id_md5"))
 
 
 @query("brand_fold", r"""SELECT doc_id,
@@ -425,16 +427,16 @@ def parse_driver_config(spark, sf):
     )
 
 
-TAG_OF = """CASE WHEN event_type = 'click' THEN 'Warm' WHEN event_type = 'view' THEN 'Bright'
+TAG_OF = """CASE WHEN value >= 20 THEN 'Detailed' WHEN event_type = 'click' THEN 'Warm' WHEN event_type = 'view' THEN 'Bright'
   WHEN event_type = 'error' THEN 'Neutral' WHEN event_type = 'purchase' THEN 'V-Shaped' ELSE 'Basshead' END"""
 
 
-@query("tag_conflicts", f"""WITH t AS (SELECT user_id, list_sort(list(DISTINCT {TAG_OF})) AS tags FROM events WHERE value < 20 GROUP BY 1),
+@query("tag_conflicts", f"""WITH t AS (SELECT user_id, list_sort(list(DISTINCT {TAG_OF})) AS tags FROM events GROUP BY 1),
 c AS (SELECT user_id, 1 AS k, 'Neutral + V-Shaped' AS pair FROM t WHERE list_contains(tags, 'Neutral') AND list_contains(tags, 'V-Shaped')
   UNION ALL SELECT user_id, 2, 'Bright + Warm' FROM t WHERE list_contains(tags, 'Warm') AND list_contains(tags, 'Bright'))
 SELECT user_id, array_to_string(tags, ',') AS tags, coalesce((SELECT string_agg(pair, ';' ORDER BY k) FROM c WHERE c.user_id = t.user_id), '') AS conflicts FROM t""")
 def tag_conflicts(spark, sf):
-    e = table(spark, sf, "events").where("value < 20").selectExpr("user_id", f"{TAG_OF} AS tag")
+    e = table(spark, sf, "events").selectExpr("user_id", f"{TAG_OF} AS tag")
     t = e.groupBy("user_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     found = F.transform(fn.tag_conflicts("tags"), lambda c: c["pair"])
     return t.select("user_id", show_list("tags").alias("tags"), F.array_join(found, ";").alias("conflicts"))

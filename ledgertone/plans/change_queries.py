@@ -166,12 +166,12 @@ def undo_redo(spark, sf):
 
 @query("history_view", """SELECT CAST(o_orderkey % 250 AS BIGINT) AS op_id, count(*) AS n_changes, count(*) FILTER (o_orderstatus = 'F') AS n_added,
   count(*) FILTER (o_orderstatus = 'O') AS n_edited, count(*) FILTER (o_orderstatus = 'P') AS n_deleted,
-  CASE WHEN o_orderkey % 250 > 240 THEN 'redo' ELSE 'undo' END AS state FROM orders GROUP BY ALL ORDER BY op_id DESC LIMIT 200""")
+  CASE WHEN o_orderkey % 250 > 240 THEN 'redo' ELSE 'undo' END AS state FROM orders GROUP BY ALL""")
 def history_view(spark, sf):
     orders = table(spark, sf, "orders")
     action = F.when(F.col("o_orderstatus") == "F", "add").when(F.col("o_orderstatus") == "O", "edit").otherwise("delete")
     log = orders.select((F.col("o_orderkey") % 250).alias("op_id"), action.alias("action"))
-    return H.history_view(log, log.where("op_id > 240").select("op_id").distinct(), keep=200)
+    return H.history_view(log, log.where("op_id > 240").select("op_id").distinct())
 
 
 DOC = """CASE WHEN o_orderkey % 6 = 0 THEN '[{"id": "o' || o_orderkey || '", "price_usd": ' || o_custkey || '}, {"id": "p' || o_orderkey || '", "tags": ["a", "b"]}, 7]'
@@ -205,13 +205,15 @@ def change_docs(spark, sf):
     )
 
 
-@query("link_files", f"""WITH {CAT}, w AS (SELECT id, row_id, 'media/' || model || '.txt' AS path FROM cat WHERE id <> '' AND row_id % 2 = 0),
+@query("link_files", f"""WITH {CAT}, w AS (SELECT id, row_id, CASE WHEN row_id % 2 = 0 THEN 'media/' ELSE 'archive/' END || model || '.txt' AS path FROM cat WHERE id <> ''),
 t AS (SELECT id, min(row_id) AS row_id FROM cat WHERE id <> '' GROUP BY 1),
-f AS (SELECT t.row_id, list_sort(list(DISTINCT path)) AS more FROM w JOIN t USING (id) GROUP BY 1)
+o AS (SELECT t.row_id, path, min(-w.row_id) AS seq FROM w JOIN t USING (id) GROUP BY 1, 2),
+f AS (SELECT row_id, list(path ORDER BY seq) AS more FROM o GROUP BY 1)
 SELECT cat.row_id, array_to_string(list_concat(files, coalesce(more, [])), ',') AS files FROM cat LEFT JOIN f ON f.row_id = cat.row_id""")
 def link_files_query(spark, sf):
     catalog = part_catalog(spark, sf)
-    wanted = catalog.where("id <> '' AND row_id % 2 = 0").select("id", F.concat(F.lit("media//"), "model", F.lit(".txt")).alias("path"))
+    folder = F.when(F.col("row_id") % 2 == 0, "media//").otherwise("archive/")
+    wanted = catalog.where("id <> ''").select("id", F.concat(folder, "model", F.lit(".txt")).alias("path"), (-F.col("row_id")).alias("seq"))
     after, _ = link_files(catalog, wanted)
     return after.select("row_id", show_list("files").alias("files"))
 

@@ -32,15 +32,17 @@ g AS (SELECT * FROM c WHERE fold <> '' AND spelling <> '')"""
 
 def words(spark, sf):
     text = F.replace("text", F.lit("\n"), F.lit(" "))
-    return table(spark, sf, "documents").select(F.explode(F.split(text, " ")).alias("w")).select(
-        F.regexp_replace("w", "[.,]+$", "").alias("word")
-    )
+    return table(spark, sf, "documents").select(F.explode(F.split(text, " ")).alias("word"))
+
+
+def without_stops(c):
+    return F.regexp_replace(c, "[.,]+$", "")
 
 
 @query("canonical_spelling", f"""WITH {WORDS}
 SELECT fold, arg_min(spelling, (-n, spelling)) AS canonical, max(n) AS n, count(*) AS n_spellings FROM g GROUP BY fold""")
 def canonical_spelling(spark, sf):
-    return SP.canonical_spelling(words(spark, sf), "word")
+    return SP.canonical_spelling(words(spark, sf), "word", clean=without_stops)
 
 
 @query("spelling_fixes", f"""WITH {WORDS},
@@ -50,7 +52,7 @@ t AS (SELECT s.fold, count(*) AS at_top FROM s JOIN g ON g.fold = s.fold AND g.n
 SELECT s.fold, g.spelling, canonical, summary, at_top = 1 AS has_majority FROM s JOIN t USING (fold) JOIN g USING (fold)
 WHERE g.spelling <> canonical""")
 def spelling_fixes(spark, sf):
-    return SP.spelling_fixes(words(spark, sf), "word")
+    return SP.spelling_fixes(words(spark, sf), "word", clean=without_stops)
 
 
 @query("missing_links", """SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey * 3 NOT IN (SELECT p_partkey FROM part)
@@ -67,11 +69,11 @@ def missing_links(spark, sf):
 
 
 @query("unlinked_items", """SELECT CAST(p_partkey AS VARCHAR) AS path FROM part
-WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)""")
+WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity > 48 THEN l_partkey ELSE -l_partkey END FROM lineitem)""")
 def unlinked_items(spark, sf):
-    catalog = table(spark, sf, "lineitem").where("l_quantity > 48").select(
-        F.col("l_orderkey").alias("row_id"), F.array(F.col("l_partkey").cast("string")).alias("files")
-    )
+    """Parts that no large order line names; the small lines name paths that do not exist."""
+    path = F.when(F.col("l_quantity") > 48, F.col("l_partkey")).otherwise(-F.col("l_partkey")).cast("string")
+    catalog = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.array(path).alias("files"))
     files = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"))
     return K.unlinked_files(catalog, files)
 
@@ -123,17 +125,15 @@ def strip_phantoms(spark, sf):
 
 
 @query("shared_link_pairs", """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS k FROM lineitem),
-s AS (SELECT o, count(*) AS n FROM l GROUP BY 1 HAVING count(*) > 1),
-p AS (SELECT a.k AS key_a, b.k AS key_b, count(*) AS n_shared FROM l a JOIN l b ON a.o = b.o AND a.k < b.k
-  WHERE a.o IN (SELECT o FROM s WHERE n * (n - 1) // 2 <= 10) GROUP BY 1, 2)
-SELECT 'pair' AS kind, key_a, key_b, n_shared AS n FROM p
-UNION ALL SELECT 'mass', o, NULL, n * (n - 1) // 2 FROM s WHERE n * (n - 1) // 2 > 10""")
+s AS (SELECT o, count(*) AS n, min(k) AS f FROM l GROUP BY 1 HAVING count(*) > 1)
+SELECT 'group' AS kind, o AS path, n AS a, n * (n - 1) // 2 AS b, f AS first_key FROM s
+UNION ALL SELECT 'member', l.o, k, NULL, f FROM l JOIN s ON s.o = l.o""")
 def shared_link_pairs(spark, sf):
-    """Parts ordered together: pairs per order, large orders as summary rows."""
+    """Parts ordered together: every order once with its exact counts, and its parts next to the first one."""
     linked = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("row_id"), F.col("l_orderkey").alias("path"))
-    pairs, mass = K.shared_file_pairs(linked, cap=10)
-    return pairs.select(F.lit("pair").alias("kind"), "key_a", "key_b", F.col("n_shared").alias("n")).unionByName(
-        mass.select(F.lit("mass").alias("kind"), F.col("path").alias("key_a"), F.lit(None).cast("bigint").alias("key_b"), F.col("n_pairs").alias("n"))
+    groups, members = K.shared_files(linked)
+    return groups.select(F.lit("group").alias("kind"), "path", F.col("n").alias("a"), F.col("n_pairs").alias("b"), "first_key").unionByName(
+        members.select(F.lit("member").alias("kind"), "path", F.col("key").alias("a"), F.lit(None).cast("bigint").alias("b"), "first_key")
     )
 
 
@@ -197,20 +197,23 @@ def name_pairs_gestalt(spark, sf):
     return D.brand_fuzzy_pairs(parts, "block", D.dup_name("name", F.lit("")), SPECS, method="gestalt")
 
 
-@query("name_pair_rows", f"""WITH {NAME_PAIRS}, small AS (SELECT * FROM pairs WHERE n_pairs <= 20)
-SELECT least(ra.id, rb.id) AS key_a, greatest(ra.id, rb.id) AS key_b,
-  CASE WHEN kind = 'extends' THEN 'low' WHEN ra.sig = rb.sig THEN 'high' ELSE 'medium' END AS confidence
-FROM small p JOIN r ra ON ra.block = p.block AND ra.name = p.name_a JOIN r rb ON rb.block = p.block AND rb.name = p.name_b
-WHERE p.name_a <> p.name_b OR ra.id < rb.id
-UNION ALL SELECT NULL, NULL, block || '|' || name_a || '|' || name_b || '|' || n_pairs FROM pairs WHERE n_pairs > 20""")
+@query("name_pair_rows", f"""WITH {NAME_PAIRS}, named AS (SELECT block, name_a AS name FROM pairs UNION SELECT block, name_b FROM pairs)
+SELECT 'pair' AS kind, p.block, p.name_a AS name, p.name_b AS other, a.r0 AS key_a, CASE WHEN p.name_a <> p.name_b THEN b.r0 END AS key_b, n_pairs
+FROM pairs p JOIN n a ON a.block = p.block AND a.name = p.name_a JOIN n b ON b.block = p.block AND b.name = p.name_b
+UNION ALL SELECT 'row', r.block, r.name, NULL, r.id, n.r0, NULL FROM r JOIN named d ON d.block = r.block AND d.name = r.name
+  JOIN n ON n.block = r.block AND n.name = r.name""")
 def name_pair_rows(spark, sf):
-    """Row pairs of the smaller name pairs; the larger ones as one row each with their size."""
+    """Alike names with their first rows and counts, and every row that bears one of them."""
     parts, name = named_parts(spark, sf), D.dup_name("name", F.lit(""))
-    pairs = D.brand_fuzzy_pairs(parts, "block", name, SPECS, method="levenshtein")
-    rows, groups = D.expand_pairs(pairs, parts, F.col("block"), name, SPECS, cap=20)
-    none = F.lit(None).cast("bigint")
-    return rows.select("key_a", "key_b", "confidence").unionByName(
-        groups.select(none.alias("key_a"), none.alias("key_b"), F.concat_ws("|", "block", "name_a", "name_b", "n_pairs").alias("confidence"))
+    found = D.brand_fuzzy_pairs(parts, "block", name, SPECS, method="levenshtein")
+    pairs, bearers = D.name_groups(found, parts, F.col("block"), name)
+    return pairs.select(
+        F.lit("pair").alias("kind"), "block", F.col("name_a").alias("name"), F.col("name_b").alias("other"), "key_a", "key_b", "n_pairs"
+    ).unionByName(
+        bearers.select(
+            F.lit("row").alias("kind"), "block", "name", F.lit(None).cast("string").alias("other"), F.col("key").alias("key_a"),
+            F.col("first_key").alias("key_b"), F.lit(None).cast("bigint").alias("n_pairs"),
+        )
     )
 
 
@@ -268,7 +271,7 @@ def merge_pair_outcome(spark, sf):
 
 @query("available_files", f"""WITH {CAT}, disk AS ({DISK}),
 l AS (SELECT regexp_replace(trim(replace(unnest(files), chr(92), '/')), '/+', '/', 'g') AS path FROM cat)
-SELECT path FROM disk WHERE path NOT IN (SELECT path FROM l) AND contains(lower(path), 'brand#1') ORDER BY path LIMIT 400""")
+SELECT path FROM disk WHERE path NOT IN (SELECT path FROM l) AND contains(lower(path), 'brand#1')""")
 def available_files(spark, sf):
     return K.available_files(disk_files(spark, sf), part_catalog(spark, sf), "brand#1")
 

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.curves import leading_numbers, loose_pair, split_fields
 from ..functions.text import is_curve_file, strip
+from ..session import cut_lineage
 
 # Accepted ranges of the strict and the lenient reading.
 STRICT_FREQ, STRICT_SPL = (1.0, 200_000.0), (-200.0, 200.0)
 LENIENT_FREQ, LENIENT_SPL = (2.0, 100_000.0), (-120.0, 140.0)
 KHZ_SUSPECT_MAX = 100.0
 MIN_POINTS = 2
-MAX_POINTS = 500_000
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
@@ -56,8 +56,9 @@ def _whole(c):
     return c == F.floor(c)
 
 
-def _rows(lines: DataFrame, start: int) -> DataFrame:
-    n = F.col("n")
+def _reading(start: int):
+    """One reading of a line's fields, from the given column on."""
+    n = leading_numbers(F.col("fields"), start)
     freq, spl, phase = n["freq"], n["spl"], n["phase"]
     dated = (
         (F.size("fields") >= 3) & phase.isNotNull() & _whole(freq) & _whole(spl) & _whole(phase)
@@ -65,8 +66,8 @@ def _rows(lines: DataFrame, start: int) -> DataFrame:
     )
     usable = freq.between(*STRICT_FREQ) & spl.between(*STRICT_SPL) & ~F.isnan(freq) & ~F.isnan(spl)
     finite_phase = F.when(~F.isnan(phase) & (F.abs(phase) < float("inf")), phase)
-    return lines.withColumn("n", leading_numbers(F.col("fields"), start)).select(
-        "path", "line_order", freq.alias("freq"), spl.alias("spl"), finite_phase.alias("phase"),
+    return F.struct(
+        F.lit(start).alias("start"), freq.alias("freq"), spl.alias("spl"), finite_phase.alias("phase"),
         F.coalesce(dated, F.lit(False)).alias("dated"), F.coalesce(usable, F.lit(False)).alias("usable"),
         F.coalesce(freq < STRICT_FREQ[0], F.lit(False)).alias("low"),
     )
@@ -75,18 +76,20 @@ def _rows(lines: DataFrame, start: int) -> DataFrame:
 def points_from_lines(lines: DataFrame):
     """(points, curve_errors) by the strict rules, from (path, line_order, line).
 
-    Both column readings come out of one pass over the lines. Per (path, frequency) the
-    first line wins by a minimum; facts about a file are aggregates of those, joined back.
+    One scan: fields are split once, both column readings are exploded from them, and one aggregate per (path,
+    reading, frequency) is saved, from which the facts about files and the points come. The first line of a frequency
+    wins by a minimum. Lines without a usable number are counted too, so files without data are seen.
     """
-    fields = lines.where(strip("line") != "").withColumn("fields", split_fields("line"))
-    both = _rows(fields, 0).withColumn("start", F.lit(0)).unionByName(_rows(fields, 1).withColumn("start", F.lit(1)))
+    fields = lines.select("path", "line_order", split_fields("line").alias("fields"))
+    both = fields.select("path", "line_order", F.explode(F.array(_reading(0), _reading(1))).alias("r")).select("path", "line_order", "r.*")
     value = F.struct("spl", "phase")
     good = F.col("usable")
-    by_freq = both.where("usable OR low").groupBy("path", "start", F.when(good, F.col("freq")).alias("freq")).agg(
+    by_freq = both.groupBy("path", "start", F.when(good, F.col("freq")).alias("freq")).agg(
         F.min_by(value, F.when(good, F.col("line_order"))).alias("first_any"),
         F.min_by(F.when(good & ~F.col("dated"), value), F.when(good & ~F.col("dated"), F.col("line_order"))).alias("first_plain"),
         F.count_if("low").alias("n_low"),
     )
+    by_freq = cut_lineage(by_freq)
     outside = F.col("first_any").isNotNull() & ((F.col("freq") < 1900) | (F.col("freq") > 2100))
     main = F.col("start") == 0
     plain = F.col("first_plain").isNotNull()
@@ -115,7 +118,7 @@ def points_from_lines(lines: DataFrame):
         (fact("n", 0) >= 3) & fact("int", 0) & (fact("lo", 0) == 1.0) & (fact("hi", 0) - fact("lo", 0) + 1 == fact("n", 0))
     )
     facts = facts.withColumn("use", F.when(index_column & (F.col("n_1_plain") >= fact("n", 0)), 1).otherwise(0))
-    n = F.when(F.col("use") == 1, F.col("n_1_plain")).otherwise(fact("n", 0))
+    n = F.coalesce(F.when(F.col("use") == 1, F.col("n_1_plain")).otherwise(fact("n", 0)), F.lit(0))
     hi = F.when(F.col("use") == 1, F.col("hi_1_plain")).otherwise(fact("hi", 0))
     reason = F.when(n < MIN_POINTS, F.lit("no usable data rows")).when(
         (hi <= KHZ_SUSPECT_MAX) & (F.col("n_low") > 0), F.lit("frequency column looks like kHz")
@@ -127,10 +130,7 @@ def points_from_lines(lines: DataFrame):
     points = chosen.withColumn("v", v).where("v IS NOT NULL").select(
         F.col("path").alias("curve_id"), "freq", F.col("v.spl").alias("spl"), F.col("v.phase").alias("phase")
     )
-    read = facts.where("reason IS NOT NULL").select("path", "reason")
-    empty = lines.select("path").distinct().join(facts.select("path"), "path", "left_anti")
-    errors = read.unionByName(empty.withColumn("reason", F.lit("no usable data rows")))
-    return points, errors
+    return points, facts.where("reason IS NOT NULL").select("path", "reason")
 
 
 def lenient_points_from_lines(lines: DataFrame):
@@ -144,15 +144,11 @@ def lenient_points_from_lines(lines: DataFrame):
         F.col("p.freq").between(*LENIENT_FREQ) & F.col("p.spl").between(*LENIENT_SPL)
         & ~F.isnan("p.freq") & ~F.isnan("p.spl")
     )
-    large = rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > MAX_POINTS)
-    points = rows.join(large.select("path"), "path", "left_anti").select(
+    points = rows.select(
         F.col("path").alias("curve_id"), "p.freq", "p.spl", F.lit(None).cast("double").alias("phase")
     )
     empty = lines.select("path").distinct().join(rows.select("path"), "path", "left_anti")
-    errors = large.select("path", F.lit("too many data points").alias("reason")).unionByName(
-        empty.withColumn("reason", F.lit("no usable data rows"))
-    )
-    return points, errors
+    return points, empty.withColumn("reason", F.lit("no usable data rows"))
 
 
 def ingest_curves(spark: SparkSession, paths, mode: str = "strict"):
@@ -170,20 +166,16 @@ def queue_paths(df: DataFrame, path: str = "path", fold_case: bool = False):
 
 
 def write_curves(points: DataFrame, path: str, format: str = "parquet") -> None:
-    """``text``: two columns per line, one folder per curve; otherwise parquet sorted by curve."""
+    """Points sorted by curve: parquet, or ``text`` with curve, frequency and level per line.
+
+    Both write as many files as there are tasks; a reader of text tells curves apart by the first column.
+    """
+    dealt = points.repartitionByRange("curve_id", "freq").sortWithinPartitions("curve_id", "freq")
     if format != "text":
-        points.repartitionByRange("curve_id", "freq").sortWithinPartitions("curve_id", "freq").write.mode(
-            "overwrite"
-        ).parquet(path)
+        dealt.write.mode("overwrite").parquet(path)
         return
-    (
-        points.repartitionByRange("curve_id", "freq")
-        .sortWithinPartitions("curve_id", "freq")
-        .select(F.col("curve_id").alias("curve"), F.format_string("%.6f\t%.3f", "freq", "spl").alias("value"))
-        .write.mode("overwrite")
-        .partitionBy("curve")
-        .text(path)
-    )
+    line = F.concat_ws("\t", F.col("curve_id").cast("string"), F.format_string("%.6f\t%.3f", "freq", "spl"))
+    dealt.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def write_audit_report(issues: DataFrame, path: str) -> None:

@@ -2,12 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgertone import schema as S
 from ledgertone.operators import chunks, history, points
-from ledgertone.operators.audit import audit
+from ledgertone.operators.audit import audit, audit_duplicates, best_first
 from ledgertone.operators.claims import settle_ids
 from ledgertone.operators.fixes import apply_fixes
 from ledgertone.sources.catalog import clean_catalog, read_catalog
@@ -96,26 +97,60 @@ def test_chunks_equal_greedy_fill(spark):
                 assert got[g, i + base] == chunk, (per_block, g, i)
 
 
-def test_ids_settle_like_one_after_the_other(spark):
+@pytest.mark.parametrize("by", ["set", "holders"])
+def test_ids_settle_like_one_after_the_other(spark, by):
     rng = random.Random(5)
-    for _ in range(3):
-        owners = [f"i{k}" for k in range(12)]
-        old = rng.sample(owners, 9)
-        claims = [(k, old[k], f"i{rng.randrange(16)}") for k in range(9)]
-        live, want = set(owners), {}
-        for seq, was, new in claims:
-            ok = new == was or new not in live
-            want[seq] = ok
+    for turn in range(4):
+        owners = [f"i{k}" for k in range(12)] + ["i0", "i1", "i1"] * (turn % 2)
+        rows = rng.sample(range(len(owners)), 10)
+        claims = [(seq, owners[row], f"i{rng.randrange(16)}") for seq, row in enumerate(rows)]
+        live, holds, want = set(owners), list(owners), {}
+        for (seq, was, new), row in zip(claims, rows, strict=True):
+            free = new not in live if by == "set" else new not in holds
+            want[seq] = ok = new == was or free
             if ok and new != was:
                 live.discard(was)
                 live.add(new)
+                holds[row] = new
         got = settle_ids(
             spark.createDataFrame(claims, "seq long, old_id string, new_id string"),
             spark.createDataFrame([(o,) for o in owners], "id string"),
+            by,
         )
         assert {r.seq: r.accepted for r in got.collect()} == want
 
 
+def test_a_refused_fix_leaves_the_others(spark):
+    rows = [
+        entry(0, model="Kato", id="moondrop_kato"),
+        entry(1, model="Kato", id="x", price_usd=22, driver_type="BA"),
+        # both hold one id; one of them leaves it, so the third may not have it
+        entry(2, id="moondrop_m9", model="Aria"),
+        entry(3, id="moondrop_m9", model="M9"),
+        entry(4, id="y", model="M9", files=[" data\\x.txt"]),
+    ]
+    catalog = spark.createDataFrame(rows, ROW)
+    after, _, rejected = apply_fixes(catalog, audit(catalog, pairs=False))
+    fixed = {r.row_id: r for r in after.collect()}
+    assert (fixed[1].id, fixed[1].price_usd, fixed[1].driver_type) == ("x", 20, "DD")
+    assert (fixed[2].id, fixed[3].id, fixed[4].id) == ("moondrop_aria", "moondrop_m9", "y")
+    assert fixed[4].files == ["data\\x.txt"]
+    assert {(r.row_id, r.reason) for r in rejected.collect()} == {(1, "id is taken: moondrop_kato"), (4, "id is taken: moondrop_m9")}
+
+
+def test_shared_files_and_names_stay_linear(spark):
+    many = [entry(i, model="Chu", id="moondrop_chu", files=["data/a.txt"]) for i in range(60)]
+    few = [entry(100 + i, brand="Sony", model=f"Quest {'a' * i}", id=f"s{i}", files=["data/b.txt"]) for i in range(5)]
+    catalog = spark.createDataFrame(many + few, ROW)
+    link, link_rows, name, name_rows = audit_duplicates(catalog)
+    got = {r.subject: r.message for r in link.collect()}
+    assert "1770 pairs" in got["dup|link|data/a.txt"] and "10 pairs" in got["dup|link|data/b.txt"]
+    assert link_rows.count() == 59 + 4 and name_rows.count() == 59
+    assert "1770 row pairs" in name.where("subject LIKE '%|chu|chu'").first().message
+    ranked = [r.confidence for r in best_first(link.unionByName(link_rows).unionByName(name).unionByName(name_rows)).collect()]
+    assert ranked == sorted(ranked, key=["high", "medium", "low"].index)
+
+
 def test_fixes_leave_nothing_to_fix(spark):
     rows = [
         entry(0),
@@ -150,8 +185,9 @@ def test_change_documents(spark):
         (2, '// note\nSEARCH:\n{"id": "x"}\nREPLACE:\n{"id": "y", "price_usd": 5}'),
         (3, 'SEARCH: {"id": "x"} REPLACE: null'),
         (4, 'text {"id": "q", "model": "a { b"} more {"id": "cut'),
+        (5, 'so {"id": "n", "x": {"y": {"z": [1, {"w": "}"}]}}} it is'),
     ]
     found, errors = ingest_change_docs(spark.createDataFrame(docs, "doc_id long, text string"))
     got = {(r.doc_id, r.kind, (r.search or {}).get("id"), (r.replace or {}).get("id")) for r in found.collect()}
-    assert got == {(1, "entry", None, "a"), (2, "pair", "x", "y"), (3, "pair", "x", None), (4, "entry", None, "q")}
+    assert got == {(1, "entry", None, "a"), (2, "pair", "x", "y"), (3, "pair", "x", None), (4, "entry", None, "q"), (5, "entry", None, "n")}
     assert {r.doc_id for r in errors.collect()} == {1, 4}

@@ -8,7 +8,7 @@ from ..operators import edits as E
 from ..operators import history as H
 from ..operators.convert import link_files
 from ..sources.change_docs import ingest_change_docs
-from .base import query, show_list, table
+from .base import columns, query, show_list, spark_sql, table
 from .catalog_queries import CAT, LAST_YEAR, disk_files, part_catalog
 
 # every part proposes a change: entries by id, deletions, unknown products, and second proposals
@@ -218,15 +218,37 @@ def link_files_query(spark, sf):
     return after.select("row_id", show_list("files").alias("files"))
 
 
-@query("apply_edits")
+# valid entries; some pairs of them would get one id by the edit
+MODEL = """CASE WHEN p_partkey % 100 = 10 THEN 'ring ' || CAST(p_partkey AS STRING) WHEN p_partkey % 100 = 11 THEN 'hoop ' || CAST(p_partkey - 1 AS STRING)
+  WHEN p_partkey % 3 = 0 THEN 'ring ' || p_name || ' ' || CAST(p_partkey AS STRING) ELSE p_name || ' ' || CAST(p_partkey AS STRING) END"""
+BRAND = "CASE WHEN p_partkey % 100 IN (10, 11) THEN 'Same' ELSE p_brand END"
+PRICE = "CAST(floor(p_retailprice / 5) * 5 AS INT)"
+TIER = f"CASE WHEN {PRICE} >= 1500 THEN 'Flagship' WHEN {PRICE} >= 500 THEN 'Premium' WHEN {PRICE} >= 100 THEN 'Mid-Tier' ELSE 'Budget' END"
+FOLDED = "lower(replace({0}, '#', '_')) || '_' || replace({1}, ' ', '_')"
+GOOD = {
+    "row_id": "p_partkey", "id": FOLDED.format(BRAND, MODEL), "brand": BRAND, "model": MODEL, "variant": "''",
+    "year": "2000 + p_size % 20", "price_usd": PRICE, "driver_type": "'DD'", "driver_config": "'1DD'", "impedance": "p_size",
+    "sensitivity": "100", "connector": "'2-pin'", "form_factor": "'IEM'", "tags": f"LIST({TIER}, 'Warm', 'Smooth', 'Relaxed')",
+    "files": "LIST('data/' || CAST(p_partkey AS STRING) || '.txt')",
+}
+
+
+def good_catalog(spark, sf):
+    return table(spark, sf, "part").selectExpr(*columns(GOOD, spark_sql))
+
+
+@query("apply_edits", f"""WITH g AS (SELECT p_partkey AS row_id, {BRAND} AS brand, {MODEL} AS model FROM part),
+e AS (SELECT *, replace(model, 'ring', 'hoop') AS new FROM g),
+i AS (SELECT *, {FOLDED.format('brand', 'model')} AS id, {FOLDED.format('brand', 'new')} AS new_id FROM e),
+j AS (SELECT *, new <> model AND new_id IN (SELECT id FROM i) AS refused FROM i)
+SELECT row_id, CASE WHEN refused THEN id ELSE new_id END AS id, CASE WHEN refused THEN model ELSE new END AS model,
+  CASE WHEN refused THEN 'id is used by another entry: ' || new_id ELSE '' END AS reason, new <> model AND NOT refused AS logged FROM j""")
 def apply_edits(spark, sf):
-    """Find and replace on models, written where entries stay valid: outcome counts."""
-    catalog = part_catalog(spark, sf)
+    """Find and replace on models of valid entries: ids follow, and an id another entry has is refused."""
+    catalog = good_catalog(spark, sf)
     found = E.find_replace(catalog, "model", "ring", "hoop")
     after, log, problems = E.apply_edits(catalog, "model", found, last_year=LAST_YEAR)
-    return (
-        after.agg(F.lit("rows after").alias("what"), F.count("*").alias("n"))
-        .unionByName(log.agg(F.lit("edited").alias("what"), F.count("*").alias("n")))
-        .unionByName(problems.groupBy(F.substring_index("reason", ":", 1).alias("what")).agg(F.count("*").alias("n")))
+    logged = log.where("action = 'edit'").select("row_id", F.lit(True).alias("logged"))
+    return after.join(problems, "row_id", "left").join(logged, "row_id", "left").select(
+        "row_id", "id", "model", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("logged", F.lit(False)).alias("logged")
     )
-

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joined_small, saved
+from .common import saved
 from .jaccard import _chunks, _mix
 
 #: Words in a seed, and seed starts among which one is taken: every equal run of K + W - 1 words holds a seed.
@@ -28,8 +28,6 @@ GAP_COST, MOST_GAP = 0.25, 40
 PAD = 48
 #: Words of a passage at least, of one aligned piece of it, and the share of equal words in a piece.
 MIN_WORDS, PIECE, SAME = 50, 20, 0.8
-#: Rows (two numbers and a few spans) up to which a table is broadcast.
-SMALL = 100_000
 
 
 def word_hashes(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -344,7 +342,7 @@ def _pieces(rows: DataFrame, piece: int, same: float) -> DataFrame:
     ends = chains.select("uid", "a0", "a1").union(chains.select("ruid", "b0", "b1"))
     spans = saved(ends.groupBy("uid").agg(F.collect_set(F.struct(F.col("a0").alias("a"), F.col("a1").alias("b"))).alias("spans")), "spans")
     slices = saved(
-        joined_small(texts.select("uid", "text"), spans, "uid", "inner", SMALL)
+        texts.select("uid", "text").join(spans, "uid")
         .mapInArrow(_slices, "uid bigint, a int, b int, words binary").groupBy("uid", "a", "b").agg(F.first("words").alias("words")),
         "slices",
     )
@@ -422,7 +420,7 @@ def cut_repeats(
     """
     rows = _identified(docs, id_col, text_col)
     spans = _spans(_pieces(rows, piece, same), min_words)
-    marked = joined_small(rows, spans, "uid", "left", SMALL).select("row", "text", "spans")
+    marked = rows.join(spans, "uid", "left").select("row", "text", "spans")
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())])
     done = marked.mapInArrow(_cut, schema).withColumnRenamed("text", "_text").withColumnRenamed("cut", "_cut")
     done = done.where(~F.col("_cut") | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))

@@ -7,6 +7,7 @@ from ..operators import changes as C
 from ..operators import edits as E
 from ..operators import history as H
 from ..operators.convert import link_files
+from ..operators.merge import merge_pair
 from ..sources.change_docs import ingest_change_docs
 from .base import columns, query, show_list, spark_sql, table
 from .catalog_queries import CAT, LAST_YEAR, disk_files, part_catalog
@@ -81,26 +82,6 @@ def normalize_changes(spark, sf):
     )
 
 
-@query("import_batch")
-def import_batch(spark, sf):
-    """The whole batch: normalize, classify, select, stage, apply; what became of it by kind."""
-    catalog, files = part_catalog(spark, sf), disk_files(spark, sf)
-    ready = C.normalize_prices(C.normalize_brands(part_changes(spark, sf), catalog))
-    proposals = C.classify_changes(catalog, ready)
-    selection = proposals.select(
-        "change_id", F.when(F.col("action") == "changed", F.array(F.lit("price_usd"), F.lit("tags"))).alias("fields")
-    )
-    staged, problems, _ = C.stage(C.merge_fields(proposals, selection), catalog, files)
-    after, log = C.apply_changes(catalog, staged)
-    return (
-        C.import_stats(proposals).select(F.concat(F.lit("proposed "), "action").alias("what"), "n")
-        .unionByName(staged.groupBy(F.concat(F.lit("staged "), "action").alias("what")).agg(F.count("*").alias("n")))
-        .unionByName(problems.agg(F.lit("problems").alias("what"), F.count("*").alias("n")))
-        .unionByName(after.agg(F.lit("rows after").alias("what"), F.count("*").alias("n")))
-        .unionByName(log.groupBy(F.concat(F.lit("logged "), "action").alias("what")).agg(F.count("*").alias("n")))
-    )
-
-
 def order_batch(orders):
     """New prices for a tenth of the orders, a few new orders, and keys to remove."""
     new_price = F.col("o_totalprice") + 1000
@@ -252,3 +233,75 @@ def apply_edits(spark, sf):
     return after.join(problems, "row_id", "left").join(logged, "row_id", "left").select(
         "row_id", "id", "model", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("logged", F.lit(False)).alias("logged")
     )
+
+
+@query("merge_pair_outcome", f"""WITH g AS (SELECT p_partkey AS k, {FOLDED.format(BRAND, MODEL)} AS id, {TIER} AS tier, 'data/' || CAST(p_partkey AS VARCHAR) || '.txt' AS file FROM part),
+p AS (SELECT a.k AS a, b.k AS b, a.k % 4 = 1 AND (a.k - 1) IN (SELECT k FROM g) AS late FROM g a JOIN g b ON b.k = a.k + 1 WHERE a.k % 4 IN (0, 1)),
+m AS (SELECT g.*, x.b AS other FROM g LEFT JOIN p x ON x.a = g.k AND NOT x.late)
+SELECT 'row' AS kind, k AS row_id, id, CASE WHEN other IS NULL THEN tier || ',Warm,Smooth,Relaxed' ELSE 'Warm,Smooth,Relaxed,' || tier END AS tags,
+  CASE WHEN other IS NULL THEN file ELSE file || ',data/' || CAST(other AS VARCHAR) || '.txt' END AS files
+FROM m WHERE k NOT IN (SELECT b FROM p WHERE NOT late)
+UNION ALL SELECT 'rejected', a, CAST(b AS VARCHAR), 'a row of this pair is in an earlier merge', '' FROM p WHERE late""")
+def merge_pair_outcome(spark, sf):
+    """Neighbours merged in one pass: the rows after it, and the pairs that have to wait for the next."""
+    catalog = good_catalog(spark, sf)
+    a = catalog.where("row_id % 4 IN (0, 1)").select(F.col("row_id").alias("key_a"), (F.col("row_id") + 1).alias("key_b"))
+    pairs = a.join(catalog.select(F.col("row_id").alias("key_b")), "key_b", "left_semi").select("key_a", "key_b")
+    after, _, rejected = merge_pair(catalog, pairs, last_year=LAST_YEAR)
+    rows = after.select(F.lit("row").alias("kind"), "row_id", "id", show_list("tags").alias("tags"), show_list("files").alias("files"))
+    return rows.unionByName(
+        rejected.select(
+            F.lit("rejected").alias("kind"), F.col("key_a").alias("row_id"), F.col("key_b").cast("string").alias("id"),
+            F.col("reason").alias("tags"), F.lit("").alias("files"),
+        )
+    )
+
+
+# what is proposed for each valid entry: a price, a deletion, a new product, no change, another name (free or taken)
+TIER5 = TIER.replace(PRICE, f"({PRICE} + 5)")
+TAGGED = "{0} || ',Warm,Smooth,Relaxed'"
+
+
+@query("import_batch", f"""WITH g AS (SELECT p_partkey AS k, {BRAND} AS brand, {MODEL} AS model, {PRICE} AS price, {TIER} AS tier, {TIER5} AS tier5 FROM part),
+i AS (SELECT *, {FOLDED.format('brand', 'model')} AS id FROM g),
+t AS (SELECT a.*, b.id AS taken FROM i a LEFT JOIN i b ON b.k = a.k + 2 AND a.k % 12 = 10 AND b.brand = a.brand),
+top AS (SELECT max(k) AS last FROM g)
+SELECT 'row' AS kind, k AS row_id, CASE WHEN k % 12 = 4 THEN id || '_x' ELSE id END AS id, CASE WHEN k % 6 = 0 THEN price + 5 ELSE price END AS price_usd,
+  {TAGGED.format("CASE WHEN k % 6 = 0 THEN tier5 ELSE tier END")} AS tags FROM i WHERE k % 6 <> 1
+UNION ALL SELECT 'row', last + 1 + k, id || '_zz', price, {TAGGED.format('tier')} FROM i, top WHERE k % 6 = 2
+UNION ALL SELECT 'problem', k, 'id is used by another entry: ' || taken, 0, '' FROM t WHERE taken IS NOT NULL""")
+def import_batch(spark, sf):
+    """The whole batch over valid entries: normalize, classify, select, stage, apply; rows and problems."""
+    catalog = good_catalog(spark, sf)
+    k = F.col("row_id")
+    later = catalog.select((k - 2).alias("row_id"), F.col("brand").alias("_b"), F.col("model").alias("_m"))
+    known = catalog.join(later, "row_id", "left")
+    taken = (k % 12 == 10) & (F.col("_b") == F.col("brand"))
+    known = known.withColumn("deletes", k % 6 == 1).withColumn("kind", F.when((k % 6).isin(2, 3), "entry").otherwise("pair")).withColumns(
+        {
+            "was": F.col("id"),
+            "model": F.when(k % 6 == 2, F.concat("model", F.lit(" zz"))).when(k % 12 == 4, F.concat("model", F.lit(" x")))
+            .when(taken, F.col("_m")).otherwise(F.col("model")),
+            "id": F.when(k % 6 == 2, "").otherwise(F.col("id")),
+            "price_usd": F.when(k % 6 == 0, F.col("price_usd") + 5).otherwise(F.col("price_usd")),
+        }
+    )
+    entry = F.create_map(
+        *[x for f in S.FIELDS for x in (F.lit(f), F.to_json(f) if f in S.LIST_FIELDS else F.col(f).cast("string"))]
+    )
+    search = F.create_map(F.lit("id"), F.col("was"))
+    changes = known.select(
+        F.col("row_id").alias("change_id"), "kind", F.when(F.col("kind") == "pair", search).alias("search"),
+        F.when(~F.col("deletes"), entry).alias("replace"),
+    )
+    ready = C.normalize_prices(C.normalize_brands(changes, catalog))
+    proposals = C.classify_changes(catalog, ready)
+    chosen = proposals.select("change_id", F.lit(None).cast("array<string>").alias("fields"))
+    staged, problems, _ = C.stage(C.merge_fields(proposals, chosen), catalog)
+    after, _ = C.apply_changes(catalog, staged)
+    return after.select(F.lit("row").alias("kind"), "row_id", "id", "price_usd", show_list("tags").alias("tags")).unionByName(
+        problems.select(
+            F.lit("problem").alias("kind"), F.col("change_id").alias("row_id"), F.col("error").alias("id"),
+            F.lit(0).alias("price_usd"), F.lit("").alias("tags"),
+        )
+    )

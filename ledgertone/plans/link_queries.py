@@ -7,9 +7,9 @@ from ..operators import duplicates as D
 from ..operators import links as K
 from ..operators import lookup as L
 from ..operators import spelling as SP
-from ..operators.merge import first_pairs, merge_pair, merged_entries
+from ..operators.merge import first_pairs, merged_entries
 from .base import query, show_list, table
-from .catalog_queries import CAT, DISK, LAST_YEAR, disk_files, part_catalog
+from .catalog_queries import CAT, DISK, disk_files, part_catalog
 
 
 @query("duplicate_ids", """WITH n AS (SELECT l_orderkey, l_linenumber, l_extendedprice,
@@ -257,18 +257,6 @@ def merge_pairs(spark, sf):
     return out.withColumn("tags", show_list("tags")).withColumn("files", show_list("files"))
 
 
-@query("merge_pair_outcome")
-def merge_pair_outcome(spark, sf):
-    """The whole merge: rows kept, rows merged and pairs rejected, by reason."""
-    catalog = part_catalog(spark, sf)
-    after, log, rejected = merge_pair(catalog, neighbour_pairs(catalog), last_year=LAST_YEAR)
-    return (
-        after.agg(F.lit("rows after").alias("what"), F.count("*").alias("n"))
-        .unionByName(log.groupBy(F.concat(F.lit("log "), "action").alias("what")).agg(F.count("*").alias("n")))
-        .unionByName(rejected.groupBy(F.concat(F.lit("rejected: "), F.substring_index("reason", ":", 1)).alias("what")).agg(F.count("*").alias("n")))
-    )
-
-
 @query("available_files", f"""WITH {CAT}, disk AS ({DISK}),
 l AS (SELECT regexp_replace(trim(replace(unnest(files), chr(92), '/')), '/+', '/', 'g') AS path FROM cat)
 SELECT path FROM disk WHERE path NOT IN (SELECT path FROM l) AND contains(lower(path), 'brand#1')""")

@@ -1,8 +1,10 @@
 """Exact n-gram Jaccard links by a grouped prefix join.
 
-A text's set holds the hashes of its distinct word n-grams, in one order that all texts share: rare ones by hash
-first, those known to be frequent last. Two sets that link share an element among the first few of each (the prefix).
-Texts with one set are one node; nodes with equal prefix and size are one group, and only groups meet in the join.
+All sets are ordered alike: elements of a fixed share of the hash space first, the rarest before the others by exact
+counts, then the rest by hash. Two sets that link share an element among the first few of each (the prefix). Elements
+that only one set holds come first, so a text that merely shares a passage with others has a prefix of its own and
+drops out before any set is fetched. Texts with one set are one node; nodes with equal prefix and size are one group,
+and only groups meet in the join.
 
 What is asked for are the linked components, so pairs inside a known component need no comparing. Rounds compare every
 node of an element with one leader each and join what links; what is then left between different components of one
@@ -11,25 +13,27 @@ element is expanded to members and verified pair by pair, without a cap. Sets ar
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, joined_small, saved
 
-#: Most frequent n-grams set last in the order; a matter of speed only, any order gives the same links.
-FREQUENT = 1 << 17
-#: Least count for that, and characters of text counted together.
-FREQUENT_FROM = 16
+#: Share of the hash space whose elements are counted, for a similarity of 0 (it shrinks with the prefix).
+COUNTED = 1.7
 CHUNK_CHARS = 8 << 20
-#: Node pairs left, for each node, with which leaders give way to the full comparison; and the rounds at most.
-LEFT, ROUNDS = 4, 6
+#: Bytes of each hash kept where sets are compared; two elements of a pair of texts differ in them but for 1 in 2 ** 48.
+KEPT_BYTES = 6
+#: Bits of the parity sketch: bit b tells whether a set has an odd number of elements in bucket b of the hash space. Two
+#: sets differ in at least as many elements as their sketches differ in bits, so this never drops a linked pair.
+SKETCH_BITS = 512
+#: Meetings left, for each node, with which leaders give way to the full comparison; and the rounds at most.
+LEFT, ROUNDS = 30, 6
 #: Rows of two numbers up to which a table is broadcast.
 SMALL = 300_000
 
@@ -87,68 +91,32 @@ def _chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list]]:
         yield first, group
 
 
-def _count(n: int, share: float):
-    schema = pa.schema([("token", pa.int64()), ("c", pa.int64())])
-    limit = np.uint64(int(share * 2**64) - 1 if share < 1 else 2**64 - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, group in _chunks(batch, "text"):
-                flat = np.concatenate([*shingles(group, n), np.empty(0, np.uint64)])
-                tokens, counts = np.unique(flat[flat <= limit], return_counts=True)
-                often = counts > 1
-                yield pa.record_batch([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], schema=schema)
-
-    return run
+def counted_below(percent: int) -> int:
+    """Hashes below this are counted; twice as many as a prefix takes, with room for chance."""
+    return min(2**64 - 1, int(min(1.0, COUNTED * (100 - percent) / 100) * 2**64))
 
 
-def frequent(rows: DataFrame, n: int, percent: int) -> np.ndarray:
-    """The hashes, at most FREQUENT, that occur most often among those small enough to get into a prefix.
-
-    Counted within tasks and summed; what occurs once in a chunk isn't moved, so counts are lower bounds.
-    """
-    share = min(1.0, 2.3 * (100 - percent) / 100 + 0.01)
-    counts = saved(
-        rows.mapInArrow(_count(n, share), "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
-        .where(F.col("c") >= FREQUENT_FROM), "frequent",
-    )
-    sizes = counts.groupBy(F.floor(F.log2("c")).alias("b")).count().collect()  # one row per power of two
-    total, least = 0, None
-    for r in sorted(sizes, key=lambda r: -r["b"]):
-        total += r["count"]
-        if total > FREQUENT:
-            break
-        least = 1 << r["b"]
-    if least is None:
-        return np.empty(0, np.uint64)
-    got = counts.where(F.col("c") >= least).select("token").toPandas()["token"].to_numpy(np.int64)
-    return np.sort(got.view(np.uint64))
-
-
-def _sign(n: int, percent: int, shared):
+def _sign(n: int, percent: int):
     schema = pa.schema(
-        [("n", pa.int64()), ("fp", pa.binary()), ("ph", pa.binary()), ("prefix", pa.list_(pa.int64()))]
+        [("n", pa.int64()), ("fp", pa.binary()), ("r", pa.int64()), ("sketch", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))]
     )
+    below = np.uint64(counted_below(percent))
 
-    def one(hashes: np.ndarray, late: np.ndarray):
+    def one(hashes: np.ndarray):
         own = np.unique(hashes)
         if not len(own):
-            return 0, None, None, None
-        p = prefix_size(len(own), percent)
-        if len(late):
-            at = np.minimum(np.searchsorted(late, own), len(late) - 1)
-            is_late = late[at] == own
-            first = own[~is_late][:p]
-            first = np.concatenate([first, own[is_late][: p - len(first)]])
-        else:
-            first = own[:p]
-        fp = xxhash.xxh3_128_digest(own.tobytes())
-        return len(own), fp, xxhash.xxh3_128_digest(first.tobytes()), first.view(np.int64)
+            return 0, None, 0, None, None
+        r = int(np.searchsorted(own, below))
+        # the rest, by hash, only as far as the prefix reaches beyond the counted ones
+        tokens = own[: max(r, prefix_size(len(own), percent))]
+        odd = np.bincount((own % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+        sketch = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        return len(own), xxhash.xxh3_128_digest(own.tobytes()), r, sketch, tokens.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, group in _chunks(batch, "text"):
-                cols = list(zip(*[one(h, shared.value) for h in shingles(group, n)], strict=True))
+                cols = list(zip(*map(one, shingles(group, n)), strict=True))
                 made = [pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)]
                 kept = [batch.column(c).slice(first, len(group)) for c in ("id", "k")]
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=["id", "k", *schema.names])
@@ -162,12 +130,18 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, group in _chunks(batch, "text"):
-                made = [np.unique(h).tobytes() for h in shingles(group, n)]
+                made = [np.unique(h).view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :].tobytes() for h in shingles(group, n)]
                 yield pa.record_batch([batch.column("k").slice(first, len(group)), pa.array(made, pa.binary())], schema=schema)
 
     return run
 
 
+def unkept(raw) -> np.ndarray:
+    """The numbers that a set's kept bytes make."""
+    kept = np.frombuffer(raw, np.uint8).reshape(-1, KEPT_BYTES)
+    return np.pad(kept, ((0, 0), (8 - KEPT_BYTES, 0))).view(np.uint64).ravel()
+
+
 def _linked(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -175,7 +149,7 @@ def _linked(percent: int):
         for batch in batches:
             out = []
             for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "sa", "sb")), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                x, y = unkept(x.as_buffer()), unkept(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     out.append((a.as_py(), b.as_py()))
@@ -194,70 +168,88 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Saved table (id, k, n_shingles, component) of all documents; k is a hash of the text, component null without a set."""
-    sc = docs.sparkSession.sparkContext
     text = F.col(text_col).cast("string").cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("k"))
-    late = sc.broadcast(frequent(rows.select("text"), words, percent))  # at most FREQUENT hashes: 1 MB
-    fields = [rows.schema["id"], *T._parse_datatype_string("k binary, n bigint, fp binary, ph binary, prefix array<bigint>").fields]
+    fields = [rows.schema["id"], *T._parse_datatype_string("k binary, n bigint, fp binary, r bigint, sketch array<bigint>, tokens array<bigint>").fields]
     base = saved(
-        rows.mapInArrow(_sign(words, percent, late), T.StructType(fields)).withColumn("row", F.monotonically_increasing_id()), "sets"
-    )
-    # one node per set, one group per size and prefix
-    nodes = base.where("n > 0").groupBy("fp").agg(
-        F.min("row").alias("rid"), F.min("n").alias("n"), F.min("ph").alias("ph"), F.min("k").alias("k")
-    )
-    nodes = saved(nodes, "nodes")
-    groups = nodes.groupBy("n", "ph").agg(F.min("rid").alias("gid"), F.count("*").alias("members"))
-    nodes = saved(nodes.join(groups, ["n", "ph"]).select("fp", "rid", "n", "k", "gid", "members"), "nodes")
-    heads = nodes.where("rid = gid").select(F.col("gid").alias("row"), "members")
-    met = base.select("row", "prefix").join(heads, "row").select(
-        F.col("row").alias("gid"), "members", F.explode("prefix").alias("token")
+        rows.mapInArrow(_sign(words, percent), T.StructType(fields)).withColumn("row", F.monotonically_increasing_id()), "sets"
     )
+    # one node per set
+    nodes = saved(
+        base.where("n > 0").groupBy("fp").agg(
+            F.min("row").alias("rid"), F.min("n").alias("n"), F.min("r").alias("r"), F.min("k").alias("k"),
+            F.first("sketch").alias("sketch"),
+        ), "nodes",
+    )
+    copies = saved(base.select("row", "fp").join(nodes, "fp").where("row <> rid").select("row"), "copies")
+    own = joined_small(base.where("n > 0"), copies, "row", "left_anti", SMALL)
+    own = own.select(F.col("row").alias("rid"), F.explode("tokens").alias("token"))
+    counts = own.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    met = saved(own.join(counts, "token"), "met")
+    # the prefix: what no other set holds, then the rarest of the others, then the hashes beyond the counted ones
+    counted = F.shiftrightunsigned("token", 1) < F.lit(counted_below(percent) >> 1)
+    size = f"n - (({percent} * n + 99) div 100) + 1"
+    per = met.groupBy("rid").agg(F.count(F.when(counted, 1)).alias("m"))
+    room = per.join(nodes, "rid").select("rid", "n", (F.expr(f"LEAST({size}, r)") - F.col("r") + F.col("m")).alias("room"), (F.col("r") > F.col("m")).alias("alone"))
+    place = F.row_number().over(Window.partitionBy("rid").orderBy(~F.col("counted"), "c", "token"))
+    held = met.withColumn("counted", counted).withColumn("place", place).join(room, "rid")
+    held = saved(held.where("NOT counted OR place <= room").select("rid", "n", "alone", "token"), "held")
+    # one group per size and prefix; a set with an element of its own is a group by itself
+    prefix = held.groupBy("rid").agg(F.min("n").alias("n"), F.max("alone").alias("alone"), F.sort_array(F.collect_list("token")).alias("p"))
+    prefix = prefix.select("rid", "n", F.when(F.col("alone"), F.col("rid")).otherwise(-1).alias("one"), F.xxhash64("p").alias("p0"), F.xxhash64("p", F.lit(1)).alias("p1"))
+    prefix, alike = saved(prefix, "prefix"), ["n", "one", "p0", "p1"]
+    groups = prefix.groupBy(*alike).agg(F.min("rid").alias("gid"), F.count("*").alias("members"))
+    groups = saved(prefix.join(groups, alike).select("rid", "gid", "members"), "groups")
+    heads = groups.where("rid = gid").select("rid", "gid", "members")
+    met = held.select("rid", "token").join(heads, "rid").select("gid", "members", "token")
     shared = met.groupBy("token").agg(F.sum("members").alias("c")).where("c > 1").select("token")
     met = saved(met.select("gid", "token").join(shared, "token", "left_semi"), "met")
-    involved = nodes.join(met.select("gid").distinct(), "gid", "left_semi").select("rid", "k")
-    sets = _sets_of(rows, saved(involved, "involved"), words)
+    groups = groups.join(met.select("gid").distinct(), "gid", "left_semi").select("rid", "gid")
+    whole, nodes = nodes, saved(nodes.join(groups, "rid").select("rid", "n", "k", "gid", "sketch"), "nodes")
+    sets = _sets_of(rows, nodes.select("rid", "k"), words)
 
     edges = verify(saved(nodes.where("rid <> gid").select(F.col("gid").alias("a"), F.col("rid").alias("b")), "pairs"), sets, percent)
     edges = saved(edges, "edges")
     many = nodes.count()
-    small = nodes.select(F.col("rid").alias("node"))
+    small, before = nodes.select(F.col("rid").alias("node")), float("inf")
     for turn in range(ROUNDS + 1):
         roots = saved(components(small, edges), "roots")
-        known = saved(nodes.join(roots.withColumnRenamed("node", "rid"), "rid").select("rid", "gid", "n", "component"), "known")
-        parts = known.groupBy("gid", "n", "component").agg(F.min("rid").alias("head"))
-        at = met.join(parts, "gid")
-        per = at.groupBy("token", "component").agg(F.count("*").alias("c"))
+        known = saved(nodes.join(roots.withColumnRenamed("node", "rid"), "rid").select("rid", "gid", "n", "component", "sketch"), "known")
+        parts = known.groupBy("gid", "n", "component").agg(F.min(F.struct("rid", "sketch")).alias("head"))
+        parts = parts.select("gid", "n", "component", F.col("head.rid").alias("rid"), F.col("head.sketch").alias("sketch"))
+        per = met.join(parts.drop("sketch"), "gid").groupBy("token", "component").agg(F.count("*").alias("c"))
         open_ = per.groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
         open_ = saved(open_, "open")
         left = open_.agg(F.sum(F.expr("CAST((s * s - q) / 2 AS DOUBLE)"))).first()[0] or 0.0
-        if not left or turn == ROUNDS + 1:
+        if not left:
             break
-        at = saved(at.join(open_.select("token"), "token", "left_semi"), "at")
-        fits = f"100 * LEAST(x.n, y.n) >= {percent} * GREATEST(x.n, y.n) AND x.component <> y.component"
-        last = turn == ROUNDS or left <= LEFT * many
+        # leaders go on as long as rounds get somewhere
+        last = turn == ROUNDS or left <= LEFT * many or left > 0.8 * before
+        before = left
+        meeting = met.join(open_.select("token"), "token", "left_semi")
+        # of a similarity of percent or more: sizes that fit, and no more elements that differ than it allows
+        differ = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))
+        fits = (
+            f"100 * LEAST(x.n, y.n) >= {percent} * GREATEST(x.n, y.n) "
+            f"AND ({differ}) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
+        )
         if last:
-            meet = (
-                at.alias("x").join(at.alias("y"), F.expr(f"x.token = y.token AND x.component < y.component AND {fits}"))
-                .select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("gid", "component")]).distinct()
-            )
-            for side, name in (("x", "a"), ("y", "b")):
-                own = known.select(F.col("gid").alias(f"{side}_gid"), F.col("component").alias(f"{side}_component"), F.col("rid").alias(name))
-                meet = meet.join(own, [f"{side}_gid", f"{side}_component"])
-            pairs = meet.select("a", "b").distinct()
+            at = meeting.join(known, "gid").select("token", "rid", "n", "component", "sketch")
+            meet = at.alias("x").join(at.alias("y"), F.expr(f"x.token = y.token AND x.component < y.component AND {fits}"))
+            pairs = meet.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
         else:
-            order = F.struct(F.xxhash64("head", F.lit(turn)).alias("h"), "head", "n", "component")
-            leader = at.groupBy("token").agg(F.min(order).alias("l")).select("token", F.col("l.head").alias("head"), F.col("l.n").alias("n"), F.col("l.component").alias("component"))
-            pairs = (
-                at.alias("x").join(leader.alias("y"), F.expr(f"x.token = y.token AND {fits}"))
-                .select(F.col("y.head").alias("a"), F.col("x.head").alias("b")).distinct()
-            )
+            at = meeting.join(parts, "gid").select("token", "rid", "n", "component", "sketch")
+            order = F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), "rid", "n", "component", "sketch")
+            leader = at.groupBy("token").agg(F.min(order).alias("l")).select("token", "l.*")
+            meet = at.alias("x").join(leader.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND {fits}"))
+            pairs = meet.select(F.col("y.rid").alias("a"), F.col("x.rid").alias("b")).distinct()
         edges = saved(edges.union(verify(saved(pairs, "pairs"), sets, percent)), "edges")
         if last:
             roots = saved(components(small, edges), "roots")
             break
-    named = base.select("id", "k", "n", "fp").join(nodes.select("fp", F.col("rid").alias("node")), "fp", "left")
-    return saved(named.join(roots, "node", "left").select("id", "k", F.col("n").alias("n_shingles"), "component"), "members")
+    named = base.select("id", "k", "n", "fp").join(whole.select("fp", F.col("rid").alias("node")), "fp", "left")
+    found = F.coalesce("component", "node").alias("component")
+    return saved(named.join(roots, "node", "left").select("id", "k", F.col("n").alias("n_shingles"), found), "members")
 
 
 def linked_components(
@@ -307,7 +299,8 @@ def one_per_component(
 
 def _sets_of(rows: DataFrame, involved: DataFrame, words: int) -> DataFrame:
     """(rid, set) of the nodes that meet any other, made again from the texts, each text once."""
-    keys = saved(involved.select("k").distinct(), "keys")
-    texts = joined_small(rows.select("k", "text"), keys, "k", "left_semi", SMALL)
-    made = texts.mapInArrow(_sets(words), "k binary, set binary").groupBy("k").agg(F.first("set").alias("set"))
-    return saved(made.join(involved, "k").select("rid", "set"), "sets")
+    keys = saved(involved.select("k", "rid"), "keys")
+    texts = joined_small(rows.select("k", "text"), keys.select("k"), "k", "left_semi", SMALL)
+    made = texts.mapInArrow(_sets(words), "k binary, set binary")
+    # copies of a text make one set
+    return saved(joined_small(made, keys, "k", "inner", SMALL).groupBy("rid").agg(F.first("set").alias("set")), "sets")

@@ -76,7 +76,6 @@ def test_leaders_first(spark, monkeypatch):
     """With little left to the full comparison, rounds of leaders find the same components."""
     monkeypatch.setattr(jaccard, "LEFT", 0)
     monkeypatch.setattr(jaccard, "ROUNDS", 2)
-    monkeypatch.setattr(jaccard, "FREQUENT_FROM", 2)
     monkeypatch.setattr(jaccard, "SMALL", 0)
     rows = cases()
     assert run(spark, rows, 4, 85) == brute(rows, 4, 85)

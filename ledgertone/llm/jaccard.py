@@ -33,7 +33,7 @@ KEPT_BYTES = 6
 #: sets differ in at least as many elements as their sketches differ in bits, so this never drops a linked pair.
 SKETCH_BITS = 512
 #: Meetings left, for each node, with which leaders give way to the full comparison; and the rounds at most.
-LEFT, ROUNDS = 30, 6
+LEFT, ROUNDS = 0.1, 10
 #: Rows of two numbers up to which a table is broadcast.
 SMALL = 300_000
 
@@ -211,7 +211,7 @@ def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     edges = verify(saved(nodes.where("rid <> gid").select(F.col("gid").alias("a"), F.col("rid").alias("b")), "pairs"), sets, percent)
     edges = saved(edges, "edges")
     many = nodes.count()
-    small, before = nodes.select(F.col("rid").alias("node")), float("inf")
+    small, fresh = nodes.select(F.col("rid").alias("node")), True
     for turn in range(ROUNDS + 1):
         roots = saved(components(small, edges), "roots")
         known = saved(nodes.join(roots.withColumnRenamed("node", "rid"), "rid").select("rid", "gid", "n", "component", "sketch"), "known")
@@ -223,9 +223,8 @@ def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
         left = open_.agg(F.sum(F.expr("CAST((s * s - q) / 2 AS DOUBLE)"))).first()[0] or 0.0
         if not left:
             break
-        # leaders go on as long as rounds get somewhere
-        last = turn == ROUNDS or left <= LEFT * many or left > 0.8 * before
-        before = left
+        # leaders go on as long as they find links, so that what is left are mostly pairs that do not link
+        last = turn == ROUNDS or left <= LEFT * many or not fresh
         meeting = met.join(open_.select("token"), "token", "left_semi")
         # of a similarity of percent or more: sizes that fit, and no more elements that differ than it allows
         differ = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))
@@ -243,7 +242,9 @@ def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
             leader = at.groupBy("token").agg(F.min(order).alias("l")).select("token", "l.*")
             meet = at.alias("x").join(leader.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND {fits}"))
             pairs = meet.select(F.col("y.rid").alias("a"), F.col("x.rid").alias("b")).distinct()
-        edges = saved(edges.union(verify(saved(pairs, "pairs"), sets, percent)), "edges")
+        linked = saved(verify(saved(pairs, "pairs"), sets, percent), "linked")
+        fresh = linked.limit(1).count() > 0
+        edges = saved(edges.union(linked), "edges")
         if last:
             roots = saved(components(small, edges), "roots")
             break

@@ -175,50 +175,92 @@ def _beyond(same: np.ndarray) -> int:
 SKIPS = sorted(((i, j) for i in range(4) for j in range(4) if i or j), key=lambda s: (max(s), sum(s)))
 
 
-def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """(words of a, words of b, equal words) by which two runs that begin together go on alike.
+def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """(words of a, words of b, places of equal words) by which two runs that begin together go on alike.
 
     Where equal places end, up to three words may be left out on either side if five equal ones follow.
     """
-    i = j = equal = 0
+    i = j = 0
+    equal = []
     while True:
         n = min(len(a) - i, len(b) - j)
         same = a[i : i + n] == b[j : j + n]
         far = _beyond(same)
-        i, j, equal = i + far, j + far, equal + int(same[:far].sum())
+        equal.append(np.flatnonzero(same[:far])[:, None] + [i, j])
+        i, j = i + far, j + far
         for p, q in SKIPS:
             x, y = a[i + p : i + p + 5], b[j + q : j + q + 5]
             if len(x) == 5 == len(y) and (x == y).all():
                 i, j = i + p, j + q
                 break
         else:
-            return i, j, equal
+            return i, j, np.concatenate(equal)
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Words in the longest common subsequence of two short runs."""
-    row = np.zeros(len(b) + 1, np.int64)
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the words in a longest common subsequence of two short runs."""
+    rows = [np.zeros(len(b) + 1, np.int64)]
     for x in a:
         # a cell is the larger of the one above and the diagonal plus a match, carried on to the right
-        row = np.maximum.accumulate(np.maximum(row, np.append(0, row[:-1] + (b == x))))
-    return int(row[-1])
+        rows.append(np.maximum.accumulate(np.maximum(rows[-1], np.append(0, rows[-1][:-1] + (b == x)))))
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return np.array(out[::-1], np.int64).reshape(-1, 2)
 
 
-def align(a: np.ndarray, b: np.ndarray, segments: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
-    """(start, end) in a, (start, end) in b and the number of equal words, for a chain placed in the word hashes a and b."""
+def align(a: np.ndarray, b: np.ndarray, segments: list[tuple[int, int, int]]) -> tuple[int, int, int, int, np.ndarray]:
+    """(start, end) in a, (start, end) in b and the places of equal words, for a chain placed in the word hashes a and b."""
     x0, y0, _ = segments[0]
     x1, y1 = segments[-1][0] + segments[-1][2], segments[-1][1] + segments[-1][2]
     left_a, left_b, before = extend(a[:x0][::-1], b[:y0][::-1])
     right_a, right_b, after = extend(a[x1:], b[y1:])
-    equal = before + after
+    equal = [[x0 - 1, y0 - 1] - before[::-1]]
     px, py = x0, y0
     for x, y, size in segments:
-        if x - px == y - py:
-            equal += int((a[px : x + size] == b[py : y + size]).sum())
-        else:
-            equal += _common(a[px:x], b[py:y]) + int((a[x : x + size] == b[y : y + size]).sum())
+        if x - px != y - py:
+            equal.append(_common(a[px:x], b[py:y]) + [px, py])
+            px, py = x, y
+        equal.append(np.flatnonzero(a[px : x + size] == b[py : y + size])[:, None] + [px, py])
         px, py = x + size, y + size
-    return x0 - left_a, x1 + right_a, y0 - left_b, y1 + right_b, equal
+    equal.append(after + [x1, y1])
+    return x0 - left_a, x1 + right_a, y0 - left_b, y1 + right_b, np.concatenate(equal)
+
+
+def alike(a: np.ndarray, b: np.ndarray, segments: list[tuple[int, int, int]], piece: int, same: float) -> list[tuple[int, int, int, int, int]]:
+    """(start, end) in a, (start, end) in b and number of equal words of every piece of an aligned chain.
+
+    A piece has at least ``piece`` words, ``same`` of them equal. That is the whole chain or, if its share is too small,
+    each longest stretch of runs of equal words whose share is not, down to single runs, so none is lost for what
+    stands beside it. A run at an end of a stretch has at least twice the words of the gap next to it.
+    """
+    s, e, t, f, equal = align(a, b, segments)
+    if len(equal) >= same * max(e - s, f - t):
+        return [(s, e, t, f, len(equal))] if e - s >= piece else []
+    cut = np.flatnonzero((np.diff(equal, axis=0) != 1).any(1)) + 1
+    first, last = np.append(0, cut), np.append(cut, len(equal)) - 1
+    starts, ends = equal[first], equal[last] + 1
+    n, gap = last - first + 1, (starts[1:] - ends[:-1]).max(1)
+    begins, closes = np.append(n[:-1] >= 2 * gap, True), np.append(True, n[1:] >= 2 * gap)
+    out, done = [], -1
+    for i in range(len(n)):
+        # a stretch that ends no later than one found before is a part of it
+        k = max(i, done + 1)
+        till = len(n) if begins[i] else i + 1
+        words = ends[k:till] - starts[i]
+        kept = last[k:till] - first[i] + 1
+        good = (words[:, 0] >= piece) & (kept >= same * words.max(1)) & (closes[k:till] | (np.arange(k, till) == i))
+        if good.any():
+            done = k + int(np.flatnonzero(good)[-1])
+            (x, y), (u, v) = starts[i].tolist(), ends[done].tolist()
+            out.append((x, u, y, v, int(last[done] - first[i] + 1)))
+    return out
 
 
 _CHAIN = pa.schema(
@@ -283,8 +325,7 @@ def _aligned(piece: int, same: float):
             for r in batch.to_pylist():
                 a, b = np.frombuffer(r["wa"], np.uint32), np.frombuffer(r["wb"], np.uint32)
                 own = [(x - r["a0"], y - r["b0"], n) for x, y, n in zip(r["x"], r["y"], r["size"], strict=True)]
-                s, e, t, f, equal = align(a, b, own)
-                if e - s >= piece and equal >= same * max(e - s, f - t):
+                for s, e, t, f, equal in alike(a, b, own, piece, same):
                     out.append((r["uid"], r["ruid"], s + r["a0"], e + r["a0"], t + r["b0"], f + r["b0"], equal))
             yield pa.record_batch([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
 

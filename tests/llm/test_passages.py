@@ -109,6 +109,31 @@ def test_chain_is_best(monkeypatch):
         assert abs(score - brute_chain(segments)) < 1e-9
 
 
+def test_runs_beside_each_other(spark):
+    """Two exact runs with different words between: each counts by itself where the two together are too unlike."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    for k, (n, gap, m) in enumerate([(60, 25, 30), (55, 28, 30), (57, 24, 24), (53, 35, 60), (30, 25, 60), (60, 40, 60)] * 10):
+        one, two = words(rng, n), words(rng, m)
+        for copy in (0, 1):
+            rows.append((2 * k + copy, " ".join(words(rng, 30) + one + words(rng, gap) + two + words(rng, 30))))
+        want[2 * k + 1] = {w for s, size in ((30, n), (30 + n + gap, m)) if size >= 50 for w in range(s, s + size)}
+    cover = {}
+    for r in P.repeated_passages(frame(spark, rows)).collect():
+        cover.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["start_word"] + r["n_words"]))
+    assert cover == want
+
+
+def test_runs_of_one_segment():
+    """Seeds on one diagonal are one segment, whose equal runs count by themselves too."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**32, 200).astype(np.uint32)
+    b = a.copy()
+    for s, e in ((60, 75), (85, 100), (110, 125)):
+        b[s:e] += 1
+    assert P.alike(a[:135], b[:135], [(0, 0, 135)], 20, 0.8) == [(0, 60, 0, 60, 60)]
+
+
 def test_cut_words():
     assert P.cut_words(" a b\nc  d\te ", [(1, 3)]) == " a d\te "
     assert P.cut_words("é b", [(0, 5)]) == "" and P.cut_words("a b", [(1, 2)]) == "a "

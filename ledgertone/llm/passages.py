@@ -365,7 +365,126 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _pieces(rows: DataFrame, piece: int, same: float) -> DataFrame:
+def _clusters(x: list[list[int]], size: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """Ranges of places where an equal run of ``least`` words may start: its seeds lie at most W apart and from its ends."""
+    out: list[list[int]] = []
+    for s, n in sorted((s, n) for xs, sizes in zip(x, size, strict=True) for s, n in zip(xs, sizes, strict=True)):
+        if out and s <= out[-1][1] + W:
+            out[-1][1] = max(out[-1][1], s + n)
+        else:
+            out.append([s, s + n])
+    return [(max(0, s - W), e + W - least + 1) for s, e in out if e + W - least >= max(0, s - W)]
+
+
+def _without(ranges: list[tuple[int, int]], gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of the ranges that are in none of those gone, which are in order."""
+    out = []
+    for a, b in ranges:
+        for s, e in gone:
+            if a < s < b:
+                out.append((a, s))
+            if s < b and a < e:
+                a = e
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+_RANGES = "array<struct<a:int,b:int>>"
+
+
+def _starts(least: int):
+    """Where equal runs may start in a text, and where they would not be inside passages already found."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    listed = lambda ranges: [{"a": a, "b": b} for a, b in ranges]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every, open_ = [], []
+            for x, size, spans in zip(*(batch.column(c).to_pylist() for c in ("x", "size", "spans")), strict=True):
+                ranges = _clusters(x, size, least)
+                done = [(p["start"], p["end"] - least + 1) for p in spans or () if p["end"] - p["start"] >= least]
+                every.append(listed(ranges))
+                open_.append(listed(_without(ranges, sorted(done))))
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(every, kind), pa.array(open_, kind)], names=["uid", "every", "open"])
+
+    return run
+
+
+def _run_rows(least: int):
+    """A key for each run of ``least`` words that starts in the ranges ``every`` of a text; wanted if in ``open`` too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, group in _chunks(batch, "text"):
+                of, keys, places, wanted = [], [], [], []
+                for k, words in enumerate(word_hashes(group), first):
+                    n = len(words) - least + 1
+                    if n < 1:
+                        continue
+                    key, inside, asked = np.zeros(n, np.uint64), np.zeros(n, bool), np.zeros(n, bool)
+                    for i in range(least):
+                        key = key * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
+                    for c, mark in (("every", inside), ("open", asked)):
+                        for r in batch.column(c)[k].as_py() or ():
+                            mark[r["a"] : r["b"]] = True
+                    at = np.flatnonzero(inside | asked)
+                    of.append(np.full(len(at), k))
+                    keys.append(_mix(key[at]))
+                    places.append(at.astype(np.int32))
+                    wanted.append(asked[at])
+                if of:
+                    own = [batch.column(c).take(pa.array(np.concatenate(of))) for c in ("id", "uid")]
+                    made = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(wanted))]
+                    yield pa.RecordBatch.from_arrays([*own, *made], names=["id", "uid", "seed", "pos", "wanted"])
+
+    return run
+
+
+def _joined_runs(least: int):
+    """Equal runs of a pair of texts as pieces: neighbours on one diagonal become one."""
+    schema = pa.schema([(c.split()[0], pa.int64() if "bigint" in c else pa.int32()) for c in _FOUND.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for uid, ruid, at in zip(*(batch.column(c).to_pylist() for c in ("uid", "ruid", "at")), strict=True):
+                x, d = np.unique(np.array([(p["rpos"] - p["pos"], p["pos"]) for p in at]), axis=0).T[::-1]
+                cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(x) > least)) + 1
+                for i, j in zip(np.append(0, cut).tolist(), (np.append(cut, len(x)) - 1).tolist(), strict=True):
+                    s, e, shift = int(x[i]), int(x[j]) + least, int(d[i])
+                    out.append((uid, ruid, s, e, s + shift, e + shift, e - s))
+            yield pa.record_batch([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return run
+
+
+def _exact(texts: DataFrame, chains: DataFrame, pieces: DataFrame, least: int) -> DataFrame:
+    """Pieces of ``least`` equal words or more, outside the passages of ``pieces``, each with its own first holder.
+
+    The first holder of a seed may hold less of a passage than a later one. Every seed of an equal run is in a chain of
+    the later text, so runs of the full length are looked up where chains lie close enough for one and no passage is
+    found yet; who else may hold such a run has chains with the same first holders or is one.
+    """
+    near = lambda d: d.groupBy("uid").agg(F.collect_list("x").alias("x"), F.collect_list("size").alias("size"))
+    made = f"uid bigint, every {_RANGES}, open {_RANGES}"
+    own = near(chains.select("uid", "x", "size")).join(_spans(pieces, least), "uid", "left").mapInArrow(_starts(least), made)
+    wanted = saved(own.where("size(open) > 0").select("uid", "open"), "open")
+    asking = chains.join(wanted.select("uid"), "uid", "left_semi")
+    shared = chains.join(asking.select("ruid").distinct(), "ruid", "left_semi").select("uid", "x", "size")
+    holders = near(shared.union(asking.select("ruid", "y", "size"))).withColumn("spans", F.expr("cast(null as array<struct<start:int,end:int>>)"))
+    ranges = saved(holders.mapInArrow(_starts(least), made).drop("open").join(wanted, "uid", "left").where("size(every) > 0"), "ranges")
+    schema = T.StructType([texts.schema["id"], *T._parse_datatype_string(_SEEDS + ", wanted boolean").fields])
+    found = saved(texts.join(ranges, "uid").select("id", "uid", "text", "every", "open").mapInArrow(_run_rows(least), schema), "runs")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "uid", "pos")
+    first = found.groupBy("seed").agg(F.min(place).alias("first"), F.count("*").alias("c"), F.max("wanted").alias("w")).where("c > 1 and w")
+    first = first.select("seed", F.col("first.uid").alias("ruid"), F.col("first.pos").alias("rpos"))
+    met = found.where("wanted").select("seed", "uid", "pos").join(first, "seed").where("uid <> ruid")
+    lists = met.groupBy("uid", "ruid").agg(F.collect_list(F.struct("pos", "rpos")).alias("at"))
+    return saved(lists.mapInArrow(_joined_runs(least), _FOUND), "exact")
+
+
+def _pieces(rows: DataFrame, piece: int, same: float, least: int) -> DataFrame:
     """Saved table of aligned pieces between a document (uid) and an earlier one (ruid), in words."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = rows.select("id", "uid", F.col("text").cast("binary").alias("text"))
@@ -389,7 +508,8 @@ def _pieces(rows: DataFrame, piece: int, same: float) -> DataFrame:
     )
     side = lambda u, a, b, w: slices.select(F.col("uid").alias(u), F.col("a").alias(a), F.col("b").alias(b), F.col("words").alias(w))
     both = chains.join(side("uid", "a0", "a1", "wa"), ["uid", "a0", "a1"]).join(side("ruid", "b0", "b1", "wb"), ["ruid", "b0", "b1"])
-    return saved(both.mapInArrow(_aligned(piece, same), _FOUND), "pieces")
+    pieces = saved(both.mapInArrow(_aligned(piece, same), _FOUND), "pieces")
+    return pieces.union(_exact(texts, chains, pieces, max(least, K + W - 1)))
 
 
 def _spans(pieces: DataFrame, least: int) -> DataFrame:
@@ -410,7 +530,7 @@ def repeated_passages(
     rows equal in id and text are one document; an empty table gives an empty one.
     """
     rows = _identified(docs, id_col, text_col)
-    pieces = _pieces(rows, piece, same)
+    pieces = _pieces(rows, piece, same, min_words)
     spans = _spans(pieces, min_words)
     inside = F.expr("exists(spans, s -> s.start <= start AND `end` <= s.`end`)")
     hits = pieces.join(spans, "uid").where(inside).drop("spans")
@@ -460,7 +580,7 @@ def cut_repeats(
     number of characters where something was cut. Everything else is as in ``repeated_passages``.
     """
     rows = _identified(docs, id_col, text_col)
-    spans = _spans(_pieces(rows, piece, same), min_words)
+    spans = _spans(_pieces(rows, piece, same, min_words), min_words)
     marked = rows.join(spans, "uid", "left").select("row", "text", "spans")
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())])
     done = marked.mapInArrow(_cut, schema).withColumnRenamed("text", "_text").withColumnRenamed("cut", "_cut")

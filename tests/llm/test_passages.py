@@ -134,6 +134,22 @@ def test_runs_of_one_segment():
     assert P.alike(a[:135], b[:135], [(0, 0, 135)], 20, 0.8) == [(0, 60, 0, 60, 60)]
 
 
+def test_first_holder_of_a_part(spark):
+    """A passage that an earlier document holds in part is found in the later documents that hold all of it."""
+    rng = random.Random(11)
+    rows, whole = [], []
+    for k, (n, part) in enumerate([(52, 49), (55, 45), (60, 48), (50, 46)] * 25):
+        passage = words(rng, n)
+        for copy in range(3):
+            own = passage[:part] if copy == 0 else passage
+            rows.append((3 * k + copy, " ".join(words(rng, 30) + own + words(rng, 30))))
+        whole.append((3 * k + 2, 30, 30 + n))
+    cover = {}
+    for r in P.repeated_passages(frame(spark, rows)).collect():
+        cover.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["start_word"] + r["n_words"]))
+    assert cover == {i: set(range(s, e)) for i, s, e in whole}
+
+
 def test_cut_words():
     assert P.cut_words(" a b\nc  d\te ", [(1, 3)]) == " a d\te "
     assert P.cut_words("é b", [(0, 5)]) == "" and P.cut_words("a b", [(1, 2)]) == "a "

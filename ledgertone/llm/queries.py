@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgertone.plans.base import table
 
-from . import bpe, jaccard, lattice, licenses, packing, passages, quality_model, rules, toxicity, warc
+from . import bpe, jaccard, lattice, licenses, merkle, packing, passages, quality_model, rules, toxicity, warc
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,67 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf, "documents"), min_words=50)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    # the copy to be caught: text with A-Z in lower case in a fifth of the documents
+    changed = F.when(
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", ascii_uppercase, ascii_lowercase)
+    ).otherwise(F.col("text"))
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    leaves = docs.select("doc_id", "source", merkle.row_digest(*fields, "text").alias("leaf"), merkle.row_digest(*fields, changed).alias("seen"))
+    done = merkle.manifest(leaves).withColumn("folded_root", merkle.fold("seen"))
+    return done.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+ORACLES["op11_merkle_manifest"] = """
+WITH RECURSIVE
+rows AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS g,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         text,
+         CASE WHEN xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+           lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 5 = 0
+           THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n
+  FROM (SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+               sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS seen FROM rows)),
+lower_levels AS (
+  SELECT 0 AS level, g, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT level + 1, g, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM lower_levels WHERE n > 1 GROUP BY level, g, i // 16),
+subroots AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM lower_levels WHERE n = 1),
+upper_levels AS (
+  SELECT 0 AS level, i, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM upper_levels WHERE n > 1 GROUP BY level, i // 16),
+-- siblings of every node that has a parent
+lower_sides AS (
+  SELECT a.level, a.g, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM lower_levels a JOIN lower_levels b ON a.level = b.level AND a.g = b.g AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY ALL),
+upper_sides AS (
+  SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM upper_levels a JOIN upper_levels b ON a.level = b.level AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY ALL),
+climb AS (
+  SELECT g, i AS k, 0 AS level, i, seen AS h, '' AS sibs FROM leaves
+  UNION ALL
+  SELECT c.g, c.k, c.level + 1, c.i // 16, sha256(s.l || c.h || s.r), c.sibs || s.l || s.r
+  FROM climb c JOIN lower_sides s ON c.level = s.level AND c.g = s.g AND c.i = s.i),
+climbed AS (SELECT g, k, arg_max(h, level) AS h, arg_max(sibs, level) AS sibs FROM climb GROUP BY g, k),
+climb_top AS (
+  SELECT c.g, c.k, 0 AS level, s.i, c.h, c.sibs FROM climbed c JOIN subroots s ON c.g = s.g
+  UNION ALL
+  SELECT c.g, c.k, c.level + 1, c.i // 16, sha256(s.l || c.h || s.r), c.sibs || s.l || s.r
+  FROM climb_top c JOIN upper_sides s ON c.level = s.level AND c.i = s.i),
+done AS (SELECT g, k, arg_max(h, level) AS folded_root, arg_max(sibs, level) AS sibs FROM climb_top GROUP BY g, k)
+SELECT l.doc_id, l.leaf, s.subroot, t.h AS root, sha256(d.sibs) AS proof_sha256, d.folded_root, d.folded_root = t.h AS verified
+FROM leaves l JOIN done d ON l.g = d.g AND l.i = d.k JOIN subroots s ON l.g = s.g, (SELECT h FROM upper_levels WHERE n = 1) t
+"""

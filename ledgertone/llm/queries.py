@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgertone.plans.base import table
 
-from . import bpe, jaccard, lattice, licenses, merkle, packing, passages, quality_model, rules, toxicity, warc
+from . import bpe, jaccard, lattice, licenses, merkle, packing, passages, quality_model, rules, runs, toxicity, warc
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,27 @@ done AS (SELECT g, k, arg_max(h, level) AS folded_root, arg_max(sibs, level) AS
 SELECT l.doc_id, l.leaf, s.subroot, t.h AS root, sha256(d.sibs) AS proof_sha256, d.folded_root, d.folded_root = t.h AS verified
 FROM leaves l JOIN done d ON l.g = d.g AND l.i = d.k JOIN subroots s ON l.g = s.g, (SELECT h FROM upper_levels WHERE n = 1) t
 """
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents with a periodic tail in every tenth text (by crc32 of the id), which the query then has to find."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    planted = F.expr(
+        "concat_ws(' ', transform(words, (w, i) -> CASE WHEN i < a THEN w ELSE words[CAST(a + (i - a) % (1 + (size(words) - a) div (3 + g % 8)) AS int)] END))"
+    )
+    return (
+        docs.withColumn("g", F.floor(h / 10))
+        .withColumn("words", F.when((h % 10 == 0) & F.col("text").isNotNull(), words))
+        .withColumn("a", F.expr("CASE WHEN size(words) > 0 THEN g % size(words) END"))
+        .withColumn("text", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")))
+    )
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = runs.periodic_runs(_with_planted_runs(table(spark, sf, "documents")).select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
+        "runs_sha256", F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )

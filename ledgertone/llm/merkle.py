@@ -16,7 +16,7 @@ from .common import saved
 
 ARITY = 16
 #: Nodes in a window, a multiple of ARITY.
-BLOCK = ARITY**3
+BLOCK = ARITY**2
 
 PATH = "array<struct<l:string,r:string>>"
 

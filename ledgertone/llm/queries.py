@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgertone.plans.base import table
 
-from . import bpe, jaccard, lattice, licenses, merkle, packing, passages, quality_model, rules, runs, toxicity, warc
+from . import bpe, jaccard, lattice, licenses, merkle, packing, passages, quality_model, rules, runs, suffixes, toxicity, warc
 from .common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,12 @@ def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
         "runs_sha256", F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = suffixes.without_repeats(table(spark, sf, "documents"), least=50)
+    return done.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -210,7 +210,7 @@ class _Block:
         new = np.append(True, (anchor[1:] != anchor[:-1]) | (first[1:] != last[:-1] + 1))[: len(first)]
         last = last[np.append(np.flatnonzero(new)[1:], len(first)) - 1] if len(first) else last
         first, anchor = first[new], anchor[new]
-        a = _gram(buf, anchor)
+        a = _mix(_gram(buf, anchor) + _C)  # anchors are the smallest hashes: spread them anew over the buckets
         # four strings of GRAM bytes cover a piece; odd, as even numbers stand for many pieces
         p = (_gram(buf, first) * _A + _gram(buf, first + GRAM)) * _B
         p = (p + _gram(buf, last + least - 2 * GRAM)) * _C + _gram(buf, last + least - GRAM)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,10 +160,11 @@ def rows_where(docs: DataFrame, text_col: str, judge, condition: str) -> DataFra
 
 def sample_labelled(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, chars: int
-) -> list[tuple[str, int]]:
+) -> Iterator[tuple[str, int]]:
     """(text, label) of at most ``rows`` documents of each label and ``chars`` characters in all, by a hash of the id.
 
-    Null ids, texts and labels teach nothing; an id labelled both ways is left out. Only the sample reaches the driver.
+    Null ids, texts and labels teach nothing, nor does an id labelled both ways or a text of over ``chars / 100``
+    characters; of rows with one id, one teaches. Spark makes the choice; the driver is given one text after the other.
     """
     marked = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
@@ -173,9 +175,9 @@ def sample_labelled(
     # the sample has at most 2 * rows ids, so this side may be broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     small = texts.join(F.broadcast(chosen), "id").where(F.length("text") <= chars // 100)
-    got = []
-    for r in sorted(small.collect(), key=lambda r: (r["k"], str(r["id"]), r["text"])):
-        if len(r["text"]) <= chars:
-            got.append((r["text"], r["y"]))
-            chars -= len(r["text"])
-    return got
+    one = saved(small.groupBy("id", "y", "k").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")), "labelled")
+    # at most 2 * rows lengths in one window
+    so_far = F.sum(F.length("text")).over(Window.orderBy("k", "id").rowsBetween(Window.unboundedPreceding, 0))
+    within = one.select("id", so_far.alias("n")).where(F.col("n") <= chars).select("id")
+    for r in one.join(F.broadcast(within), "id").orderBy("k", "id").select("text", "y").toLocalIterator():
+        yield r["text"], r["y"]

@@ -105,8 +105,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
            rows: int = FIT_ROWS) -> Model:
-    """Fit on a bounded sample of labelled documents, at most ``rows`` of each label by a hash of the id."""
-    got = sample_labelled(docs, labels, id_col, text_col, label_col, rows, FIT_CHARS)
+    """Fit on a bounded sample: at most ``rows`` documents of each label by a hash of the id, FIT_CHARS characters in all.
+
+    Texts of over FIT_CHARS / 100 characters teach nothing.
+    """
+    got = list(sample_labelled(docs, labels, id_col, text_col, label_col, rows, FIT_CHARS))
     return fit([t for t, _ in got], [y for _, y in got])
 
 

@@ -7,6 +7,8 @@ average over its places; a repeated word fills one place and places without a wo
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +51,34 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buckets, (1.0 / np.bincount(home, minlength=len(bare)))[home] if len(home) else np.empty(0), home
 
 
+#: Words whose n-grams are made at once.
+WORDS_AT_ONCE = 10_000
+
+
+class Parts:
+    """The n-gram buckets of numbered words, in four bytes each."""
+
+    def __init__(self, words: list[str]):
+        made, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            buckets, _, home = ngrams(some)
+            made.append(buckets.astype(np.int32))
+            counts.append(np.bincount(home, minlength=len(some)))
+        self.buckets, self.count = np.concatenate(made), np.concatenate(counts)
+        self.first = np.append(0, np.cumsum(self.count))
+
+    def odds(self, lean: np.ndarray) -> np.ndarray:
+        """What each word adds to the log odds: the mean over its n-grams."""
+        out = np.zeros(len(self.count))
+        for at in range(0, len(out), WORDS_AT_ONCE):
+            count = self.count[at : at + WORDS_AT_ONCE]
+            own = self.buckets[self.first[at] : self.first[at + len(count)]]
+            home = np.repeat(np.arange(len(count)), count)
+            out[at : at + len(count)] = np.bincount(home, lean[own] * (1.0 / np.maximum(count, 1))[home], minlength=len(count))
+        return out
+
+
 def bags_of(codes: np.ndarray, start: int) -> np.ndarray:
     """The distinct words of the bag that begins at start."""
     return np.unique(codes[start : start + BAG])
@@ -96,14 +126,25 @@ def bag_odds(odds: np.ndarray, codes: np.ndarray, bias: float) -> np.ndarray:
     return bags / BAG + bias
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 16, rate: float = 3.0) -> Model:
-    """Train on texts with 0/1 labels; without both labels the model leans to the only one (or to 0).
+def fit(texts: Iterable[str], labels: Iterable[int], seed: int = 7, rounds: int = 16, rate: float = 3.0) -> Model:
+    """Train on texts with 0/1 labels; without both labels the model leans to the only one (or to 0)."""
+    return fit_pairs(zip(texts, labels, strict=True), seed, rounds, rate)
+
+
+def fit_pairs(pairs: Iterable[tuple[str, int]], seed: int = 7, rounds: int = 16, rate: float = 3.0) -> Model:
+    """Train on (text, label) pairs, each turned into word numbers as it comes.
 
     The first rounds learn from random bags of every text under its text's label; later ones from each text's most
     toxic bag, so that the harmless part of a toxic text stops counting as toxic. Every fifth text is set aside to
     calibrate the odds of whole texts (all are used if that leaves fewer than 20 of a label).
     """
     model, rng = Model(seed), np.random.default_rng(seed)
+    table: dict[str, int] = {}
+    codes, labels = [], []
+    for text, label in pairs:
+        words = words_of(text)
+        codes.append(np.fromiter((table.setdefault(w, len(table)) for w in words), np.int32, len(words)))
+        labels.append(label)
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         model.bias = np.array([0, 4.0 if labels and labels[0] else -4.0], np.float32)
@@ -115,10 +156,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 16, ra
     if min((y[aside] == 0).sum(), (y[aside] == 1).sum()) < 20:
         aside[:] = False
     kept, check = np.flatnonzero(~aside), np.flatnonzero(aside) if aside.any() else np.arange(len(y))
-    table: dict[str, int] = {}
-    codes = [np.array([table.setdefault(w, len(table)) for w in words_of(t)], np.int64) for t in texts]
-    buckets, weights, home = ngrams(list(table))
-    first = np.searchsorted(home, np.arange(len(table) + 1))
+    parts = Parts(list(table))
+    del table
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     for r in range(rounds):
         bags, of = [], []
@@ -130,7 +169,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 16, ra
                     of.append(i)
         else:
             lean, bias = model.flat()
-            odds = np.bincount(home, lean[buckets] * weights, minlength=len(table))
+            odds = parts.odds(lean)
             for i in kept:
                 c = codes[i]
                 bags.append(bags_of(c, int(np.argmax(bag_odds(odds, c, bias))) * (BAG // 2)))
@@ -141,9 +180,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 16, ra
                     of.append(i)
         order, of = rng.permutation(len(bags)), np.array(of)
         for part in np.array_split(order, max(1, len(order) // max(16, min(256, len(order) // 40)))):
-            _step(model, [bags[k] for k in part], y[of[part]], share[of[part]], buckets, weights, first, rate * (1 - r / rounds))
+            _step(model, [bags[k] for k in part], y[of[part]], share[of[part]], parts, rate * (1 - r / rounds))
     lean, bias = model.flat()
-    odds = np.bincount(home, lean[buckets] * weights, minlength=len(table))
+    odds = parts.odds(lean)
     model.slope, model.shift = calibrate(np.array([bag_odds(odds, codes[i], bias).max() for i in check]), y[check])
     return model
 
@@ -161,16 +200,16 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return float(a), float(b)
 
 
-def _step(model: Model, bags, y, share, buckets, weights, first, rate: float) -> None:
+def _step(model: Model, bags, y, share, parts: Parts, rate: float) -> None:
     n = np.array([len(b) for b in bags])
     words = np.concatenate([*bags, np.empty(0, np.int64)]).astype(np.int64)
     bag = np.repeat(np.arange(len(bags)), n)
-    count = first[words + 1] - first[words]
+    count = parts.count[words]
     ends = np.cumsum(count)
-    at = np.arange(int(count.sum())) - np.repeat(ends - count - first[words], count)
-    bag_of, idx = np.repeat(bag, count), buckets[at]
+    at = np.arange(int(count.sum())) - np.repeat(ends - count - parts.first[words], count)
+    bag_of, idx, weights = np.repeat(bag, count), parts.buckets[at], np.repeat(1.0 / np.maximum(count, 1), count)
     # every step leaves out half of the n-grams, so that each part of a word learns to tell it, also misspelled
-    w = (weights[at] / BAG * 2 * (model.rng.random(len(at)) < 0.5)).astype(np.float32)
+    w = (weights / BAG * 2 * (model.rng.random(len(at)) < 0.5)).astype(np.float32)
     rows = model.vectors[idx]
     mean = np.stack([np.bincount(bag_of, rows[:, d] * w, minlength=len(bags)) for d in range(DIM)], 1)
     logits = mean @ model.weights + model.bias
@@ -202,9 +241,11 @@ def score_texts(texts: list[str | None], lean: np.ndarray, bias: float) -> np.nd
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
            rows: int = FIT_ROWS) -> Model:
-    """Fit on a bounded sample of labelled documents, at most ``rows`` of each label by a hash of the id."""
-    got = sample_labelled(docs, labels, id_col, text_col, label_col, rows, FIT_CHARS)
-    return fit([t for t, _ in got], [y for _, y in got])
+    """Fit on a bounded sample: at most ``rows`` documents of each label by a hash of the id, FIT_CHARS characters in all.
+
+    Texts of over FIT_CHARS / 100 characters teach nothing.
+    """
+    return fit_pairs(sample_labelled(docs, labels, id_col, text_col, label_col, rows, FIT_CHARS))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

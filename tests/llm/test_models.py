@@ -170,3 +170,25 @@ def test_verdict_against_plain_em(spark, known):
 def test_rows_where_keeps_columns(spark):
     out = rows_where(odd(spark), "text", lambda d, t: rules.judge(d, rules.fit_patterns(np.empty((0, 8)), np.empty(0)), t), "NOT kept")
     assert out.dtypes == odd(spark).dtypes and out.count() >= 7
+
+
+def test_toxicity_fit_is_small_in_memory():
+    """A tenth of the longest sample allowed takes a tenth of 400 MB at most, texts not counted."""
+    import tracemalloc
+
+    from ledgertone.llm import toxicity
+
+    def pairs():
+        r = random.Random(1)
+        words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 11))) for _ in range(60000)]
+        chars, k = 0, 0
+        while chars < toxicity.FIT_CHARS // 10:
+            text = " ".join(r.choices(words, k=800)) + " vile" * (k % 2)
+            chars, k = chars + len(text), k + 1
+            yield text, k % 2
+
+    tracemalloc.start()
+    toxicity.fit_pairs(pairs(), rounds=4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 + 60000 * 100

@@ -28,7 +28,7 @@ def tag_conflicts(tags) -> Column:
 
     listed = [
         F.when(F.array_contains(tags, a) & F.array_contains(tags, b), finding(F.lit(f"{a} + {b}"), settled(drop)))
-        for a, b, drop in (S.TAG_CONFLICTS[i] for i in S.CONFLICT_ORDER)
+        for a, b, drop in S.TAG_CONFLICTS
     ]
     primary = F.array_intersect(literals(S.PRIMARY_TONALITY), tags)
     joined = F.array_join(primary, " + ")

@@ -20,9 +20,9 @@ RUN = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+$")
 #: Blanks other than those four can join a run across pieces, so such a text is encoded as a whole.
 OTHER_BLANK = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Distinct runs a task remembers before it starts afresh.
-MEMORY_RUNS = 1 << 20
+MEMORY_RUNS = 1 << 18
 #: Characters of text encoded together.
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 1 << 20
 
 
 class _Runs:

@@ -103,8 +103,12 @@ class Model:
 
 
 def word_odds(words: list[str], lean: np.ndarray) -> np.ndarray:
-    buckets, weights, home = ngrams(words)
-    return np.bincount(home, lean[buckets] * weights, minlength=len(words)) if words else np.empty(0)
+    out = np.zeros(len(words))
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        some = words[at : at + WORDS_AT_ONCE]
+        buckets, weights, home = ngrams(some)
+        out[at : at + len(some)] = np.bincount(home, lean[buckets] * weights, minlength=len(some))
+    return out
 
 
 def bag_odds(odds: np.ndarray, codes: np.ndarray, bias: float) -> np.ndarray:

@@ -1,5 +1,6 @@
 """Learned filters: held-out accuracy, agreement with plain loops, odd rows."""
 
+import random
 import re
 import zlib
 

@@ -82,17 +82,24 @@ def crc_mod(value, mod: int) -> int:
     return zlib.crc32(str(value).encode()) % mod
 
 
+#: Links up to which one task follows them, without a shuffle; two numbers each.
+FEW_LINKS = 200_000
+
+
 def components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over the links, for every node.
 
     Large-star/small-star: each round hangs every larger neighbour, then every smaller one, under the smallest, until
     nothing moves. Rounds grow with the logarithm of the longest chain; only aggregates and joins by node are
     shuffled, and a node with very many links is never gathered in one task. Links must be between given nodes;
-    self links and repeated links are allowed.
+    self links and repeated links are allowed. Links counted as few are followed by one task.
     """
+    spark, before = nodes.sparkSession, saved_paths()
     edges = saved(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links"
     )
+    few = edges.count() <= FEW_LINKS
+    edges = edges.coalesce(1) if few else edges
     state = None
     while True:
         # rounds end when the set of links stays the same, which its size and hashes tell
@@ -105,10 +112,14 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str =
         # large star: neighbours above the node move to its smallest neighbour
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = saved(large.where("u <> v").distinct(), "links")
+        large = large.coalesce(1) if few else large
         # small star: neighbours at or below the node, and the node, move to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = saved(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        moved = small.union(least.select("u", F.col("m").alias("v")))
+        edges = saved((moved.coalesce(1) if few else moved).distinct(), "links")
+        drop_saved(spark, [p for p in saved_paths() if p not in before], still_read=edges)
+        edges = edges.coalesce(1) if few else edges
     roots = edges.groupBy(F.col("u").alias(node)).agg(F.min("v").alias("component"))
     return nodes.select(node).distinct().join(roots, node, "left").select(
         node, F.coalesce("component", node).alias("component")
@@ -116,7 +127,7 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str =
 
 
 #: Characters of text handed to a function at once, beyond which a new call begins.
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 2 << 20
 
 
 def per_text(docs: DataFrame, text_col: str, fn, fields: str) -> DataFrame:

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, joined_small, saved
+from .common import components, drop_saved, joined_small, saved, saved_paths
 
 #: Share of the hash space whose elements are counted, for a similarity of 0 (it shrinks with the prefix).
 COUNTED = 1.7
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 2 << 20
 #: Bytes of each hash kept where sets are compared; two elements of a pair of texts differ in them but for 1 in 2 ** 48.
 KEPT_BYTES = 6
 #: Bits of the parity sketch: bit b tells whether a set has an odd number of elements in bucket b of the hash space. Two
@@ -168,6 +168,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Saved table (id, k, n_shingles, component) of all documents; k is a hash of the text, component null without a set."""
+    others = saved_paths()
     text = F.col(text_col).cast("string").cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("k"))
     fields = [rows.schema["id"], *T._parse_datatype_string("k binary, n bigint, fp binary, r bigint, sketch array<bigint>, tokens array<bigint>").fields]
@@ -208,12 +209,13 @@ def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     whole, nodes = nodes, saved(nodes.join(groups, "rid").select("rid", "n", "k", "gid", "sketch"), "nodes")
     sets = _sets_of(rows, nodes.select("rid", "k"), words)
 
+    spark = docs.sparkSession
     edges = verify(saved(nodes.where("rid <> gid").select(F.col("gid").alias("a"), F.col("rid").alias("b")), "pairs"), sets, percent)
-    edges = saved(edges, "edges")
     many = nodes.count()
-    small, fresh = nodes.select(F.col("rid").alias("node")), True
+    roots = saved(components(nodes.select(F.col("rid").alias("node")), edges), "roots")
+    kept, fresh = [p for p in saved_paths() if "/pairs-" not in p and "/links-" not in p], True
+    drop_saved(spark, [p for p in saved_paths() if p not in kept and p not in others])
     for turn in range(ROUNDS + 1):
-        roots = saved(components(small, edges), "roots")
         known = saved(nodes.join(roots.withColumnRenamed("node", "rid"), "rid").select("rid", "gid", "n", "component", "sketch"), "known")
         parts = known.groupBy("gid", "n", "component").agg(F.min(F.struct("rid", "sketch")).alias("head"))
         parts = parts.select("gid", "n", "component", F.col("head.rid").alias("rid"), F.col("head.sketch").alias("sketch"))
@@ -228,25 +230,34 @@ def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
         meeting = met.join(open_.select("token"), "token", "left_semi")
         # of a similarity of percent or more: sizes that fit, and no more elements that differ than it allows
         differ = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))
-        fits = (
-            f"100 * LEAST(x.n, y.n) >= {percent} * GREATEST(x.n, y.n) "
-            f"AND ({differ}) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
-        )
+        sizes = f"100 * LEAST(x.n, y.n) >= {percent} * GREATEST(x.n, y.n)"
+        near = f"({differ}) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
         if last:
-            at = meeting.join(known, "gid").select("token", "rid", "n", "component", "sketch")
-            meet = at.alias("x").join(at.alias("y"), F.expr(f"x.token = y.token AND x.component < y.component AND {fits}"))
-            pairs = meet.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+            # pairs of groups first, each once however many tokens they share; only then their members and sketches
+            at = meeting.join(parts.select("gid", "n", "component"), "gid")
+            meet = at.alias("x").join(at.alias("y"), F.expr(f"x.token = y.token AND x.component < y.component AND {sizes}"))
+            two = meet.select(F.col("x.gid").alias("ga"), F.col("x.component").alias("ca"), F.col("y.gid").alias("gb"), F.col("y.component").alias("cb"))
+            two = saved(two.distinct(), "groups")
+            x = known.select("rid", F.col("gid").alias("ga"), F.col("component").alias("ca"), "n", "sketch").alias("x")
+            y = known.select("rid", F.col("gid").alias("gb"), F.col("component").alias("cb"), "n", "sketch").alias("y")
+            pairs = two.join(x, ["ga", "ca"]).join(y, ["gb", "cb"]).where(F.expr(near)).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
         else:
             at = meeting.join(parts, "gid").select("token", "rid", "n", "component", "sketch")
             order = F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), "rid", "n", "component", "sketch")
             leader = at.groupBy("token").agg(F.min(order).alias("l")).select("token", "l.*")
-            meet = at.alias("x").join(leader.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND {fits}"))
+            meet = at.alias("x").join(leader.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND {sizes} AND {near}"))
             pairs = meet.select(F.col("y.rid").alias("a"), F.col("x.rid").alias("b")).distinct()
         linked = saved(verify(saved(pairs, "pairs"), sets, percent), "linked")
         fresh = linked.limit(1).count() > 0
-        edges = saved(edges.union(linked), "edges")
+        if fresh:
+            # components only grow together: links between components, then their names
+            for side in ("a", "b"):
+                linked = joined_small(roots.withColumnRenamed("node", side), linked, side, "inner", SMALL).drop(side).withColumnRenamed("component", side)
+            joint = components(linked.select(F.explode(F.array("a", "b")).alias("node")), linked).select(F.col("node").alias("component"), F.col("component").alias("to"))
+            moved = joined_small(roots, saved(joint, "joint"), "component", "left", SMALL)
+            roots = saved(moved.select("node", F.coalesce("to", "component").alias("component")), "roots")
+        drop_saved(spark, [p for p in saved_paths() if p not in kept and p not in others], still_read=roots)
         if last:
-            roots = saved(components(small, edges), "roots")
             break
     named = base.select("id", "k", "n", "fp").join(whole.select("fp", F.col("rid").alias("node")), "fp", "left")
     found = F.coalesce("component", "node").alias("component")

@@ -1,5 +1,7 @@
 """Catalog rules over ``part``: every part is an entry, with defects derived from its columns."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -9,7 +11,8 @@ from ..operators import lookup as L
 from ..operators import validate as V
 from ..operators.edits import find_replace, rename_tag
 from ..operators.fixes import apply_fixes
-from ..sources.catalog import clean_catalog
+from ..session import shared_folder
+from ..sources.catalog import clean_catalog, read_catalog, write_catalog
 from .base import columns, duck_sql, fix_text, query, show_list, spark_sql, table
 
 LAST_YEAR = 2027
@@ -480,6 +483,34 @@ def clean_notes(spark, sf):
     )
 
 
+# positions in catalog order; what reading cleans
+ARRAY = f"""WITH {CAT} SELECT row_number() OVER (ORDER BY lower(brand), lower(model), lower(variant), row_id) - 1 AS row_id, id, brand, model,
+  variant, year, price_usd, driver_config, impedance, connector, array_to_string(tags, ',') AS tags,
+  array_to_string(list_filter(list_transform(files, lambda f: trim(f)), lambda f: f <> ''), ',') AS files FROM cat"""
+
+
+def _array_again(spark, sf, name, compression=None):
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    write_catalog(part_catalog(spark, sf), path, "json", compression)
+    catalog, _ = clean_catalog(read_catalog(spark, path, "json-parts"), hints=False)
+    return catalog.select(
+        "row_id", "id", "brand", "model", "variant", "year", "price_usd", "driver_config", "impedance", "connector",
+        show_list("tags").alias("tags"), show_list("files").alias("files"),
+    )
+
+
+@query("catalog_array", ARRAY)
+def catalog_array(spark, sf):
+    """A7, A1: the catalog as one JSON array, written and read by ranges."""
+    return _array_again(spark, sf, "catalog-array")
+
+
+@query("catalog_array_gzip", ARRAY)
+def catalog_array_gzip(spark, sf):
+    """A8, A1: the same with gzip members laid end to end."""
+    return _array_again(spark, sf, "catalog-gzip", "gzip")
+
+
 @query("search_filter", f"""WITH {CAT} SELECT row_id, brand, model, price_usd FROM cat
 WHERE contains(lower(brand || ' ' || model || ' ' || variant || ' ' || id), 'ring')
   AND price_usd BETWEEN 100 AND 900 AND year > 1960 AND len(list_filter(tags, lambda t: contains(lower(t), 'warm'))) > 0""")

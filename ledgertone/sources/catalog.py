@@ -9,6 +9,7 @@ from ..functions.arrow import gestalt_ratio
 from ..functions.numbers import coerce_int, finite, half_up, py_float
 from ..functions.text import strip
 from ..operators.lookup import catalog_order
+from .json_array import read_elements, write_elements
 
 RAW = "map<string,string>"
 HINT_FROM = 0.7
@@ -17,9 +18,9 @@ HINT_FROM = 0.7
 def read_catalog(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
     """Raw entries: row_id, raw (field -> text), note.
 
-    ``json`` is one JSON array per file (plain or ``.gz``, with or without a byte-order mark),
-    positions become row ids. One array is one cell, so large catalogs belong in ``jsonl``
-    or ``parquet``, which split. Elements that are no objects come back as notes.
+    ``json`` is one JSON array per file (plain or ``.gz``, with or without a byte-order mark), positions become row
+    ids; ``json-parts`` is one array laid out in the files of a folder, as ``write_catalog`` leaves it. Both are read
+    by many tasks. ``jsonl`` and ``parquet`` are cheaper. Elements that are no objects come back as notes.
     """
     if format == "parquet":
         return spark.read.parquet(path)
@@ -30,14 +31,7 @@ def read_catalog(spark: SparkSession, path: str, format: str = "json") -> DataFr
             F.translate("value", chr(0xFEFF), "").alias("item"),
         )
     else:
-        body = F.trim(F.translate("value", chr(0xFEFF), ""))
-        body = F.btrim(body, F.lit(" \t\r\n"))
-        checked = F.when(body.startswith("["), body).otherwise(F.raise_error(F.lit("a catalog is a JSON array")))
-        numbered = (
-            spark.read.text(path, wholetext=True)
-            .select(F.posexplode(F.from_json(checked, "array<string>")).alias("row_id", "item"))
-            .withColumn("row_id", F.col("row_id").cast("bigint"))
-        )
+        numbered = read_elements(spark, path, parts=format == "json-parts")
     is_object = F.ltrim(F.col("item")).startswith("{")
     return numbered.select(
         "row_id",
@@ -149,25 +143,17 @@ def clean_catalog(raw: DataFrame, hints: bool = True):
 
 
 def write_catalog(df: DataFrame, path: str, format: str = "parquet", compression: str | None = None) -> None:
-    """Catalog order and field order. ``json`` writes one array through one task: small exports."""
-    ordered = df.select("row_id", *S.FIELDS) if "row_id" in df.columns else df.select(*S.FIELDS)
-    ordered = ordered.orderBy(*catalog_order())
-    if format != "json":
-        writer = ordered.write.mode("overwrite")
-        if compression:
-            writer = writer.option("compression", compression)
-        (writer.json if format == "jsonl" else writer.parquet)(path)
+    """Catalog order and field order. ``json`` is one array in parts; their bytes, joined in order of names, are the file."""
+    numbered = ["row_id"] if "row_id" in df.columns else []
+    if format == "json":
+        entry = F.to_json(F.struct(*S.FIELDS), {"pretty": "true", "ignoreNullFields": "false"})
+        order = [*catalog_order(), *[F.col(c) for c in numbered or ["id"]]]
+        write_elements(df.withColumn("_entry", entry), order, path, "_entry", compression)
         return
-    entry = F.to_json(F.struct(*S.FIELDS), {"pretty": "true", "ignoreNullFields": "false"})
-    w_key = F.struct(*catalog_order(), *(["row_id"] if "row_id" in df.columns else ["id"]))
-    body = ordered.agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(w_key.alias("k"), entry.alias("e")))), lambda x: x["e"]),
-            ",\n",
-        ).alias("body")
-    ).select(F.concat(F.lit("[\n"), F.col("body"), F.lit("\n]")).alias("value"))
-    writer = body.coalesce(1).write.mode("overwrite")
-    (writer.option("compression", compression) if compression else writer).text(path)
+    writer = df.select(*numbered, *S.FIELDS).orderBy(*catalog_order()).write.mode("overwrite")
+    if compression:
+        writer = writer.option("compression", compression)
+    (writer.json if format == "jsonl" else writer.parquet)(path)
 
 
 def written_size(spark: SparkSession, path: str) -> DataFrame:

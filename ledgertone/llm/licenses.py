@@ -1,9 +1,10 @@
 """Licence notices by conditional compression: a block that a template explains compresses far better after it.
 
-Candidates are windows of bounded size around cue words. A template is compared with a window word by word if the
-window holds enough of its words, and the stretch that comes closest is compressed alone and with the template as raw
-zstandard dictionary; it has to save bytes. What differs is reported; a difference in a word that tells licences apart
-rules the stretch out.
+Candidates are windows around cue words, of a size that the template bounds. Each is compressed alone and with every
+template as raw zstandard dictionary. Windows are taken up in the order of the bytes saved, as long as a template saves a
+share of its own size; only these are compared word by word, which gives the closest stretch that differs in no word that
+tells licences apart. What differs is reported; if it is too much, or a notice was found, what lies left and right of the
+stretch is compressed again by itself.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from __future__ import annotations
 import heapq
 import re
 from bisect import bisect, insort
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,10 @@ CUE = (
 )
 #: Least share of a template's words that a notice keeps.
 KEPT = 0.8
-LEVEL = 9
+#: Least share of a template's bytes that it saves in compressing a window, for the window to be compared with it.
+SAVED = 0.15
+#: With an optimal parser, which the few bytes of a short notice need.
+LEVEL = 19
 
 #: Words that tell one licence from another.
 TELLING = frozenset(
@@ -54,13 +58,6 @@ def templates() -> list[tuple[str, str, list[str]]]:
     return [(name, t, [bare(w) for w in t.split() if bare(w)]) for name, t in texts]
 
 
-@lru_cache(maxsize=1)
-def _counts() -> list[tuple[Counter, Counter]]:
-    """How often each word, and each telling word, stands in every template."""
-    made = [Counter(words) for _, _, words in templates()]
-    return [(c, Counter({w: n for w, n in c.items() if w in TELLING})) for c in made]
-
-
 @lru_cache(maxsize=1)
 def reach() -> int:
     """Words on either side of a cue that are searched: twice the longest template, which no notice exceeds."""
@@ -69,9 +66,11 @@ def reach() -> int:
 
 @lru_cache(maxsize=1)
 def _compressors() -> list[zstandard.ZstdCompressor]:
+    """One without a dictionary, then one for each template."""
     made = [zstandard.ZstdCompressor(level=LEVEL)]
-    for _, text, _ in templates():
-        raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    for _, _, words in templates():
+        raw = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(level=LEVEL)
         made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw))
     return made
 
@@ -93,65 +92,101 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(ends[b - 1])) for a, b in out]
 
 
-def saving(stretch: str, template: int) -> int:
-    """Bytes that the template, as dictionary, saves in compressing the stretch."""
-    raw = " ".join(stretch.lower().split()).encode("utf-8", "replace")
+def saving(words: list[str], template: int) -> int:
+    """Bytes that the template, as dictionary, saves in compressing the words."""
+    raw = " ".join(words).encode("utf-8", "replace")
     alone, after = (len(_compressors()[k].compress(raw)) for k in (0, template + 1))
     return alone - after
 
 
-def differences(want: list[str], have: list[str]) -> tuple[int, int, list[str], list[str]]:
+def windows(cues: list[int], size: int, n: int) -> list[tuple[int, int]]:
+    """Words (start, end) of n in reach of the cues: twice ``size`` on either side, cues within ``size`` together."""
+    out, k = [], 0
+    while k < len(cues):
+        last = bisect(cues, cues[k] + size) - 1
+        out.append((max(0, cues[k] - 2 * size), min(n, cues[last] + 2 * size + 1)))
+        k = last + 1
+    return out
+
+
+def differences(want: list[str], have: list[str]) -> tuple[int, int, list[str], list[str]] | None:
     """(start, end, missing words, other words) of the stretch of ``have`` that comes closest to ``want``.
 
-    By edit distance over words, with free ends in ``have``; of equally close stretches the first. A word replaced is
-    one missing and one other.
+    By edit distance over words, with free ends in ``have``, among stretches that differ in no telling word (None if there
+    is none); of equally close stretches the first. A word replaced is one missing and one other.
     """
     n, m = len(want), len(have)
     codes = {w: k for k, w in enumerate(dict.fromkeys(want + have))}
     b = np.array([codes[w] for w in have])
+    never = 2 * (n + m) + 1  # more than all words together cost
+    miss, skip = ([never if w in TELLING else 1 for w in words] for words in (want, have))
+    steps = np.append(0, np.cumsum(skip))
     rows = [np.zeros(m + 1, np.int64)]
-    steps = np.arange(m + 1)
-    for i, w in enumerate(want, 1):
-        up = rows[-1] + 1  # a word of the template is missing
-        diagonal = rows[-1][:-1] + 2 * (b != codes[w])
-        best = np.append(i, np.minimum(up[1:], diagonal))
+    for i, w in enumerate(want):
+        best = rows[-1] + miss[i]  # a word of the template is missing
+        same = b == codes[w]
+        best[1:][same] = np.minimum(best[1:], rows[-1][:-1])[same]
         rows.append(np.minimum.accumulate(best - steps) + steps)  # then words of the text are left over
     j = end = int(rows[-1].argmin())
+    if rows[-1][j] >= never:
+        return None
     i, missing, other = n, [], []
     while i:
         here = rows[i][j]
         if j and want[i - 1] == have[j - 1] and here == rows[i - 1][j - 1]:
             i, j = i - 1, j - 1
-        elif j and here == rows[i][j - 1] + 1:
+        elif j and here == rows[i][j - 1] + skip[j - 1]:
             j -= 1
             other.append(have[j])
-        elif here == rows[i - 1][j] + 1:
-            i -= 1
-            missing.append(want[i])
         else:
-            i, j = i - 1, j - 1
+            i -= 1
             missing.append(want[i])
-            other.append(have[j])
     return j, end, missing[::-1], other[::-1]
 
 
-def candidates(have: list[str], lo: int, hi: int) -> Iterator[tuple]:
-    """(- words kept over differences, differences, template, start, end, missing, other) of notices among have[lo:hi]."""
-    whole = Counter(have[lo:hi])
-    for k, ((_, _, want), (counts, telling)) in enumerate(zip(templates(), _counts(), strict=True)):
-        least, parts = KEPT * len(want), [(lo, hi)]
-        while parts:
-            x, y = parts.pop()
-            own = whole if (x, y) == (lo, hi) else Counter(have[x:y])
-            # a notice keeps all telling words and the least share of all, so a part without them holds none
-            if any(own[w] < n for w, n in telling.items()) or sum(min(n, own[w]) for w, n in counts.items()) < least:
+def _matches(have: list[str], cues: list[int]) -> list[tuple[int, int, int, int, list[str], list[str]]]:
+    """(start, end, template, bytes saved, missing, other) of the notices among the words, which do not overlap."""
+    taken: list[tuple[int, int]] = []
+    out, heap, order = [], [], count()
+
+    def rank(k: int, lo: int, hi: int) -> None:
+        """Queue a window for comparison if the template saves enough bytes in it."""
+        want = templates()[k][2]
+        if hi - lo >= KEPT * len(want):  # else it is too short for a notice
+            saved = saving(have[lo:hi], k)
+            if saved >= SAVED * len(" ".join(want)):
+                heapq.heappush(heap, (-saved, 1, next(order), k, lo, hi, None))
+
+    for k, (_, _, want) in enumerate(templates()):
+        for lo, hi in windows(cues, len(want), len(have)):
+            rank(k, lo, hi)
+    while heap:
+        saved, _, _, k, lo, hi, differ = heapq.heappop(heap)
+        i = max(0, bisect(taken, (lo, lo)) - 1)
+        held = []
+        while i < len(taken) and taken[i][0] < hi:
+            held += [taken[i]] if taken[i][1] > lo else []
+            i += 1
+        if held:  # by what saves more: only the words around it are left
+            for x, y in zip([lo] + [b for _, b in held], [a for a, _ in held] + [hi], strict=True):
+                rank(k, x, y)
+        elif differ:
+            insort(taken, (lo, hi))
+            out.append((lo, hi, k, -saved, *differ))
+        else:
+            want = templates()[k][2]
+            most = len(want) - KEPT * len(want)
+            closest = differences(want, have[lo:hi])
+            if closest is None:
                 continue
-            a, b, missing, other = differences(want, have[x:y])
-            n, most = len(missing) + len(other), len(want) - least
-            if len(want) - len(missing) >= least and len(other) <= most and not TELLING & {*missing, *other}:
-                yield n - len(want), n, k, x + a, x + b, missing, other
-            elif n <= 2 * most:  # else no stretch is close enough
-                parts += [(x, x + a), (x + b, y)]
+            (a, b), (missing, other) = (lo + x for x in closest[:2]), closest[2:]
+            if len(missing) <= most and len(other) <= most:
+                own = saving(have[a:b], k)  # a notice ranks by its own words
+                heapq.heappush(heap, (-own, 0, next(order), k, a, b, (missing, other)))
+            if len(missing) + len(other) <= 2 * most:  # else no stretch is close enough
+                rank(k, lo, a)
+                rank(k, b, hi)
+    return sorted(out)
 
 
 def notices(text: str | None) -> list[dict]:
@@ -160,39 +195,14 @@ def notices(text: str | None) -> list[dict]:
     for start, end in blocks(text) if text else []:
         block = text[start:end]
         places = [m.span() for m in _WORD.finditer(block) if bare(m[0])]  # comment marks are no words
-        have = [bare(block[a:b]) for a, b in places]
         firsts = [a for a, _ in places]
-        taken: list[tuple[int, int]] = []  # words of the notices found
-        heap: list[tuple] = []
-        windows: dict[int, tuple[int, int]] = {}
-
-        def look(cue: int) -> None:
-            """Candidates around a cue, among words not taken, if they are others than at the last look."""
-            i = bisect(taken, (cue, len(have)))
-            lo = max(taken[i - 1][1] if i else 0, cue - reach())  # noqa: B023
-            hi = min(taken[i][0] if i < len(taken) else len(have), cue + reach() + 1)  # noqa: B023
-            if lo <= cue and windows.get(cue) != (lo, hi):  # noqa: B023
-                windows[cue] = (lo, hi)  # noqa: B023
-                for c in candidates(have, lo, hi):  # noqa: B023
-                    heapq.heappush(heap, (*c[:5], cue, (lo, hi), *c[5:]))  # noqa: B023
-
-        for cue in sorted({bisect(firsts, m.start()) - 1 for m in re.finditer(CUE, block)}):
-            look(cue)
-        while heap:
-            _, n, k, a, b, cue, window, missing, other = heapq.heappop(heap)
-            if windows[cue] != window:
-                continue  # looked at again since
-            i = bisect(taken, (a, len(have)))
-            free = (not i or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0])
-            at, to = places[a][0], places[b - 1][1]
-            if free and (saved := saving(block[at:to], k)) > 0:
-                insort(taken, (a, b))
-                out.append(
-                    {"license": templates()[k][0], "template": k, "start": start + at, "end": start + to, "bytes_saved": saved,
-                     "n_words": b - a, "n_different": n, "missing": missing, "other": other}
-                )
-            look(cue)
-    return sorted(out, key=lambda r: r["start"])
+        cues = sorted({max(0, bisect(firsts, m.start()) - 1) for m in re.finditer(CUE, block)})
+        for a, b, k, saved, missing, other in _matches([bare(block[x:y]) for x, y in places], cues):
+            out.append(
+                {"license": templates()[k][0], "template": k, "start": start + places[a][0], "end": start + places[b - 1][1],
+                 "bytes_saved": saved, "n_words": b - a, "n_different": len(missing) + len(other), "missing": missing, "other": other}
+            )
+    return out
 
 
 _NOTICE = (
@@ -220,7 +230,7 @@ def find_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Whole texts are searched; texts without a cue are passed over before they reach Python. Every document stands for
     itself: null ids and repeated rows give their own rows; null, empty and clean texts give none. Where notices
-    overlap, the one with the most words kept counts, of equals the one with fewest differences, then the first.
+    overlap, the one whose words its template saves most bytes of counts, of equals the one found first.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(CUE))
     schema = T.StructType([rows.schema["id"], *T._parse_datatype_string(_NOTICE).fields])

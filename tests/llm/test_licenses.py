@@ -43,6 +43,45 @@ def test_changed_wording():
     assert [r["license"] for r in L.notices("This work is licensed under the GNU General Public License, version 2.")] == ["GPL-2.0"]
 
 
+def test_reworded_against_every_template():
+    """Words dropped, replaced and put in, up to what is allowed: all that comparing every template with the whole text finds."""
+    rng = random.Random(7)
+    seen = 0
+    for _ in range(250):
+        own = list(rng.choice(L.templates())[2])
+        most = int(len(own) - L.KEPT * len(own))
+        for at in sorted(rng.sample([i for i, w in enumerate(own) if w not in L.TELLING], rng.randint(0, most)), reverse=True):
+            own[at : at + 1] = rng.choice([[], [prose(rng, 1)], [own[at], prose(rng, 1)]])
+        text = " ".join([prose(rng, rng.randint(1, 300)), *own, prose(rng, rng.randint(1, 300))])
+        if not re.search(L.CUE, text):
+            continue
+        have, fits = [L.bare(w) for w in text.split()], []
+        for k, (_, _, want) in enumerate(L.templates()):
+            if (closest := L.differences(want, have)) is None:
+                continue
+            a, b, missing, other = closest
+            if max(len(missing), len(other)) <= len(want) - L.KEPT * len(want):
+                fits.append((L.saving(have[a:b], k), k, b - a, missing, other))
+        got = L.notices(text)
+        assert len(got) == 1 and (got[0]["bytes_saved"], got[0]["template"], got[0]["n_words"], got[0]["missing"], got[0]["other"]) in fits, (own, got, fits)
+        assert got[0]["bytes_saved"] == max(fits)[0]
+        seen += got[0]["n_different"] > 0
+    assert seen > 80
+
+
+def test_only_ranked_windows_are_compared(monkeypatch):
+    """Words are compared where a template saves bytes, and nowhere if none does."""
+    asked = []
+    plain = L.differences
+    monkeypatch.setattr(L, "differences", lambda want, have: asked.append(want) or plain(want, have))
+    text = prose(random.Random(8), 50) + " " + SHORT["MIT"][0] + " " + prose(random.Random(9), 50)
+    assert len(L.notices(text)) == 1 and 0 < len(asked) < len(L.templates()) / 2
+    asked.clear()
+    assert L.notices("a warranty " + prose(random.Random(8), 200)) == [] and not asked
+    monkeypatch.setattr(L, "saving", lambda words, k: 0)
+    assert L.notices(text) == [] and not asked
+
+
 def test_notices_in_long_blocks():
     """Cues all along a long text join its windows to one block, which hides no notice."""
     rng = random.Random(2)

@@ -8,6 +8,7 @@ from ..operators import edits as E
 from ..operators import history as H
 from ..operators.convert import link_files
 from ..operators.merge import merge_pair
+from ..operators.stacks import KEEP, live_operations
 from ..sources.change_docs import ingest_change_docs
 from .base import columns, query, show_list, spark_sql, table
 from .catalog_queries import CAT, LAST_YEAR, disk_files, part_catalog
@@ -118,6 +119,25 @@ def diff_log(spark, sf):
     return log.select("o_orderkey", "action", F.coalesce(F.array_join(names, ","), F.lit("")).alias("fields"))
 
 
+# stretches of mostly new work and stretches of mostly undoing, one history per priority
+ACTION = """CASE WHEN o_orderkey % 5000 >= 3500 THEN CASE WHEN o_custkey % 10 < 1 THEN 'do' WHEN o_custkey % 10 < 7 THEN 'undo' ELSE 'redo' END
+  WHEN o_custkey % 10 < 6 THEN 'do' WHEN o_custkey % 10 < 8 THEN 'undo' ELSE 'redo' END"""
+
+
+@query("undo_stacks", f"""WITH RECURSIVE acts AS MATERIALIZED (SELECT o_orderpriority AS history, o_orderkey AS seq, {ACTION} AS action,
+    row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders),
+walk AS (SELECT DISTINCT history, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS u, CAST([] AS BIGINT[]) AS r FROM acts
+  UNION ALL SELECT a.history, a.n,
+    CASE WHEN action = 'do' THEN list_append(u, seq)[-{KEEP}:] WHEN action = 'undo' THEN u[:-2] WHEN len(r) > 0 THEN list_append(u, r[-1]) ELSE u END,
+    CASE WHEN action = 'do' THEN CAST([] AS BIGINT[]) WHEN action = 'redo' THEN r[:-2] WHEN len(u) > 0 THEN list_append(r, u[-1]) ELSE r END
+  FROM walk w JOIN acts a ON a.history = w.history AND a.n = w.n + 1),
+ends AS (SELECT history, max(n) AS n FROM acts GROUP BY history), last AS (SELECT w.* FROM walk w JOIN ends USING (history, n))
+SELECT history, unnest(u) AS seq, 'undo' AS state FROM last UNION ALL SELECT history, unnest(r), 'redo' FROM last""")
+def undo_stacks(spark, sf):
+    """What can be undone and redone after a long sequence of work, undo and redo."""
+    return live_operations(table(spark, sf, "orders").selectExpr("o_orderpriority AS history", "o_orderkey AS seq", f"{ACTION} AS action"))
+
+
 @query("undo_redo", f"""WITH {BATCH}, second AS (SELECT * REPLACE (CASE WHEN o_orderkey % 10 = 3 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus,
     CASE WHEN o_orderkey % 20 = 3 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice) FROM after WHERE o_orderkey % 30 <> 1)
 SELECT 'undo 2' AS step, o_orderkey, o_orderstatus, o_totalprice FROM after

@@ -1,11 +1,12 @@
 """The two batch jobs in their streaming form."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import changes as C
 from ..operators.metrics import curve_metrics, curve_tags
+from ..session import written
 from ..sources.change_docs import ingest_change_docs
 from ..sources.curve_files import points_from_lines
 
@@ -44,67 +45,29 @@ def stream_ingest_curves(spark: SparkSession, root: str, sink: str, checkpoint:
     )
 
 
-class SnapshotTable:
-    """A table as numbered snapshots; the newest complete one is current.
-
-    A snapshot counts once its ``_SUCCESS`` marker is there, so a batch that fails halfway is
-    invisible, and a repeated batch writes the same number again. Table formats with atomic
-    upserts make this unnecessary.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _path(self, version: int):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={version}")
-
-    def versions(self) -> list[int]:
-        conf = self.spark._jsc.hadoopConfiguration()
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(conf)
-        if not fs.exists(root):
-            return []
-        out = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            marker = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("version=") and fs.exists(marker):
-                out.append(int(name.split("=")[1]))
-        return sorted(out)
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/version={version}")
-
-    def read(self, before: int | None = None) -> DataFrame:
-        known = [v for v in self.versions() if before is None or v < before]
-        if not known:
-            raise FileNotFoundError(f"no snapshot in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/version={known[-1]}")
-
-
-def stream_apply_changes(docs: DataFrame, table: SnapshotTable, checkpoint: str, files: DataFrame | None = None,
+def stream_apply_changes(docs: DataFrame, path: str, checkpoint: str, files: DataFrame | None = None,
                          text_col: str = "text", doc_id: str = "doc_id") -> StreamingQuery:
-    """Reply documents applied to the catalog, one snapshot and one change log per batch.
+    """Reply documents applied to a catalog, one folder of the catalog, its change log and the problems per batch.
 
-    Snapshot ``n + 1`` follows batch ``n``; version 0 is the catalog the stream starts from.
+    The stream starts from the catalog in ``path/catalog/version=0``; batch n reads version n and writes version n + 1, so
+    a batch that is repeated after a failure replaces its own output. Changes apply in the order of (doc_id, place in the
+    document); ids may be of any type that sorts. Problems are (doc_id, error).
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        catalog = table.read(before=version)
+        spark, after_it = batch.sparkSession, f"version={batch_id + 1}"
+        catalog = spark.read.parquet(f"{path}/catalog/version={batch_id}")
         found, errors = ingest_change_docs(batch, text_col, doc_id)
-        # documents in order, then their changes in order
-        turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
-        ordered = found.withColumn("change_id", F.col("doc_id").cast("bigint") * 1_000_000 + turn)
+        # numbers that grow along the sorted partitions; written, so that they stay as they are
+        ordered = written(found.orderBy("doc_id", "seq").withColumn("change_id", F.monotonically_increasing_id()))
         ready = C.normalize_prices(C.normalize_brands(ordered, catalog))
         proposals = C.classify_changes(catalog, ready)
         staged, problems, _ = C.stage(C.merge_fields(proposals), catalog, files)
-        after, log = C.apply_changes(catalog, staged, op_id=version)
-        table.write(after, version)
-        log.write.mode("overwrite").parquet(f"{table.path}_log/version={version}")
-        problems.unionByName(
-            errors.select(F.col("doc_id").cast("bigint").alias("change_id"), "error")
-        ).write.mode("overwrite").parquet(f"{table.path}_problems/version={version}")
+        new, log = C.apply_changes(catalog, staged, op_id=batch_id + 1)
+        new.write.mode("overwrite").parquet(f"{path}/catalog/{after_it}")
+        log.write.mode("overwrite").parquet(f"{path}/log/{after_it}")
+        refused = problems.join(ordered.select("change_id", "doc_id"), "change_id").select("doc_id", "error")
+        refused.unionByName(errors).write.mode("overwrite").parquet(f"{path}/problems/{after_it}")
 
     return (
         docs.writeStream.foreachBatch(apply)

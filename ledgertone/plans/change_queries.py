@@ -10,7 +10,7 @@ from ..operators.convert import link_files
 from ..operators.merge import merge_pair
 from ..operators.stacks import KEEP, live_operations
 from ..sources.change_docs import ingest_change_docs
-from .base import columns, query, show_list, spark_sql, table
+from .base import ORACLES, columns, query, show_list, spark_sql, table
 from .catalog_queries import CAT, LAST_YEAR, disk_files, part_catalog
 
 # every part proposes a change: entries by id, deletions, unknown products, and second proposals
@@ -66,6 +66,11 @@ def classify_changes(spark, sf):
     )
 
 
+@query("import_stats", f"SELECT action, count(*) AS n FROM ({ORACLES['classify_changes']}) GROUP BY action")
+def import_stats(spark, sf):
+    return C.import_stats(C.classify_changes(part_catalog(spark, sf), part_changes(spark, sf)))
+
+
 @query("normalize_changes", f"""WITH {CAT}, ch AS ({CHANGES.replace('STRING', 'VARCHAR')}),
 s AS (SELECT regexp_replace(lower(brand), '[^a-z0-9]', '', 'g') AS fold, trim(brand) AS b, count(*) AS n FROM cat WHERE trim(brand) <> '' GROUP BY 1, 2),
 k AS (SELECT fold, arg_min(b, (-n, b)) AS canon FROM s GROUP BY 1),

@@ -203,6 +203,18 @@ def curve_diff(spark, sf):
     return P.curve_diff(user_curve(spark, sf, "click"), user_curve(spark, sf, "view"), slice_of=DAY)
 
 
+HALVES = USERS[: USERS.index("\na AS")].replace("user_id AS curve_id", "user_id || event_type AS curve_id") + """
+a AS (SELECT * FROM ev WHERE floor(freq / 720) % 2 = 0), b AS (SELECT * FROM ev WHERE floor(freq / 720) % 2 = 1)"""
+
+
+@query("diff_summary", f"""WITH {HALVES}, {BAND} {ONTO}
+SELECT curve_id, max(sa - sb) AS max_diff, CAST(sum(CAST(sa - sb AS DECIMAL(18, 6))) AS DOUBLE) / count(*) AS mean_diff, count(*) AS n FROM x GROUP BY 1""")
+def diff_summary(spark, sf):
+    """Every kind of event of every user before noon, next to the same after noon."""
+    events, half = user_curve(spark, sf), F.expr("floor(freq / 720) % 2")
+    return P.diff_summary(P.curve_diff(events.where(half == 0), events.where(half == 1), slice_of=DAY))
+
+
 @query("pair_mismatch", f"""WITH {USERS}, {BAND} {ONTO}, m AS (SELECT curve_id, CAST(sum(CAST(abs(sa - sb) AS DECIMAL(18, 6))) AS DOUBLE) / count(*) AS m FROM x GROUP BY 1)
 SELECT curve_id, CASE WHEN lo > hi THEN 'inf'::DOUBLE ELSE coalesce(m, 0.0) END AS mismatch FROM band LEFT JOIN m USING (curve_id)""")
 def pair_mismatch(spark, sf):

@@ -124,6 +124,21 @@ def diff_log(spark, sf):
     return log.select("o_orderkey", "action", F.coalesce(F.array_join(names, ","), F.lit("")).alias("fields"))
 
 
+@query("old_log", ORACLES["diff_log"])
+def old_log(spark, sf):
+    """A log of the older form, with both copies of each row, as field differences."""
+    orders, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    copy = F.struct(*[c for c in orders.columns if c != "o_orderkey"])
+    three, was = k % 10 == 3, F.col("copy_before")
+    edited = was.withField("o_totalprice", was["o_totalprice"] + 1000).withField("o_orderstatus", F.lit("X"))
+    rows = orders.select(F.lit(1).alias("op_id"), k, copy.alias("copy_before"))
+    rows = rows.withColumn("copy_after", F.when(three, edited).when(k % 10 != 7, was))
+    added = orders.where(k % 50 == 0).select(F.lit(1).alias("op_id"), k + 10_000_000, F.lit(None).alias("copy_before"), copy.alias("copy_after"))
+    log = H.from_full_copies(rows.unionByName(added.toDF(*rows.columns)), "o_orderkey")
+    names = F.array_sort(F.transform("changes", lambda c: c["field"]), lambda a, b: F.when(a > b, -1).otherwise(1))
+    return log.select("o_orderkey", "action", F.coalesce(F.array_join(names, ","), F.lit("")).alias("fields"))
+
+
 # stretches of mostly new work and stretches of mostly undoing, one history per priority
 ACTION = """CASE WHEN o_orderkey % 5000 >= 3500 THEN CASE WHEN o_custkey % 10 < 1 THEN 'do' WHEN o_custkey % 10 < 7 THEN 'undo' ELSE 'redo' END
   WHEN o_custkey % 10 < 6 THEN 'do' WHEN o_custkey % 10 < 8 THEN 'undo' ELSE 'redo' END"""

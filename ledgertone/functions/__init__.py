@@ -1,4 +1,5 @@
-from .arrow import gestalt_ratio, levenshtein_ratio, osa_distance
+from .arrow import gestalt_ratio, levenshtein_ratio
+from .automaton import osa_within
 from .curves import (
     log_fraction,
     log_frequency,

@@ -1,8 +1,7 @@
-"""Arrow-batched functions for the two measures Spark has no builtin for."""
+"""Ratios of how alike two names are."""
 
 import difflib
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,27 +20,6 @@ def _ratio(matcher, x, y):
     return matcher.ratio()
 
 
-@F.pandas_udf(T.IntegerType())
-def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance with adjacent swaps (each letter edited once)."""
-    return pd.Series([_osa(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
-def _osa(x: str, y: str) -> int:
-    table = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
-    table[:, 0] = np.arange(len(x) + 1)
-    table[0, :] = np.arange(len(y) + 1)
-    d = table.tolist()
-    for i, p in enumerate(x, 1):
-        row, above = d[i], d[i - 1]
-        for j, q in enumerate(y, 1):
-            best = min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (p != q))
-            if i > 1 and j > 1 and p == y[j - 2] and q == x[i - 2]:
-                best = min(best, d[i - 2][j - 2] + 1)
-            row[j] = best
-    return d[-1][-1]
-
-
 def levenshtein_ratio(a, b) -> Column:
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     longest = F.greatest(F.length(a), F.length(b))

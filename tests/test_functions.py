@@ -75,7 +75,7 @@ def test_paths(spark):
     assert values(spark, ["../x", "/x", "C:x", "a/../b", " ", "a/b"], fn.safe_path) == [False] * 5 + [True]
 
 
-def _osa(a, b):
+def _osa(a, b, swaps=True):
     d = {}
     for i in range(-1, len(a) + 1):
         d[i, -1] = i + 1
@@ -84,18 +84,33 @@ def _osa(a, b):
     for i in range(len(a)):
         for j in range(len(b)):
             d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i] != b[j]))
-            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+            if swaps and i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
                 d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
     return d[len(a) - 1, len(b) - 1]
 
 
-def test_near_words_equals_brute_force(spark):
+@pytest.mark.parametrize("held", [100_000, 10])
+@pytest.mark.parametrize("method", ["osa", "levenshtein"])
+def test_near_words_equals_brute_force(spark, method, held):
+    """Walked and joined; words of one letter up to beyond a state's 62, repeats, empty and null words."""
     rng = random.Random(2)
-    words = sorted({"".join(rng.choices("abc", k=rng.randint(3, 7))) for _ in range(120)})
-    cores, pool = words[:60], words[60:]
-    got = near_words(spark.createDataFrame([(w,) for w in cores], "core string"), spark.createDataFrame([(w,) for w in pool], "word string"))
-    want = {(a, b, _osa(a, b)) for a in cores for b in pool if _osa(a, b) <= 2}
-    assert {tuple(r) for r in got.collect()} == want
+    words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 7))) for _ in range(120)})
+    tall = ["".join(rng.choices("ab", k=n)) for n in (61, 62, 63, 64, 70)]
+    cores, pool = words[:60] + [w[1:] for w in tall], words[60:] + [w[:9] + w[10] + w[9] + w[11:] for w in tall]
+    got = near_words(
+        spark.createDataFrame([(w,) for w in [*cores, cores[0], None]], "core string"),
+        spark.createDataFrame([(w,) for w in [*pool, pool[0], "", None]], "word string"), method, held,
+    )
+    distance = _osa if method == "osa" else lambda a, b: _osa(a, b, swaps=False)
+    want = sorted((a, b, distance(a, b)) for a in cores for b in pool if distance(a, b) <= 2)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_no_words_are_near_nothing(spark):
+    none, one = spark.createDataFrame([], "core string"), spark.createDataFrame([("abc",)], "core string")
+    pool = spark.createDataFrame([("abc",)], "word string")
+    assert near_words(none, pool).count() == 0
+    assert near_words(one, pool.where("word = ''")).count() == 0
 
 
 def test_name_candidates_miss_no_alike_pair(spark):

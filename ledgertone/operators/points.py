@@ -12,6 +12,8 @@ from ..functions.curves import F_MAX, F_MIN, log_fraction
 from ..functions.numbers import exact_mean
 
 SLICES_PER_OCTAVE = 4
+#: Slices per octave in which sums run; a place where millions of points crowd still spreads over many.
+SUMMED_PER_OCTAVE = 512
 
 
 def octave_slice(freq: str = "freq", per_octave: int = SLICES_PER_OCTAVE) -> Column:
@@ -144,29 +146,37 @@ def normalize_curve(points: DataFrame, curve: str = "curve_id") -> DataFrame:
 def smooth_octaves(points: DataFrame, frac: float = 1 / 12, keys=("curve_id",)) -> DataFrame:
     """Mean level within half of ``frac`` octaves to either side; short curves stay as they are.
 
-    Each slice is one window width and gets copies of the neighbours' points that reach into
-    it, so the range window never needs a whole curve.
+    A window's sum is the difference of two running sums: every place of a curve is one value and asks for the sums up
+    to its two borders, which lie in slices of their own. Sums run within a slice, the totals of earlier slices (one row
+    each) are added; so work and memory don't grow with the window. Levels count exactly, to six decimals; null levels
+    and points without a place on the axis are left out.
     """
-    keys = list(keys)
-    half = frac / 2
-    width = max(frac, 1 / SLICES_PER_OCTAVE)
-    lf = F.log2(F.col("freq").cast("double"))
+    keys, half = list(keys), frac / 2
+    placed = points.withColumn("_lf", F.log2(F.col("freq").cast("double")))
+    level = F.sum(F.col("spl").cast("decimal(18,6)"))
+    places = placed.where("_lf IS NOT NULL").groupBy(*keys, "_lf").agg(F.coalesce(level, F.lit(0)).cast("decimal(28,6)").alias("_s"), F.count("spl").alias("_c"))
+
+    def mark(at, kind, s, c):
+        return F.struct(at.alias("_at"), F.lit(kind).alias("_kind"), s.cast("decimal(28,6)").alias("_s"), c.cast("bigint").alias("_c"))
+
+    # at one place the lower border comes before the value and the upper one after it
+    lf, none = F.col("_lf"), F.lit(0)
+    marks = F.array(mark(lf - half, 0, none, none), mark(lf, 1, F.col("_s"), F.col("_c")), mark(lf + half, 2, none, none))
+    marks = places.select(*keys, "_lf", F.explode(marks).alias("m")).select(*keys, "_lf", "m.*")
+    marks = marks.withColumn("_slice", F.floor(F.col("_at") * SUMMED_PER_OCTAVE))
+    within = Window.partitionBy(*keys, "_slice").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = marks.groupBy(*keys, "_slice").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+    totals = totals.select(*keys, "_slice", *[F.coalesce(F.sum(c).over(before), none).alias(f"{c}0") for c in ("_s", "_c")])
+    sums = marks.withColumn("_s", F.sum("_s").over(within)).withColumn("_c", F.sum("_c").over(within)).where("_kind <> 1")
+    sums = sums.join(totals, [*keys, "_slice"]).select(
+        *keys, "_lf", *[F.when(F.col("_kind") == 2, total).otherwise(-total).alias(c) for c, total in
+          (("_s", (F.col("_s") + F.col("_s0")).cast("decimal(28,6)")), ("_c", F.col("_c") + F.col("_c0")))],
+    )
+    means = sums.groupBy(*keys, "_lf").agg((F.sum("_s").cast("double") / F.nullif(F.sum("_c"), none)).alias("_mean"))
     counts = points.groupBy(*keys).agg(F.count("*").alias("_n"))
-    # a hair of room so that border points reach both sides; the range frame decides exactly
-    reach = half + 1e-9
-    spread = points.withColumn("_lf", lf).withColumn("_own", F.floor(F.col("_lf") / width)).withColumn(
-        "_slice",
-        F.explode(F.sequence(F.floor((F.col("_lf") - reach) / width), F.floor((F.col("_lf") + reach) / width))),
-    )
-    frame = (
-        f"PARTITION BY {', '.join(f'`{k}`' for k in keys)}, _slice ORDER BY _lf "
-        f"RANGE BETWEEN {half!r}D PRECEDING AND {half!r}D FOLLOWING"
-    )
-    total = F.expr(f"sum(cast(spl as decimal(18,6))) OVER ({frame})").cast("double")
-    n = F.expr(f"count(spl) OVER ({frame})")
-    smoothed = spread.withColumn("_mean", total / n).where("_slice = _own")
     kept = F.when(F.col("_n") < 5, F.col("spl").cast("double")).otherwise(F.col("_mean"))
-    return smoothed.join(counts, keys).select(
+    return placed.join(means, [*keys, "_lf"]).join(counts, keys).select(
         *[kept.alias("spl") if c == "spl" else F.col(c) for c in points.columns]
     )
 

@@ -128,6 +128,15 @@ def smooth_octaves(spark, sf):
     return P.smooth_octaves(curves(spark, sf), 1.0).select("curve_id", "pos", "spl")
 
 
+@query("smooth_dense", f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice AS freq, CAST(l_quantity AS DECIMAL(18, 6)) AS spl FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_returnflag, CAST(sum(spl) OVER w AS DOUBLE) / count(*) OVER w AS spl FROM l
+WINDOW w AS (PARTITION BY l_returnflag ORDER BY log2(freq) RANGE BETWEEN {1 / 24!r}::DOUBLE PRECEDING AND {1 / 24!r}::DOUBLE FOLLOWING)""")
+def smooth_dense(spark, sf):
+    """Three curves that hold all rows, a twelfth of an octave at a time: the mean quantity around a price."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_extendedprice").alias("freq"), F.col("l_quantity").alias("spl"))
+    return P.smooth_octaves(lines, 1 / 12, ("l_returnflag",)).drop("freq")
+
+
 @query("normalize_curve", f"""WITH {POINTS}, r AS (SELECT curve_id, {REF} AS ref FROM pts GROUP BY 1)
 SELECT pts.curve_id, pts.pos, CAST(spl AS DOUBLE) - ref AS spl FROM pts JOIN r USING (curve_id)""")
 def normalize_curve(spark, sf):

@@ -1,6 +1,8 @@
 """Operators on small hand-made data, against brute force where one exists."""
 
+import math
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +83,26 @@ def test_flat_curve_is_a_fixed_point_of_smoothing(spark):
     assert {r.spl for r in points.smooth_octaves(flat).collect()} == {5.0}
 
 
+def test_smoothing_equals_the_mean_of_each_window(spark):
+    """Ties, borders that points lie on, repeated rows, null levels and places, a short curve, a clashing column."""
+    rng = random.Random(8)
+    rows = [("a", 2.0 ** (5 + rng.randrange(100) / 25), rng.randrange(-9000, 9000) / 1000, "x") for _ in range(300)]
+    rows += rows[:5] + [("a", 40.0, None, "x"), ("a", None, 1.0, "x"), ("a", -1.0, 1.0, "x"), ("a", 1e9, None, "far")]
+    rows += [("b", 100.0 + i, float(i), "y") for i in range(4)]
+    df = spark.createDataFrame(rows, "curve_id string, freq double, spl double, _n string")
+    df = df.withColumnRenamed("_n", "note")
+    got = sorted((tuple(r) for r in points.smooth_octaves(df, 1 / 12).collect()), key=str)
+    want = []
+    for c, f, v, note in rows:
+        if c == "b":
+            want.append((c, f, v, note))
+        elif f is not None and f > 0:
+            x = math.log(f) / math.log(2)
+            near = [w for d, g, w, _ in rows if d == c and g and g > 0 and w is not None and x - 1 / 24 <= math.log(g) / math.log(2) <= x + 1 / 24]
+            want.append((c, f, round(sum(map(Decimal, map(str, near))), 6).__float__() / len(near) if near else None, note))
+    assert got == sorted(want, key=str)
+
+
 def test_chunks_equal_greedy_fill(spark):
     rng = random.Random(4)
     rows = [(g, i, rng.choice([1, 5, 30, 90, 150, 900])) for g in ("a", "b") for i in range(400)] + [("c", 0, 7)]

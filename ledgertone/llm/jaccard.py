@@ -7,7 +7,7 @@ drops out before any set is fetched. Texts with one set are one node; nodes with
 and only groups meet in the join.
 
 What is asked for are the linked components, so pairs inside a known component need no comparing. Rounds compare every
-node of an element with one leader each and join what links; what is then left between different components of one
+node of an element with a leader or a few and join what links; what is then left between different components of one
 element is expanded to members and verified pair by pair, without a cap. Sets are compared whole, on exact counts.
 """
 
@@ -32,8 +32,9 @@ KEPT_BYTES = 6
 #: Bits of the parity sketch: bit b tells whether a set has an odd number of elements in bucket b of the hash space. Two
 #: sets differ in at least as many elements as their sketches differ in bits, so this never drops a linked pair.
 SKETCH_BITS = 512
-#: Meetings left, for each node, with which leaders give way to the full comparison; and the rounds at most.
-LEFT, ROUNDS = 0.1, 10
+#: Meetings left, for each node, with which leaders give way to the full comparison; the rounds at most; and the leaders
+#: of an element in each round after the first, which leaves little to compare.
+LEFT, ROUNDS, LEADERS = 0.1, 4, 4
 #: Rows of two numbers up to which a table is broadcast.
 SMALL = 300_000
 
@@ -217,9 +218,9 @@ def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     drop_saved(spark, [p for p in saved_paths() if p not in kept and p not in others])
     for turn in range(ROUNDS + 1):
         known = saved(nodes.join(roots.withColumnRenamed("node", "rid"), "rid").select("rid", "gid", "n", "component", "sketch"), "known")
-        parts = known.groupBy("gid", "n", "component").agg(F.min(F.struct("rid", "sketch")).alias("head"))
-        parts = parts.select("gid", "n", "component", F.col("head.rid").alias("rid"), F.col("head.sketch").alias("sketch"))
-        per = met.join(parts.drop("sketch"), "gid").groupBy("token", "component").agg(F.count("*").alias("c"))
+        parts = known.groupBy("gid", "n", "component").agg(F.min(F.struct("rid", "sketch")).alias("head"), F.count("*").alias("c"))
+        parts = parts.select("gid", "n", "component", "c", F.col("head.rid").alias("rid"), F.col("head.sketch").alias("sketch"))
+        per = met.join(parts.select("gid", "component"), "gid").groupBy("token", "component").agg(F.count("*").alias("c"))
         open_ = per.groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
         open_ = saved(open_, "open")
         left = open_.agg(F.sum(F.expr("CAST((s * s - q) / 2 AS DOUBLE)"))).first()[0] or 0.0
@@ -233,9 +234,11 @@ def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
         sizes = f"100 * LEAST(x.n, y.n) >= {percent} * GREATEST(x.n, y.n)"
         near = f"({differ}) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
         if last:
-            # pairs of groups first, each once however many tokens they share; only then their members and sketches
-            at = meeting.join(parts.select("gid", "n", "component"), "gid")
-            meet = at.alias("x").join(at.alias("y"), F.expr(f"x.token = y.token AND x.component < y.component AND {sizes}"))
+            # pairs of groups first, each once however many tokens they share; only then their members and sketches. A
+            # group of one has its member's sketch from the start, so what can't link never leaves the task
+            at = meeting.join(parts.select("gid", "n", "component", F.when(F.col("c") == 1, F.col("sketch")).alias("sketch")), "gid")
+            fits = f"x.token = y.token AND x.component < y.component AND {sizes} AND coalesce({near}, true)"
+            meet = at.alias("x").join(at.alias("y"), F.expr(fits))
             two = meet.select(F.col("x.gid").alias("ga"), F.col("x.component").alias("ca"), F.col("y.gid").alias("gb"), F.col("y.component").alias("cb"))
             two = saved(two.distinct(), "groups")
             x = known.select("rid", F.col("gid").alias("ga"), F.col("component").alias("ca"), "n", "sketch").alias("x")
@@ -243,8 +246,11 @@ def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
             pairs = two.join(x, ["ga", "ca"]).join(y, ["gb", "cb"]).where(F.expr(near)).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
         else:
             at = meeting.join(parts, "gid").select("token", "rid", "n", "component", "sketch")
-            order = F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), "rid", "n", "component", "sketch")
-            leader = at.groupBy("token").agg(F.min(order).alias("l")).select("token", "l.*")
+            orders = [
+                F.min(F.struct(F.xxhash64("rid", F.lit(LEADERS * turn + i)).alias("h"), "rid", "n", "component", "sketch"))
+                for i in range(LEADERS if turn else 1)
+            ]
+            leader = at.groupBy("token").agg(F.array(*orders).alias("l")).select("token", F.explode("l").alias("l")).select("token", "l.*")
             meet = at.alias("x").join(leader.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND {sizes} AND {near}"))
             pairs = meet.select(F.col("y.rid").alias("a"), F.col("x.rid").alias("b")).distinct()
         linked = saved(verify(saved(pairs, "pairs"), sets, percent), "linked")

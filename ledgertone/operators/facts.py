@@ -8,6 +8,7 @@ from ..functions.drivers import classify_driver, despaced, driver_parts, unknown
 from ..functions.numbers import coerce_int, finite, half_up, price_tier, py_float, round_to_5, tier_basis
 from ..functions.tags import duplicated, fix_tier_tags, tag_conflicts, tag_list
 from ..functions.text import build_id, normalize_component, strip, text
+from ..session import spread
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -15,8 +16,16 @@ def number(df: DataFrame, name: str) -> Column:
     return py_float(name) if dict(df.dtypes)[name] == "string" else F.col(name).cast("double")
 
 
+def whole(df: DataFrame, name: str, default: int | None) -> Column:
+    """``coerce_int`` of a column; whole numbers need no reading."""
+    if dict(df.dtypes)[name] in ("tinyint", "smallint", "int"):
+        return F.coalesce(F.col(name), F.lit(default)).cast("bigint")
+    return coerce_int(name, default)
+
+
 def with_facts(df: DataFrame) -> DataFrame:
     """The input with one ``_column`` per derived value."""
+    df = spread(df)
     df = df.select(
         *df.columns,
         strip("brand").alias("_brand"),
@@ -28,9 +37,9 @@ def with_facts(df: DataFrame) -> DataFrame:
         despaced("driver_config").alias("_tight"),
         strip("form_factor").alias("_form"),
         strip("connector").alias("_conn"),
-        coerce_int("year", -1).alias("_year"),
+        whole(df, "year", -1).alias("_year"),
         finite(number(df, "price_usd")).alias("_price"),
-        coerce_int("price_usd", None).alias("_whole"),
+        whole(df, "price_usd", None).alias("_whole"),
         finite(number(df, "impedance")).alias("_impedance"),
         finite(number(df, "sensitivity")).alias("_sensitivity"),
         tag_list("tags").alias("_tags"),

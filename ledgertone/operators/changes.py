@@ -16,7 +16,7 @@ from . import links
 from .claims import settle_ids
 from .history import CHANGES, diff_op
 from .spelling import canonical_spelling
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .validate import with_row_errors
 
 
@@ -32,7 +32,7 @@ def normalize_brands(changes: DataFrame, catalog: DataFrame) -> DataFrame:
     """Incoming brands in the catalog's spelling for the same fold."""
     canon = canonical_spelling(catalog, "brand").select(F.col("fold").alias("_fold"), "canonical")
     brand = strip(F.col("replace")["brand"])
-    out = changes.withColumn("_fold", brand_fold(brand)).join(canon, "_fold", "left")
+    out = spread(changes).withColumn("_fold", brand_fold(brand)).join(canon, "_fold", "left")
     change = F.col("canonical").isNotNull() & (F.col("canonical") != brand) & (brand != "")
     return out.withColumn("replace", F.when(change, _put(F.col("replace"), "brand", F.col("canonical"))).otherwise(F.col("replace"))).select(
         *changes.columns

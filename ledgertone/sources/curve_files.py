@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.curves import leading_numbers, loose_pair, split_fields
 from ..functions.text import is_curve_file, strip
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 # Accepted ranges of the strict and the lenient reading.
 STRICT_FREQ, STRICT_SPL = (1.0, 200_000.0), (-200.0, 200.0)
@@ -80,7 +80,7 @@ def points_from_lines(lines: DataFrame):
     reading, frequency) is saved, from which the facts about files and the points come. The first line of a frequency
     wins by a minimum. Lines without a usable number are counted too, so files without data are seen.
     """
-    fields = lines.select("path", "line_order", split_fields("line").alias("fields"))
+    fields = spread(lines).select("path", "line_order", split_fields("line").alias("fields"))
     both = fields.select("path", "line_order", F.explode(F.array(_reading(0), _reading(1))).alias("r")).select("path", "line_order", "r.*")
     value = F.struct("spl", "phase")
     good = F.col("usable")
@@ -136,7 +136,7 @@ def points_from_lines(lines: DataFrame):
 def lenient_points_from_lines(lines: DataFrame):
     """(points, curve_errors) by the lenient rules: comments skipped, prose accepted, no dedupe."""
     t = strip("line")
-    body = lines.withColumn("line", t).where((t != "") & ~t.startswith("#") & ~t.startswith("//"))
+    body = spread(lines).withColumn("line", t).where((t != "") & ~t.startswith("#") & ~t.startswith("//"))
     n = leading_numbers(split_fields("line"))
     strict = F.struct(n["freq"].alias("freq"), n["spl"].alias("spl"))
     pair = F.when(n["freq"].isNotNull(), strict).otherwise(loose_pair("line"))

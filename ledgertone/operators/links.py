@@ -78,21 +78,15 @@ def strip_phantom_files(catalog: DataFrame, files: DataFrame, key: str = "row_id
 
 def link_counts(df: DataFrame, key: str, array_col: str = "files", fold: bool = False) -> DataFrame:
     """Paths in two or more links: path, n_links, n_spellings, first and last key."""
-    by = "fold" if fold else "path"
-    return (
-        links(df, key, array_col)
-        .where("path <> ''")
-        .groupBy(by, "path" if fold else "raw", key)
-        .agg(F.count("*").alias("n"))
-        .groupBy(by)
-        .agg(
-            F.sum("n").alias("n_links"),
-            F.count_distinct("path" if fold else "raw").alias("n_spellings"),
-            F.min(key).alias("first_key"),
-            F.max(key).alias("last_key"),
-        )
-        .where("n_links > 1")
-    )
+    ends = (F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+    # raw values are counted first, so each of them is normalized once
+    raw = df.select(F.col(key).alias("k"), F.explode(array_col).alias("raw")).groupBy("raw")
+    raw = raw.agg(F.count("*").alias("n"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
+    spelled = raw.withColumn("path", normalize_path("raw")).where("path <> ''")
+    if fold:
+        spelled = spelled.groupBy("path").agg(F.sum("n").alias("n"), *ends).withColumn("fold", F.lower("path"))
+    counted = spelled.groupBy("fold" if fold else "path")
+    return counted.agg(F.sum("n").alias("n_links"), F.count("*").alias("n_spellings"), *ends).where("n_links > 1")
 
 
 def available_files(files: DataFrame, catalog: DataFrame, text: str = "") -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,24 +19,85 @@ from .bpe import gather, tokenizer
 
 #: A run of blanks and the word after it; what the byte-level tokenizer makes of it doesn't depend on its neighbours.
 RUN = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+$")
+BLANKS = frozenset(" \t\n\r")
 #: Blanks other than those four can join a run across pieces, so such a text is encoded as a whole.
 OTHER_BLANK = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Distinct runs a task remembers before it starts afresh.
-MEMORY_RUNS = 1 << 18
+#: Those below 128, which C code looks for in a text of such characters alone.
+OTHER_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
+#: Without any of these a text's runs begin at each blank, and no pattern is needed to cut them.
+UNEVEN = ("\0", "\t", "\r", "  ", "\n\n", " \n", "\n ")
+#: Runs that are encoded as one text, whose ids are then dealt back by the bytes they stand for.
+JOINED = 256
+#: Distinct runs a task remembers before it forgets all but those met most often.
+MEMORY_RUNS = 1 << 19
 #: Characters of text encoded together.
 CHUNK_CHARS = 1 << 20
 
 
+def has_other_blank(text: str) -> bool:
+    return any(b in text for b in OTHER_ASCII) if text.isascii() else OTHER_BLANK.search(text) is not None
+
+
+def runs_of(text: str) -> list[str]:
+    """A text's runs in order; one that begins with a blank may have an empty run before it."""
+    if any(u in text for u in UNEVEN):
+        return RUN.findall(text)
+    return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
+
+
 class _Runs:
     """Ids of runs, each encoded once while it is remembered."""
 
     def __init__(self, vocab: str):
         self.tokens = tokenizer(vocab)
-        self.forget()
+        # a byte-level piece has one character for each byte
+        names = map(self.tokens.id_to_token, range(self.tokens.get_vocab_size()))
+        self.bytes = np.fromiter((len(n or "") for n in names), np.int64)
+        self.remember([], np.empty(0, np.int64))
+        self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def remember(self, runs: list[str], met: np.ndarray):
+        self.number: defaultdict[str, int] = defaultdict(None, zip(runs, range(len(runs)), strict=True))
+        self.number.default_factory = self.number.__len__
+        self.met = met
 
     def forget(self):
-        self.number: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        """Keep the runs met more than once, at most half as many as are remembered, those met most often."""
+        kept = np.argsort(-self.met, kind="stable")[: MEMORY_RUNS // 2]
+        kept = kept[self.met[kept] > 1]
+        names = list(self.number)
+        self.flat = gather(self.starts, self.sizes, self.flat, kept)
+        self.sizes = self.sizes[kept]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.remember([names[i] for i in kept.tolist()], np.ones(len(kept), np.int64))
+
+    def encode(self, runs: list[str]):
+        """Encode new runs, many as one text where each begins at a blank and ends without one."""
+        joint, alone = [], []
+        for i, r in enumerate(runs):
+            (joint if r and r[0] in BLANKS and r[-1] not in BLANKS else alone).append(i)
+        starts, sizes, made, at = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64), [self.flat], len(self.flat)
+        groups = [joint[k : k + JOINED] for k in range(0, len(joint), JOINED)]
+        texts = ["".join([runs[i] for i in g]) for g in groups]
+        for own, e in zip(groups, self.tokens.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            reach = np.cumsum(self.bytes[ids])
+            ends = np.cumsum([len(runs[i]) if runs[i].isascii() else len(runs[i].encode()) for i in own])
+            cuts = np.searchsorted(reach, ends)
+            if not len(ids) or cuts[-1] != len(ids) - 1 or (reach[cuts] != ends).any():
+                alone += own  # pieces that don't stand for their bytes
+                continue
+            sizes[own] = np.diff(cuts, prepend=-1)
+            starts[own] = at + cuts + 1 - sizes[own]
+            made.append(ids)
+            at += len(ids)
+        for i, e in zip(alone, self.tokens.encode_batch_fast([runs[i] for i in alone], add_special_tokens=False), strict=True):
+            made.append(np.array(e.ids, np.uint32))
+            starts[i], sizes[i] = at, len(made[-1])
+            at += len(made[-1])
+        self.flat = np.concatenate(made)
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        self.met = np.concatenate([self.met, np.zeros(len(runs), np.int64)])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > MEMORY_RUNS:
@@ -42,24 +105,24 @@ class _Runs:
         known, codes = self.number, []
         first = len(known)
         for text in texts:
-            if OTHER_BLANK.search(text):
+            if has_other_blank(text):
                 codes.append(None)
                 continue
-            runs = RUN.findall(text)
-            codes.append(np.fromiter((known.setdefault(r, len(known)) for r in runs), np.int64, len(runs)))
-        new = list(known)[first:] if len(known) > first else []
-        made = [e.ids for e in self.tokens.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        begin = len(self.flat)
-        self.flat = np.concatenate([self.flat, np.fromiter((i for m in made for i in m), np.uint32, int(sizes.sum()))])
-        self.starts = np.concatenate([self.starts, begin + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        return [
-            gather(self.starts, self.sizes, self.flat, c)
-            if c is not None
-            else np.array(self.tokens.encode(t, add_special_tokens=False).ids, np.uint32)
-            for t, c in zip(texts, codes, strict=True)
-        ]
+            runs = runs_of(text)
+            codes.append(np.fromiter(map(known.__getitem__, runs), np.int64, len(runs)))
+        self.encode(list(islice(known, first, None)))
+        # the runs' ids of all texts at once, then each text's share
+        every = np.concatenate([c for c in codes if c is not None] or [np.empty(0, np.int64)])
+        self.met += np.bincount(every, minlength=len(self.met))
+        flat, ends = gather(self.starts, self.sizes, self.flat, every), np.append(0, np.cumsum(self.sizes[every]))
+        out, at = [], 0
+        for text, c in zip(texts, codes, strict=True):
+            if c is None:
+                out.append(np.array(self.tokens.encode(text, add_special_tokens=False).ids, np.uint32))
+            else:
+                out.append(flat[ends[at] : ends[at + len(c)]])
+                at += len(c)
+        return out
 
 
 def cut(length: int, most: int) -> list[int]:
@@ -87,7 +150,7 @@ def _pack(vocab: str, most: int, end_id: int, id_type: pa.DataType, with_ids: bo
                 rows, of, flat = [], [], []
                 for i, got in enumerate(runs.ids(group), first):
                     got = np.append(got, np.uint32(end_id)).astype("<u4")
-                    start, total, flat_bytes = 0, len(got), got.tobytes()
+                    start, total, flat_bytes = 0, len(got), memoryview(got).cast("B")
                     for length in cut(total, most):
                         crc = zlib.crc32(flat_bytes[4 * start : 4 * (start + length)])
                         rows.append((start, length, crc, total, number, 0))

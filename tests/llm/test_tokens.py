@@ -92,3 +92,25 @@ def test_pack_query(spark, tmp_path):
     assert sum(r["length"] for r in rows.collect()) == total
     packing.write_buckets(rows, str(tmp_path / "b"))
     assert {r[0] for r in spark.read.parquet(str(tmp_path / "b")).select("bucket").distinct().collect()} <= {2**k for k in range(12)}
+
+
+def test_runs_encoded_together(monkeypatch):
+    """Runs are encoded many at a time and the frequent ones once, with the ids of whole texts."""
+    monkeypatch.setattr(packing, "MEMORY_RUNS", 60)
+    tok, given = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            given.extend(texts)
+            return tok.encode_batch_fast(texts, **kw)
+
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+    runs = packing._Runs(public_tokenizers.path("byte_bpe_50k.json"))
+    runs.tokens = Counted()
+    for k in range(40):
+        often = " ".join(f"often{i}" for i in range(20))
+        texts = [f"{often} {often}\nrare{k} caf\u00e9{k} it's", f" led {k} ", "", "a  b\n\nc\t d\r\n", "x\x0by z", "a\0 b", "\u3000 q\u00a0r", "end\n", "\n", "<|endoftext|> z"]
+        assert [list(x) for x in runs.ids(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(" often7" in t for t in given) == 1 and len(given) < 1200

@@ -86,6 +86,26 @@ def crc_mod(value, mod: int) -> int:
 FEW_LINKS = 200_000
 
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of every node of the links (u, v) that one task is given."""
+    up: dict = {}
+
+    def top(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            up[max(a, b)] = min(a, b)
+    if kind is not None:
+        found = [pa.array(list(up), kind), pa.array([top(x) for x in list(up)], kind)]
+        yield pa.RecordBatch.from_arrays(found, names=["node", "component"])
+
+
 def components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over the links, for every node.
 
@@ -99,9 +119,11 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str =
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links"
     )
     few = edges.count() <= FEW_LINKS
-    edges = edges.coalesce(1) if few else edges
+    if few:
+        kind = edges.schema["u"].dataType.simpleString()
+        roots = edges.coalesce(1).mapInArrow(_roots, f"node {kind}, component {kind}").withColumnRenamed("node", node)
     state = None
-    while True:
+    while not few:
         # rounds end when the set of links stays the same, which its size and hashes tell
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(xxhash64(v, u) % 1000003)")).first()
         if now == state:
@@ -112,15 +134,14 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str =
         # large star: neighbours above the node move to its smallest neighbour
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = saved(large.where("u <> v").distinct(), "links")
-        large = large.coalesce(1) if few else large
         # small star: neighbours at or below the node, and the node, move to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         moved = small.union(least.select("u", F.col("m").alias("v")))
-        edges = saved((moved.coalesce(1) if few else moved).distinct(), "links")
+        edges = saved(moved.distinct(), "links")
         drop_saved(spark, [p for p in saved_paths() if p not in before], still_read=edges)
-        edges = edges.coalesce(1) if few else edges
-    roots = edges.groupBy(F.col("u").alias(node)).agg(F.min("v").alias("component"))
+    if not few:
+        roots = edges.groupBy(F.col("u").alias(node)).agg(F.min("v").alias("component"))
     return nodes.select(node).distinct().join(roots, node, "left").select(
         node, F.coalesce("component", node).alias("component")
     )

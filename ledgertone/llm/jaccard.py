@@ -186,8 +186,8 @@ def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     copies = saved(base.select("row", "fp").join(nodes, "fp").where("row <> rid").select("row"), "copies")
     own = joined_small(base.where("n > 0"), copies, "row", "left_anti", SMALL)
     own = own.select(F.col("row").alias("rid"), F.explode("tokens").alias("token"))
-    counts = own.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    met = saved(own.join(counts, "token"), "met")
+    # one shuffle counts an element and keeps its rows; a window puts those of a frequent one on disk
+    met = saved(own.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1"), "met")
     # the prefix: what no other set holds, then the rarest of the others, then the hashes beyond the counted ones
     counted = F.shiftrightunsigned("token", 1) < F.lit(counted_below(percent) >> 1)
     size = f"n - (({percent} * n + 99) div 100) + 1"

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import types as T
 
-from ledgertone.llm import jaccard, queries
+from ledgertone.llm import common, jaccard, queries
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("k", T.StringType()), T.StructField("component", T.IntegerType())])
@@ -81,6 +81,19 @@ def test_leaders_first(spark, monkeypatch):
     assert run(spark, rows, 4, 85) == brute(rows, 4, 85)
 
 
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """Few links are followed in one pass and save one table; many give the same components."""
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(130)] + [(k, k + 1) for k in range(400, 480)] + [(7, 7), (None, 3)]
+    nodes = spark.createDataFrame([(k,) for k in range(500)], "node bigint")
+    made, real = [], common.saved
+    monkeypatch.setattr(common, "saved", lambda df, label: (made.append(label), real(df, label))[1])
+    few = sorted(map(tuple, common.components(nodes, spark.createDataFrame(links, "a bigint, b bigint")).collect()))
+    assert made == ["links"]
+    monkeypatch.setattr(common, "FEW_LINKS", 0)
+    assert few == sorted(map(tuple, common.components(nodes, spark.createDataFrame(links, "a bigint, b bigint")).collect()))
+
+
 def test_empty(spark):
     assert run(spark, [], 4, 85) == []
     assert run(spark, [(1, None)], 4, 85) == [("1", 0, "1")]

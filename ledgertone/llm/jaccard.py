@@ -7,8 +7,9 @@ drops out before any set is fetched. Texts with one set are one node; nodes with
 and only groups meet in the join.
 
 What is asked for are the linked components, so pairs inside a known component need no comparing. Rounds compare every
-node of an element with a leader or a few and join what links; what is then left between different components of one
-element is expanded to members and verified pair by pair, without a cap. Sets are compared whole, on exact counts.
+node of an element with a leader or a few (where many meet: with the nearest by sketches) and join what links; what is
+then left between different components of one element is verified pair by pair, without a cap; of a frequent element,
+tasks find these pairs in blocks and return each once. Sets are compared whole, on exact counts.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ SKETCH_BITS = 512
 #: Meetings left, for each node, with which leaders give way to the full comparison; the rounds at most; and the leaders
 #: of an element in each round after the first, which leaves little to compare.
 LEFT, ROUNDS, LEADERS = 0.1, 4, 4
+#: Nodes of an element beyond which a task compares them by sketches and returns only the pairs asked for; those that a
+#: task holds at once; and the elements by which two nodes that meet at several are known to have met before.
+CROWD, BLOCK, KNOWN = 64, 8192, 16
 #: Rows of two numbers up to which a table is broadcast.
 SMALL = 300_000
 
@@ -167,6 +171,78 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return one.join(other, "a").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a bigint, b bigint")
 
 
+def _compare(percent: int, most: int | None):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        rid, n, component, part = (rows.column(c).to_numpy() for c in ("rid", "n", "component", "part"))
+        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rid), -1)
+        token, split = rows.column("token")[0].as_py(), rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
+        prefixes = None if most else [frozenset(p) for p in rows.column("p").to_pylist()]
+        _, code, size = np.unique(component, return_inverse=True, return_counts=True)
+        large = code == size.argmax()
+        # of a pair in two components, one side at least is outside the largest
+        seek, step, out = np.flatnonzero(~large), max(1, (1 << 18) // len(rid)), []
+        for start in range(0, len(seek), step):
+            i = seek[start : start + step, None]
+            differ = np.bitwise_count(sketch[i] ^ sketch[None]).sum(-1, dtype=np.int64)
+            fits = (component[i] != component) & (100 * np.minimum(n[i], n) >= percent * np.maximum(n[i], n))
+            fits &= differ * (100 + percent) <= (n[i] + n) * (100 - percent)
+            if most:
+                differ[~fits] = 1 << 40
+                place = np.argpartition(differ, min(most, len(rid)) - 1, axis=1)[:, :most]
+                x, k = np.nonzero(np.take_along_axis(fits, place, 1))
+                x, y = i[x, 0], place[x, k]
+            else:
+                fits &= large | (rid[i] < rid)
+                if split:
+                    fits &= part[i] != part
+                x, y = np.nonzero(fits)
+                x = i[x, 0]
+                # a pair belongs to the first element where it meets, so far as both sides' first ones tell
+                own = [min(prefixes[u] & prefixes[v], default=token) >= token for u, v in zip(x.tolist(), y.tolist(), strict=True)]
+                x, y = x[own], y[own]
+            out.append((np.minimum(rid[x], rid[y]), np.maximum(rid[x], rid[y])))
+        return pa.record_batch([np.concatenate([*(o[k] for o in out), rid[:0]]) for k in (0, 1)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("token", "x", "y")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start < end:
+                    if held and (keys[start] != last).any():
+                        yield block(pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(start, end - start))
+                    last = keys[start]
+        if held:
+            yield block(pa.Table.from_batches(held))
+
+    return run
+
+
+def _crowds(at: DataFrame, meeting: DataFrame, percent: int, turn: int, whole: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of frequent elements that may link: all of different components, or each node's nearest.
+
+    The rows of an element are dealt into parts of about BLOCK; for the nearest a node looks in its own part, for all pairs
+    every two parts meet.
+    """
+    parts, part = F.ceil(F.col("m") / BLOCK).cast("int"), F.pmod(F.xxhash64("rid", F.lit(turn)), F.col("parts")).cast("int")
+    dealt = at.withColumn("parts", parts).withColumn("part", part)
+    if whole:
+        first = meeting.groupBy("gid").agg(F.slice(F.sort_array(F.collect_list("token")), 1, KNOWN).alias("p"))
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        wide = dealt.where("parts > 1").withColumn("other", other)
+        dealt = dealt.where("parts = 1").withColumn("other", F.lit(0)).union(wide).join(first, "gid")
+    else:
+        dealt = dealt.withColumn("other", F.col("part")).withColumn("p", F.lit(None).cast("array<bigint>"))
+    dealt = dealt.select("token", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rid", "n", "component", "sketch", "p")
+    dealt = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    return dealt.mapInArrow(_compare(percent, None if whole else LEADERS), "a bigint, b bigint")
+
+
 def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Saved table (id, k, n_shingles, component) of all documents; k is a hash of the text, component null without a set."""
     others = saved_paths()
@@ -220,42 +296,43 @@ def _members(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
         known = saved(nodes.join(roots.withColumnRenamed("node", "rid"), "rid").select("rid", "gid", "n", "component", "sketch"), "known")
         parts = known.groupBy("gid", "n", "component").agg(F.min(F.struct("rid", "sketch")).alias("head"), F.count("*").alias("c"))
         parts = parts.select("gid", "n", "component", "c", F.col("head.rid").alias("rid"), F.col("head.sketch").alias("sketch"))
-        per = met.join(parts.select("gid", "component"), "gid").groupBy("token", "component").agg(F.count("*").alias("c"))
-        open_ = per.groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
+        per = met.join(parts.select("gid", "component", "c"), "gid").groupBy("token", "component").agg(F.count("*").alias("c"), F.sum("c").alias("m"))
+        open_ = per.groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.sum("m").alias("m")).where("s * s > q")
         open_ = saved(open_, "open")
         left = open_.agg(F.sum(F.expr("CAST((s * s - q) / 2 AS DOUBLE)"))).first()[0] or 0.0
         if not left:
             break
-        # leaders go on as long as they find links, so that what is left are mostly pairs that do not link
-        last = turn == ROUNDS or left <= LEFT * many or not fresh
-        meeting = met.join(open_.select("token"), "token", "left_semi")
+        # rounds go on as long as they find links, so that what is left are mostly pairs that do not link
+        last = turn > 0 and (turn == ROUNDS or left <= LEFT * many or not fresh)
+        meeting = met.join(open_.select("token", "m"), "token")
+        crowded = open_.where(F.col("m") > CROWD).limit(1).count() > 0
         # of a similarity of percent or more: sizes that fit, and no more elements that differ than it allows
         differ = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))
         sizes = f"100 * LEAST(x.n, y.n) >= {percent} * GREATEST(x.n, y.n)"
         near = f"({differ}) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
+        # all members in the end, before that one of each group and component
+        rows_at = meeting.join(known if last else parts, "gid").select("token", "m", "gid", "rid", "n", "component", "sketch")
+        at = rows_at.where(F.col("m") <= CROWD) if turn else rows_at
         if last:
-            # pairs of groups first, each once however many tokens they share; only then their members and sketches. A
-            # group of one has its member's sketch from the start, so what can't link never leaves the task
-            at = meeting.join(parts.select("gid", "n", "component", F.when(F.col("c") == 1, F.col("sketch")).alias("sketch")), "gid")
-            fits = f"x.token = y.token AND x.component < y.component AND {sizes} AND coalesce({near}, true)"
+            fits = f"x.token = y.token AND x.component < y.component AND {sizes} AND {near}"
             meet = at.alias("x").join(at.alias("y"), F.expr(fits))
-            two = meet.select(F.col("x.gid").alias("ga"), F.col("x.component").alias("ca"), F.col("y.gid").alias("gb"), F.col("y.component").alias("cb"))
-            two = saved(two.distinct(), "groups")
-            x = known.select("rid", F.col("gid").alias("ga"), F.col("component").alias("ca"), "n", "sketch").alias("x")
-            y = known.select("rid", F.col("gid").alias("gb"), F.col("component").alias("cb"), "n", "sketch").alias("y")
-            pairs = two.join(x, ["ga", "ca"]).join(y, ["gb", "cb"]).where(F.expr(near)).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
         else:
-            at = meeting.join(parts, "gid").select("token", "rid", "n", "component", "sketch")
             orders = [
                 F.min(F.struct(F.xxhash64("rid", F.lit(LEADERS * turn + i)).alias("h"), "rid", "n", "component", "sketch"))
                 for i in range(LEADERS if turn else 1)
             ]
             leader = at.groupBy("token").agg(F.array(*orders).alias("l")).select("token", F.explode("l").alias("l")).select("token", "l.*")
             meet = at.alias("x").join(leader.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND {sizes} AND {near}"))
-            pairs = meet.select(F.col("y.rid").alias("a"), F.col("x.rid").alias("b")).distinct()
-        linked = saved(verify(saved(pairs, "pairs"), sets, percent), "linked")
-        fresh = linked.limit(1).count() > 0
-        if fresh:
+        pairs = meet.select(F.col("y.rid").alias("a"), F.col("x.rid").alias("b"))
+        if turn and crowded:
+            pairs = pairs.union(_crowds(rows_at.where(F.col("m") > CROWD), meeting.where(F.col("m") > CROWD), percent, turn, last))
+        pairs = pairs.distinct()
+        pairs = saved(pairs, "pairs")
+        linked = saved(verify(pairs, sets, percent), "linked")
+        found = linked.count()
+        # the nearest ones are asked for as long as a fair share of them links
+        fresh = found > (LEFT * pairs.count() if turn else 0)
+        if found:
             # components only grow together: links between components, then their names
             for side in ("a", "b"):
                 linked = joined_small(roots.withColumnRenamed("node", side), linked, side, "inner", SMALL).drop(side).withColumnRenamed("component", side)

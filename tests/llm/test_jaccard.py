@@ -81,6 +81,40 @@ def test_leaders_first(spark, monkeypatch):
     assert run(spark, rows, 4, 85) == brute(rows, 4, 85)
 
 
+def test_crowds(spark, monkeypatch):
+    """Frequent elements compared in blocks, a pair met at several elements or in two parts of one returned once."""
+    monkeypatch.setattr(jaccard, "CROWD", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "KNOWN", 2)
+    rows = cases()
+    assert run(spark, rows, 4, 85) == brute(rows, 4, 85)
+
+
+def near_copies(rng, n):
+    base = [f"b{k}" for k in range(130)]
+    rows = []
+    for i in range(n):
+        t = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            t[rng.randrange(len(t))] = f"v{rng.randrange(12)}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+def test_pairs_of_a_crowd(spark, monkeypatch):
+    """Of a crowd of near copies, pairs far fewer than all are verified, and their number doesn't grow with its square."""
+    seen, real = [], jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, sets, percent: (seen.append(pairs.count()), real(pairs, sets, percent))[1])
+    counts = {}
+    for n in (150, 450):
+        rows = near_copies(random.Random(n), n)
+        seen.clear()
+        assert run(spark, rows, 4, 85) == brute(rows, 4, 85)
+        counts[n] = sum(seen)
+    print(counts)
+    assert counts[450] <= 6 * counts[150] and counts[450] <= 16 * 450
+
+
 def test_few_links_need_no_rounds(spark, monkeypatch):
     """Few links are followed in one pass and save one table; many give the same components."""
     rng = random.Random(3)

@@ -12,12 +12,17 @@ from ledgertone.llm.common import drop_saved, held_out, rows_where, saved, saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Most bytes of a batch that goes to Python: by Spark's own limits, a split of the input is one batch, which the
+#: executor and its Python workers would hold several times over.
+BATCH_BYTES = 4 << 20
+
 #: What earlier stages saved on the way; it goes when a later stage starts and no longer reads it.
 _LEFT: list[str] = []
 
 
 def _stage(fn: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         drop_saved(spark, _LEFT, still_read=docs)
         before = saved_paths()
         out = fn(spark, docs, sf_dir)

@@ -184,10 +184,14 @@ def per_text(docs: DataFrame, text_col: str, fn, fields: str) -> DataFrame:
 def rows_where(docs: DataFrame, text_col: str, judge, condition: str) -> DataFrame:
     """The rows, as they are, whose judgement fulfils the condition; ``judge(docs, text_col)`` adds columns to its input.
 
-    It gets the rows as one struct beside the text, so its columns cannot clash with theirs.
+    It gets the rows as one struct beside the text, so its columns cannot clash with theirs. A text that is a string is
+    not in the struct too: batches hold it once on their way to Python and back.
     """
-    judged = judge(docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_text")), "_text")
-    return judged.where(condition).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    once = dict(docs.dtypes).get(text_col) == "string"
+    beside = [c for c in docs.columns if not once or c != text_col]
+    row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in beside]) if beside else F.lit(0)
+    judged = judge(docs.select(row.alias("_row"), F.col(text_col).cast("string").alias("_text")), "_text")
+    return judged.where(condition).select(*[(F.col("_row")[c] if c in beside else F.col("_text")).alias(c) for c in docs.columns])
 
 
 def sample_labelled(

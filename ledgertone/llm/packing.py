@@ -6,7 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +57,8 @@ class _Runs:
         self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def remember(self, runs: list[str], met: np.ndarray):
-        self.number: defaultdict[str, int] = defaultdict(None, zip(runs, range(len(runs)), strict=True))
-        self.number.default_factory = self.number.__len__
+        # a counter, not the table's own length: a table that refers to itself would outlive its task
+        self.number: defaultdict[str, int] = defaultdict(count(len(runs)).__next__, zip(runs, range(len(runs)), strict=True))
         self.met = met
 
     def forget(self):

@@ -581,8 +581,10 @@ def cut_repeats(
     """
     rows = _identified(docs, id_col, text_col)
     spans = _spans(_pieces(rows, piece, same, min_words), min_words)
-    marked = rows.join(spans, "uid", "left").select("row", "text", "spans")
-    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())])
+    # the new text replaces the row's own, which need not travel beside it
+    beside = F.struct(*[F.col("row")[c].alias(c) for c in docs.columns if c != text_col] or [F.lit(0)])
+    marked = rows.join(spans, "uid", "left").select(beside.alias("row"), "text", "spans")
+    schema = T.StructType([marked.schema["row"], T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())])
     done = marked.mapInArrow(_cut, schema).withColumnRenamed("text", "_text").withColumnRenamed("cut", "_cut")
     done = done.where(~F.col("_cut") | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     new = {text_col: F.col("_text")}

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline as C
 from ledgertone.llm import rules, toxicity
-from ledgertone.llm.common import drop_saved, held_out
+from ledgertone.llm.common import drop_saved, held_out, rows_where
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,3 +109,29 @@ def test_empty_and_odd_rows(spark, tmp_path):
         if name != "packing":
             assert out.dtypes == docs.dtypes
     drop_saved(spark)
+
+
+def test_batches_are_small(spark):
+    """What a stage's tasks hand to Python is bounded by bytes, not by rows alone, and holds a text once."""
+    import pyarrow as pa
+
+    docs = spark.range(6000).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 1000) AS text", "id AS `odd name`").coalesce(1)
+    seen = []
+
+    def judge(d, text):
+        seen.append(d.schema)
+        return rules.judge(d, text_col=text)
+
+    left = rows_where(docs, "text", judge, "NOT kept")
+    assert left.dtypes == docs.dtypes and left.count() == 6000 and rows(left.limit(3)) == rows(docs.limit(3))
+    assert [f.name for f in seen[0]["_row"].dataType] == ["doc_id", "odd name"]
+    assert rows_where(docs.select("text"), "text", judge, "NOT kept").dtypes == [("text", "string")]
+    assert rows_where(docs.selectExpr("doc_id AS text"), "text", judge, "NOT kept").dtypes == [("text", "bigint")]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    C.keep_good(spark, docs.limit(0), SF)
+    assert docs.mapInArrow(sizes, "n bigint").selectExpr("max(n)").first()[0] < 2 * C.BATCH_BYTES
+    drop_saved(spark)

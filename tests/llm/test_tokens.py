@@ -114,3 +114,18 @@ def test_runs_encoded_together(monkeypatch):
         texts = [f"{often} {often}\nrare{k} caf\u00e9{k} it's", f" led {k} ", "", "a  b\n\nc\t d\r\n", "x\x0by z", "a\0 b", "\u3000 q\u00a0r", "end\n", "\n", "<|endoftext|> z"]
         assert [list(x) for x in runs.ids(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert sum(" often7" in t for t in given) == 1 and len(given) < 1200
+
+
+def test_runs_end_with_their_task():
+    """Nothing in the table of runs refers to itself: a worker would hold it through its next tasks."""
+    import gc
+
+    runs = packing._Runs(public_tokenizers.path("byte_bpe_50k.json"))
+    runs.ids(["some words here", "and some more words"])
+    gc.collect()
+    gc.disable()
+    try:
+        del runs
+        assert gc.collect() == 0
+    finally:
+        gc.enable()

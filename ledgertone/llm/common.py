@@ -151,14 +151,16 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "node", a: str =
 CHUNK_CHARS = 2 << 20
 
 
-def per_text(docs: DataFrame, text_col: str, fn, fields: str) -> DataFrame:
+def per_text(docs: DataFrame, text_col: str, fn, fields: str, keep: list[str] | None = None) -> DataFrame:
     """The rows with the columns ``fields`` (DDL) that ``fn(texts) -> [arrow array, ...]`` makes of their whole texts.
 
-    Input columns of the same names are replaced. Rows travel as one struct, so no other name can clash.
+    Input columns of the same names are replaced. Rows travel as one struct, so no other name can clash. With ``keep``,
+    one column or more, only these come along: a text that is not among them does not return from Python.
     """
     made = T._parse_datatype_string(fields)
-    row = F.struct("*").alias("row")
-    if dict(docs.dtypes).get(text_col) == "string":
+    columns = docs.columns if keep is None else keep
+    row = F.struct(*(["*"] if keep is None else [f"`{c.replace('`', '``')}`" for c in keep])).alias("row")
+    if keep is None and dict(docs.dtypes).get(text_col) == "string":
         rows, place = docs.select(row), docs.columns.index(text_col)
     else:
         rows, place = docs.select(row, F.col(text_col).cast("string").alias("text")), -1
@@ -178,7 +180,7 @@ def per_text(docs: DataFrame, text_col: str, fn, fields: str) -> DataFrame:
 
     out = rows.mapInArrow(run, T.StructType([rows.schema["row"], *made.fields]))
     names = {n.lower() for n in made.fieldNames()}
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in names], *made.fieldNames())
+    return out.select(*[F.col("row")[c].alias(c) for c in columns if c.lower() not in names], *made.fieldNames())
 
 
 def rows_where(docs: DataFrame, text_col: str, judge, condition: str) -> DataFrame:

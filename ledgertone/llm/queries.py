@@ -171,20 +171,22 @@ def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """The documents with a periodic tail in every tenth text (by crc32 of the id), which the query then has to find."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # the words before a, as often as they go in the p words from there on, and the first of those for the rest
     planted = F.expr(
-        "concat_ws(' ', transform(words, (w, i) -> CASE WHEN i < a THEN w ELSE words[CAST(a + (i - a) % (1 + (size(words) - a) div (3 + g % 8)) AS int)] END))"
+        "concat_ws(' ', slice(words, 1, a), array_repeat(concat_ws(' ', slice(words, a + 1, p)), CAST((size(words) - a) div p AS int)), slice(words, a + 1, (size(words) - a) % p))"
     )
     return (
         docs.withColumn("g", F.floor(h / 10))
         .withColumn("words", F.when((h % 10 == 0) & F.col("text").isNotNull(), words))
-        .withColumn("a", F.expr("CASE WHEN size(words) > 0 THEN g % size(words) END"))
+        .withColumn("a", F.expr("CASE WHEN size(words) > 0 THEN CAST(g % size(words) AS int) END"))
+        .withColumn("p", F.expr("CAST(1 + (size(words) - a) div (3 + g % 8) AS int)"))
         .withColumn("text", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")))
     )
 
 
 @query
 def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
-    found = runs.periodic_runs(_with_planted_runs(table(spark, sf, "documents")).select("doc_id", "text"))
+    found = runs.periodic_runs(_with_planted_runs(table(spark, sf, "documents")).select("doc_id", "text"), keep=["doc_id"])
     return found.select(
         "doc_id", "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
         "runs_sha256", F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),

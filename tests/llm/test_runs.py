@@ -94,3 +94,70 @@ def test_query_against_plain(spark):
         )
     rows = {r[0]: tuple(r)[1:] for r in QUERIES["op12_periodic_runs"](spark, sf).collect()}
     assert rows == want and any(v[0] for v in want.values())
+
+
+def test_scales_read_only_what_repeats(monkeypatch):
+    """Every scale went over all words; now only over stretches whose words come again, so prose costs none of them."""
+    r, read = random.Random(5), []
+    marked = runs._marked
+    monkeypatch.setattr(runs, "_marked", lambda x, w: read.append(len(x)) or marked(x, w))
+    prose = [r.randrange(3000) for _ in range(40000)]
+    assert got(prose) == plain_at(prose, []) and sum(read) == 0
+    root = [r.randrange(3000) for _ in range(50)]
+    words = prose[:20000] + root * 6 + prose[20000:]
+    assert got(words) == plain_at(words, [(20000, 300, 50)]) and sum(read) < 3000
+
+
+def plain_at(words, expected):
+    """The runs as expected, after a look at each that it is one; periods to 8 are searched."""
+    for s, n, q in expected:
+        assert all(words[i] == words[i + q] for i in range(s, s + n - q)) and n >= 4 * q
+        assert words[s - 1] != words[s - 1 + q] and words[s + n] != words[s + n - q]
+    short = [(s, n, q) for q in range(1, 9) for s, n in stretches(words, q) if n >= max(6, 4 * q)]
+    return sorted(short + expected, key=lambda r: (r[0], r[2]))
+
+
+def stretches(words, q):
+    i = 0
+    while i + q < len(words):
+        s = i
+        while i + q < len(words) and words[i] == words[i + q]:
+            i += 1
+        yield s, i - s + q
+        i += 1
+
+
+BLANKS = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "  ", " \r\n"]
+#: Words of up to and over eight bytes, with equal beginnings, and with what other splitters take for blanks.
+WORDS = ["a", "b", "aaaaaaa", "aaaaaaaa", "aaaaaaaaa", "aaaaaaaab", "\0", "\0\0", "a\0", "日本語", "é", "\x85", "\xa0", "\x1c", " x", "𝄞𝄞", "𝄞𝄞𝄞", "x" * 500]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_texts_together(seed):
+    """Rows of many texts in one call, with runs at their ends, copies of texts and all kinds of blanks and words."""
+    r, texts = random.Random(seed), []
+    for _ in range(r.randint(1, 40)):
+        words = []
+        for _ in range(r.randint(0, 4)):
+            root = [r.choice(WORDS) if r.random() < 0.6 else str(r.randrange(10**6)) for _ in range(r.choice([1, 2, 3, 8, 9, 10, 16, 17, 40]))]
+            words += [root[i % len(root)] for i in range(int(len(root) * r.choice([1, 3, 4, 4.3, 6])))]
+        text = "".join(w + (r.choice(BLANKS) if r.random() < 0.2 else " ") for w in words)
+        texts += [r.choice(["", " ", "\n"]) + (text if r.random() < 0.5 else text.rstrip(" \t\n\x0b\x0c\r"))] * r.choice([1, 1, 1, 4])
+        texts += [None] * (r.random() < 0.1)
+    rows = list(zip(*[c.to_pylist() for c in runs._rows(texts)], strict=True))
+    assert len(rows) == len(texts)
+    for text, (n_words, n_runs, *best, listed, digest, collapsed) in zip(texts, rows, strict=True):
+        words = (text or "").encode().split()
+        want = plain(words)
+        gone = {i for s, m, q in want for i in range(s + q, s + m)}
+        assert (n_words, n_runs) == (len(words), len(want)) and [tuple(x.values()) for x in listed] == want
+        assert best == list(min(want, key=lambda r: (-r[1] / r[2], r[0], r[2]), default=(None, None, None)))
+        assert digest == hashlib.sha256("".join("%d,%d,%d\n" % f for f in want).encode()).hexdigest()
+        assert collapsed.encode() == b" ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def test_kept_columns(spark):
+    df = spark.createDataFrame([(1, "a b " * 5, 2.5), (None, None, None)], "`doc id` bigint, text string, x double")
+    whole, some = runs.periodic_runs(df), runs.periodic_runs(df, keep=["x", "doc id"])
+    assert some.columns == ["x", "doc id", *whole.columns[3:]]
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, whole.select(some.columns).collect()))
